@@ -15,6 +15,12 @@ VOCABULARY, END_WRITE, END_PACK = 50_257, 2, 0
 PLANTED_CONV, PLANTED_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
+def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op4_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitpack import read_shards, write_shards
     from .tokens import default_vocabulary
@@ -22,6 +28,15 @@ def op4_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_shards(write_shards(table(spark, sf_dir, "documents"), default_vocabulary(), VOCABULARY, END_WRITE))
 
 
+def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxcnn import held_out, labelled_sample, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(labelled_sample(docs, table(spark, sf_dir, "labels")))
+    found = score(docs, model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold")
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .histshard import histogram_shards
 
@@ -48,7 +63,7 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_token_bitpack, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
+    for f in (op2_simhash_components, op4_token_bitpack, op5_toxicity_cnn, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
 }
 
 ORACLE_SQL: dict[str, str] = {}
