@@ -15,6 +15,12 @@ VOCABULARY, END_WRITE, END_PACK = 50_257, 2, 0
 PLANTED_CONV, PLANTED_TEXT = -7, r"\### Assistant: </turn> ok"
 
 
+def op1_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmdecon import decontaminate, digests
+
+    return digests(decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
+
+
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -63,7 +69,7 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_simhash_components, op4_token_bitpack, op5_toxicity_cnn, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
+    for f in (op1_fm_decontamination, op2_simhash_components, op4_token_bitpack, op5_toxicity_cnn, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
 }
 
 ORACLE_SQL: dict[str, str] = {}
