@@ -43,6 +43,12 @@ def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "threshold")
 
 
+def op6_lyndon_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .gsaca import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .histshard import histogram_shards
 
@@ -69,7 +75,7 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fm_decontamination, op2_simhash_components, op4_token_bitpack, op5_toxicity_cnn, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
+    for f in (op1_fm_decontamination, op2_simhash_components, op4_token_bitpack, op5_toxicity_cnn, op6_lyndon_suffix_dedup, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
 }
 
 ORACLE_SQL: dict[str, str] = {}
