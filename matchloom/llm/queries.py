@@ -27,6 +27,12 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_token_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitpack import read_shards, write_shards
     from .tokens import default_vocabulary
@@ -49,6 +55,12 @@ def op6_lyndon_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op7_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .histshard import histogram_shards
 
@@ -75,7 +87,7 @@ def op10_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fm_decontamination, op2_simhash_components, op4_token_bitpack, op5_toxicity_cnn, op6_lyndon_suffix_dedup, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
+    for f in (op1_fm_decontamination, op2_simhash_components, op3_context_tree_score, op4_token_bitpack, op5_toxicity_cnn, op6_lyndon_suffix_dedup, op7_maxscore_top_k, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip)
 }
 
 ORACLE_SQL: dict[str, str] = {}
