@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import lower_table, slices, stash, utf8
 
-DEPTH = 4
-SLOT_BITS = 23
+DEPTH = 6
+SLOT_BITS = 24
 BLOCK_BITS = 17
 MARK = 0xFF  # never a byte of UTF-8: start and end of a text
 RUN_BYTES = 1 << 20
@@ -158,11 +158,11 @@ def slots(depth: np.ndarray | int, node: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The table of slots: probability of a one (NaN: never seen) and weight of the node's own estimate."""
+    """The table of slots: log odds of a one (NaN: never seen) and weight of the node's own estimate, in two bytes each."""
 
     def __init__(self):
-        self.one = np.full(1 << SLOT_BITS, np.nan, np.float32)
-        self.own = np.ones(1 << SLOT_BITS, np.float32)
+        self.odds = np.full(1 << SLOT_BITS, np.nan, np.float16)
+        self.own = np.ones(1 << SLOT_BITS, np.float16)
 
     def log10_of(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after those before it."""
@@ -173,7 +173,7 @@ class Tree:
             p = np.full(len(gram), np.nan)
             for d in range(DEPTH, -1, -1):
                 at = slots(d, (context & ((1 << 8 * d) - 1)) << 8 | prefix)
-                one, own = self.one[at].astype(np.float64), self.own[at]
+                one, own = 1 / (1 + np.exp(-self.odds[at].astype(np.float64))), self.own[at].astype(np.float64)
                 p = np.where(np.isnan(p), one, np.where(np.isnan(one), p, own * one + (1 - own) * p))
             p = np.where(np.isnan(p), 0.5, p)
             out += np.log10(np.where(byte >> (7 - bit) & 1, p, 1 - p))
@@ -192,20 +192,19 @@ def gather(nodes: DataFrame) -> Tree:
     def packed(pdf):
         import pandas as pd
 
-        one, own = np.full(1 << BLOCK_BITS, np.nan, np.float32), np.ones(1 << BLOCK_BITS, np.float32)
+        odds, own = np.full(1 << BLOCK_BITS, np.nan, np.float16), np.ones(1 << BLOCK_BITS, np.float16)
         at = pdf["slot"].to_numpy() & ((1 << BLOCK_BITS) - 1)
-        n = (pdf["n0"] + pdf["n1"]).to_numpy()
-        one[at] = (pdf["n1"].to_numpy() + 0.5) / (n + 1)
-        own[at] = pdf["own"].to_numpy() / n
-        return pd.DataFrame({"block": [int(pdf["slot"].iloc[0]) >> BLOCK_BITS], "one": [one.tobytes()], "own": [own.tobytes()]})
+        odds[at] = np.log((pdf["n1"].to_numpy() + 0.5) / (pdf["n0"].to_numpy() + 0.5))
+        own[at] = pdf["own"].to_numpy() / (pdf["n0"] + pdf["n1"]).to_numpy()
+        return pd.DataFrame({"block": [int(pdf["slot"].iloc[0]) >> BLOCK_BITS], "odds": [odds.tobytes()], "own": [own.tobytes()]})
 
     rows = nodes.mapInArrow(hashed, "slot int, n0 long, n1 long, own double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("own").alias("own"))
-    blocks = rows.groupBy(F.shiftright("slot", BLOCK_BITS).alias("b")).applyInPandas(packed, "block int, one binary, own binary")  # a block is 2**17 rows at most
+    blocks = rows.groupBy(F.shiftright("slot", BLOCK_BITS).alias("b")).applyInPandas(packed, "block int, odds binary, own binary")  # a block is 2**17 rows at most
     tree = Tree()
-    for r in blocks.toLocalIterator():  # 1 MB a row, 2**(SLOT_BITS - BLOCK_BITS) rows whatever the corpus
+    for r in blocks.toLocalIterator():  # 512 kB a row, 2**(SLOT_BITS - BLOCK_BITS) rows whatever the corpus
         part = slice(r["block"] << BLOCK_BITS, (r["block"] + 1) << BLOCK_BITS)
-        tree.one[part] = np.frombuffer(r["one"], np.float32)
-        tree.own[part] = np.frombuffer(r["own"], np.float32)
+        tree.odds[part] = np.frombuffer(r["odds"], np.float16)
+        tree.own[part] = np.frombuffer(r["own"], np.float16)
     return tree
 
 
