@@ -164,6 +164,18 @@ class Tree:
         self.odds = np.full(1 << SLOT_BITS, np.nan, np.float16)
         self.own = np.ones(1 << SLOT_BITS, np.float16)
 
+    def __getstate__(self) -> bytes:
+        """Packed: a small corpus fills few slots."""
+        import zstandard
+
+        return zstandard.compress(self.odds.tobytes() + self.own.tobytes())
+
+    def __setstate__(self, data: bytes) -> None:
+        import zstandard
+
+        both = np.frombuffer(zstandard.decompress(data), np.float16)
+        self.odds, self.own = both[: 1 << SLOT_BITS], both[1 << SLOT_BITS :]
+
     def log10_of(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after those before it."""
         byte, context = gram & 255, gram >> 8
