@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..plans.config import DEFAULT, MatchConfig
 
@@ -61,7 +62,7 @@ def jaro_values(a: pd.Series, b: pd.Series) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(jaro_values(a, b))
 
