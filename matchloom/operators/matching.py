@@ -93,14 +93,20 @@ def score_pairs(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DE
     return left.join(right, keys).select("batch_id", "invoice_idx", "ledger_idx", similarity.compute_similarity(invoice, entry, config).alias("score"))
 
 
-def assign(scores: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
+def batch_sizes(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The most pairs that each batch can have: batch_id, _pairs."""
+    n = invoices.groupBy("batch_id").agg(F.count("*").alias("_n"))
+    return n.join(ledger.groupBy("batch_id").agg(F.count("*").alias("_m")), "batch_id").select("batch_id", (F.col("_n") * F.col("_m")).alias("_pairs"))
+
+
+def assign(scores: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame | None = None) -> DataFrame:
     """The one-to-one assignment of greatest total score in each batch.
 
     Batches stream through one pass, sorted, and are solved one at a time; a batch is dense in memory only up to
     ``dense_pairs``. Larger ones never reach a task whole: they are solved by the certificate, on windows alone, where
-    every row's best column is its own, and refused otherwise.
+    every row's best column is its own, and refused otherwise. ``sizes`` (of ``batch_sizes``) spares counting the pairs.
     """
-    sized = scores.groupBy("batch_id").agg(F.count("*").alias("_pairs"))
+    sized = scores.groupBy("batch_id").agg(F.count("*").alias("_pairs")) if sizes is None else sizes
     large = sized.where(F.col("_pairs") > config.dense_pairs)
     has_large = not large.isEmpty()
     dense = scores.join(large.select("batch_id"), "batch_id", "left_anti") if has_large else scores

@@ -22,7 +22,8 @@ def prepare(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAUL
 def match(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, salts: int = 1) -> DataFrame:
     """Results of every batch of raw invoices and ledger rows (batch_id, ordinal and the raw fields)."""
     i, e = prepare(invoices, ledger, config)
-    return matching.match_details(matching.assign(matching.score_pairs(i, e, config, salts), config), i, e, config)
+    assigned = matching.assign(matching.score_pairs(i, e, config, salts), config, matching.batch_sizes(invoices, ledger))
+    return matching.match_details(assigned, i, e, config)
 
 
 def match_mock(spark: SparkSession, invoices: Iterable | None = None, ledger: Iterable | None = None, config: MatchConfig = DEFAULT) -> DataFrame:
