@@ -30,7 +30,7 @@ def test_field_patterns(spark):
     assert field(spark, "amount", "100 USD") == "100"
     assert field(spark, "amount", "$ 7.5") == "7.5"
     assert field(spark, "date", "paid 15 January 2024") == "15 January 2024"
-    assert field(spark, "invoice_number", "Invoice", "No: A-123") == "A-123"
+    assert field(spark, "amount", "Total:", "55.00") == "55.00"  # only all blocks together say so
     assert field(spark, "date", "nothing") is None
 
 
