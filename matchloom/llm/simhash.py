@@ -17,6 +17,7 @@ component; an empty table gives no rows; other columns are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -76,7 +77,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(run, schema)
 
 
-def one_wildcard(fp: np.ndarray, at: np.ndarray, wide: int, tag: np.ndarray, sig: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def one_wildcard(fp: np.ndarray, at: np.ndarray, wide: int, sig: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of the two halves of the ``wide`` bits from bit ``at``: (signature, bit where the free half starts, fp)."""
     half = wide // 2
     value = fp.view(np.uint64)
@@ -94,6 +95,11 @@ def one_wildcard(fp: np.ndarray, at: np.ndarray, wide: int, tag: np.ndarray, sig
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which signed fingerprints differ (numpy counts those of the absolute value, so the sign must go first)."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(fp: np.ndarray) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the links among fp."""
     left, right = [], []
@@ -102,7 +108,7 @@ def forest(fp: np.ndarray) -> tuple[list[int], list[int]]:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            near = np.bitwise_count(rest ^ x) <= DIFFER
+            near = differing(rest, x) <= DIFFER
             if near.any():
                 found = rest[near]
                 left += [int(x)] * len(found)
@@ -115,8 +121,8 @@ def forest(fp: np.ndarray) -> tuple[list[int], list[int]]:
 EDGE = pa.schema([("sig", pa.int64()), ("at", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
 
-def links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (sig, at, fp) to links (u, v); members of a run beyond RUN come back as (sig, at, fp) for another cut."""
+def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (sig, at, fp) to links (u, v); members of a run beyond the bound come back as (sig, at, fp) for another cut."""
 
     def rows(sig, at, u, v) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(at, pa.int32()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=EDGE)
@@ -130,11 +136,11 @@ def links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         size = np.diff(cut)
         two = cut[:-1][size == 2]
         a, b = fp[two], fp[two + 1]
-        near = np.bitwise_count(a ^ b) <= DIFFER
+        near = differing(a, b) <= DIFFER
         u, v = [a[near]], [b[near]]
         for i in np.flatnonzero(size > 2).tolist():
             part = fp[cut[i] : cut[i + 1]]
-            if len(part) > RUN:
+            if len(part) > bound:
                 yield hot(int(sig[cut[i]]), int(at[cut[i]]), part)
                 continue
             x, y = forest(part)
@@ -168,7 +174,7 @@ def links_of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if last:
             yield from closed(sig[:last], at[:last], fp[:last])
         held, n = [(sig[last:], at[last:], fp[last:])], len(sig) - last
-        if n > RUN:
+        if n > bound:
             yield hot(int(sig[-1]), int(at[-1]), fp[last:])
             spilled, held, n = sig[-1], [], 0
     if held:
@@ -183,7 +189,7 @@ def links(fps: DataFrame) -> DataFrame:
             fp = b.column("fp").to_numpy()
             for i in range(0, len(fp), 2000):
                 part = fp[i : i + 2000]
-                s, at, f = one_wildcard(part, np.zeros(len(part), np.int64), 64, part, None)
+                s, at, f = one_wildcard(part, np.zeros(len(part), np.int64), 64, None)
                 yield pa.RecordBatch.from_pydict({"sig": s, "at": at.astype(np.int32), "fp": f})
 
     def again(wide: int):
@@ -191,19 +197,20 @@ def links(fps: DataFrame) -> DataFrame:
             for b in batches:
                 sig, at, fp = (b.column(c).to_numpy() for c in ("sig", "at", "u"))
                 for i in range(0, len(fp), 2000):
-                    s, a, f = one_wildcard(fp[i : i + 2000], at[i : i + 2000].astype(np.int64), wide, fp, sig[i : i + 2000])
+                    s, a, f = one_wildcard(fp[i : i + 2000], at[i : i + 2000].astype(np.int64), wide, sig[i : i + 2000])
                     yield pa.RecordBatch.from_pydict({"sig": s, "at": a.astype(np.int32), "fp": f})
 
         return run
 
     keyed = fps.mapInArrow(first, "sig long, at int, fp long")
     out, made = [], []
-    for wide in (32, 16, 8):
-        found = stash(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(links_of_runs, "sig long, at int, u long, v long"), "links")
+    for wide in (32, 16, 8, 0):
+        bound = RUN if wide else float("inf")  # after the third cut eleven bits are free at most
+        found = stash(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(partial(links_of_runs, bound=bound), "sig long, at int, u long, v long"), "links")
         made.append(found)
         out.append(found.where(F.col("v").isNotNull()).select("u", "v"))
         hot = found.where(F.col("v").isNull())
-        if wide == 8 or hot.isEmpty():
+        if not wide or hot.isEmpty():
             break
         keyed = hot.mapInArrow(again(wide), "sig long, at int, fp long")
     whole = out[0]
