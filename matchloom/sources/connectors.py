@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import BLOCKS, INVOICE, LEDGER
@@ -100,11 +100,25 @@ def write_results(results: DataFrame, path: str) -> None:
         out.write("\n]")
 
 
+def four_places(c: Column) -> Column:
+    """c with four decimals, rounded by its binary value: the JVM's formatter rounds its shortest decimal text instead.
+
+    The two differ only where that text ends in a half. There, twice the last place is compared exactly: c is split in
+    two halves whose products with 20,000 need no rounding.
+    """
+    whole = F.rint(c * 20000)
+    high = F.lit(134217729.0) * c - (F.lit(134217729.0) * c - c)
+    off = (high * 20000 - whole) + (c - high) * 20000
+    tie = (F.abs(whole % 2) == 1) & (F.abs(off) < 1e-6)
+    even = F.when((whole - 1) % 4 == 0, whole - 1).otherwise(whole + 1)
+    return F.format_string("%.4f", F.when(tie, F.when(off < 0, whole - 1).when(off > 0, whole + 1).otherwise(even) / 20000).otherwise(c))
+
+
 def table_lines(results: DataFrame) -> DataFrame:
     """The four columns of the console table as text: batch_id, invoice_idx, invoice_id, ledger_ref, score, status."""
     return results.select(
         "batch_id", "invoice_idx", F.coalesce("invoice_id", F.lit("N/A")).alias("invoice_id"), F.coalesce("ledger_ref", F.lit("N/A")).alias("ledger_ref"),
-        F.format_string("%.4f", F.coalesce("score", F.lit(0.0))).alias("score"), F.coalesce("status", F.lit("N/A")).alias("status"),
+        four_places(F.coalesce("score", F.lit(0.0))).alias("score"), F.coalesce("status", F.lit("N/A")).alias("status"),
     )
 
 

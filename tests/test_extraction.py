@@ -100,6 +100,15 @@ def test_json_and_table(spark, tmp_path):
     assert list(connectors.console_table(results.limit(0))) == ["No results to display."]
 
 
+def test_four_places(spark):
+    import random
+
+    r = random.Random(6)
+    values = [0.62445, 0.03125, 0.09375, 0.00005, 0.0, 1.0, 0.99995, *(r.randrange(10**5) / 10**5 for _ in range(3000)), *(r.random() for _ in range(500))]
+    rows = spark.createDataFrame([(v,) for v in values], "s double").select("s", connectors.four_places(F.col("s")).alias("t")).collect()
+    assert [x["t"] for x in rows] == [f"{x['s']:.4f}" for x in rows]
+
+
 def test_unnested():
     item = [[[0, 0]], ["t", 0.9]]
     assert connectors.unnested([[item]]) == [item] and connectors.unnested([item]) == [item] and connectors.unnested(None) == []
