@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stash
+from .common import shuffle_partitions, slices, stash, utf8
 from .tokens import encoder
 
 MAGIC = b"MLP1"
 BLOCK = 4096
 HEADER = struct.Struct("<4sBxxxIqq")
 IMAGE_IDS = 1 << 20
-TEXT_BYTES = 1 << 21
+TEXT_BYTES = 1 << 20
 
 
 def width(vocabulary: int) -> int:
@@ -98,17 +98,11 @@ class Reader:
 
 
 def text_runs(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches whose texts hold about ``limit`` characters together (one row at least)."""
+    """Slices of the batches whose texts hold about ``limit`` bytes together (one row at least); only they become strings."""
     for batch in batches:
-        texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= limit):
-                size += len(texts[j])
-                j += 1
-            yield batch.slice(i, j - i), texts[i:j]
-            i = j
+        for i, j in slices(utf8(batch.column("text"))[1], limit):
+            part = batch.slice(i, j - i)
+            yield part, ["" if t is None else t for t in part.column("text").to_pylist()]
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

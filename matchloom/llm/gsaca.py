@@ -51,10 +51,11 @@ class Rolling:
     def __init__(self, data: np.ndarray):
         n = len(data)
         if len(Rolling.up) <= n:
+            wide = 1 << n.bit_length()
             with np.errstate(over="ignore"):
                 one = np.ones(1, np.uint64)
-                Rolling.up = np.cumprod(np.append(one, np.full(2 * n, ROLL, np.uint64)), dtype=np.uint64)
-                Rolling.down = np.cumprod(np.append(one, np.full(2 * n, UNROLL, np.uint64)), dtype=np.uint64)
+                Rolling.up = np.cumprod(np.append(one, np.full(wide, ROLL, np.uint64)), dtype=np.uint64)
+                Rolling.down = np.cumprod(np.append(one, np.full(wide, UNROLL, np.uint64)), dtype=np.uint64)
         mixed = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64)
         with np.errstate(over="ignore"):
             self.total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed[data] * Rolling.up[:n], dtype=np.uint64)))

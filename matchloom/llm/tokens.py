@@ -96,7 +96,7 @@ class Encoder:
     needs one ``unique`` and one ``searchsorted`` and only new pieces become Python strings.
     """
 
-    def __init__(self, path: str, cache_size: int = 3_000_000):
+    def __init__(self, path: str, cache_size: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path).model
@@ -109,16 +109,17 @@ class Encoder:
     def reset(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.begins = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.int32)
 
     def hashes(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Hash of the code points between each two neighbouring bounds."""
         n = len(points)
         if len(self.up) <= n:
+            wide = 1 << n.bit_length()
             with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * n, ROLL, np.uint64)), dtype=np.uint64)
-                self.down = np.cumprod(np.append(np.ones(1, np.uint64), np.full(2 * n, UNROLL, np.uint64)), dtype=np.uint64)
+                self.up = np.cumprod(np.append(np.ones(1, np.uint64), np.full(wide, ROLL, np.uint64)), dtype=np.uint64)
+                self.down = np.cumprod(np.append(np.ones(1, np.uint64), np.full(wide, UNROLL, np.uint64)), dtype=np.uint64)
         with np.errstate(over="ignore"):
             value = self.mix[points & 0xFFFF] + points.astype(np.uint64)
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value * self.up[:n], dtype=np.uint64)))
@@ -140,7 +141,7 @@ class Encoder:
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.begins = np.insert(self.begins, at, begins)
-        self.lengths = np.insert(self.lengths, at, lengths)
+        self.lengths = np.insert(self.lengths, at, lengths.astype(np.int32))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
@@ -162,7 +163,7 @@ class Encoder:
             i = first[new]
             self.learn(distinct[new], [whole[a:b] for a, b in zip(bounds[i].tolist(), bounds[i + 1].tolist(), strict=True)])
             at = np.searchsorted(self.keys, distinct)
-        n = self.lengths[at][which]
+        n = self.lengths[at][which].astype(np.int64)
         stop = np.cumsum(n)
         ids = self.flat[np.repeat(self.begins[at][which] - (stop - n), n) + np.arange(stop[-1])]
         before = np.concatenate(([0], stop))[np.searchsorted(starts, ends)]
