@@ -2,11 +2,12 @@
 
 A byte is eight binary decisions, each with a context tree of its own: node (context of d bytes, bits of this byte so far)
 holds how often a zero and a one followed in the training texts. The Krichevsky-Trofimov estimates of all depths are mixed
-by their weights for the training texts, computed from the deepest level upward, one grouped sum a level. A context that
+by their weights for the training texts, computed from the deepest level upward. A context that
 training never saw leaves the estimate to the next shorter one, so each decision stays a proper distribution and so does
 the text: it is read from a start mark to an end mark.
 
-Counting and weighting are distributed. The nodes then go into a table of ``SLOTS`` hashed slots, whose size is fixed
+Counting and weighting are distributed: contexts that share their last bytes are dealt to one task, which weights their
+whole subtree. The nodes then go into a table of ``SLOTS`` hashed slots, whose size is fixed
 whatever the corpus; nodes that share a slot add up. Words are known by a 64-bit hash.
 
 Defined results: null text is an empty text, whose score is that of the end mark; null doc_id is scored and learned from
@@ -19,7 +20,6 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import lower_table, slices, stash, utf8
 
-DEPTH = 6
-SLOT_BITS = 24
+DEPTH = 5
+SLOT_BITS = 23
+#: Contexts of this many bytes are dealt whole, so that all deeper levels need no exchange.
+DEALT = 3
 BLOCK_BITS = 17
 MARK = 0xFF  # never a byte of UTF-8: start and end of a text
 RUN_BYTES = 1 << 20
-#: A word of at least this share of all tokens is looked up in a broadcast table, which so has 65,536 rows at most.
-HEAD_SHARE = 1 / 65_536
+#: A word of at least this share of all tokens is looked up in a broadcast table, which so has 2**20 rows (16 MB) at most.
+HEAD_SHARE = 2**-20
 LOWER = lower_table()
 GRAM, WORD = 0, 1
 HELD = 4_000_000
@@ -112,46 +114,160 @@ def count_training(docs: DataFrame) -> DataFrame:
     return stash(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
-def _log_gamma(z: Column) -> Column:
+def _log_gamma(z: np.ndarray) -> np.ndarray:
     """Stirling's series five steps up; z >= 1/2."""
     s = z + 5.0
-    series = (s - 0.5) * F.log(s) - s + 0.5 * math.log(2 * math.pi) + 1 / (12 * s) - 1 / (360 * s * s * s) + 1 / (1260 * s * s * s * s * s)
-    return series - F.log(z * (z + 1) * (z + 2) * (z + 3) * (z + 4))
+    series = (s - 0.5) * np.log(s) - s + 0.5 * math.log(2 * math.pi) + 1 / (12 * s) - 1 / (360 * s**3) + 1 / (1260 * s**5)
+    return series - np.log(z * (z + 1) * (z + 2) * (z + 3) * (z + 4))
 
 
-def _log_kt(a: Column, b: Column) -> Column:
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log probability that the Krichevsky-Trofimov estimator gives a sequence of a zeros and b ones."""
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def deepest(key: np.ndarray, n: np.ndarray) -> Level:
+    """Nodes of the deepest level from counted grams: node, zeros, ones, log weighted probability, weight of the own estimate.
+
+    A node is its context << 8 | the bits of the byte so far behind a leading 1.
+    """
+    context, byte = key >> 8, key & 255
+    node = np.concatenate([context << 8 | (1 << bit) | byte >> (8 - bit) for bit in range(8)])
+    one = np.concatenate([byte >> (7 - bit) & 1 for bit in range(8)]).astype(bool)
+    many = np.tile(n, 8)
+    found, where = np.unique(node, return_inverse=True)
+    n0 = np.bincount(where, np.where(one, 0, many), len(found))
+    n1 = np.bincount(where, np.where(one, many, 0), len(found))
+    return found, n0, n1, log_kt(n0, n1), np.ones(len(found))
+
+
+def shorter(depth: int, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, lw: np.ndarray) -> Level:
+    """The level of contexts of ``depth`` bytes from the next deeper one."""
+    parent = (node >> 8 & (1 << 8 * depth) - 1) << 8 | node & 255
+    found, where = np.unique(parent, return_inverse=True)
+    n0, n1, below = (np.bincount(where, x, len(found)) for x in (n0, n1, lw))
+    kt = log_kt(n0, n1)
+    both = np.logaddexp(kt, below)
+    return found, n0, n1, both - math.log(2), np.exp(kt - both)
+
+
+BLOCKS = "block int, data binary"
+
+
+def pack_nodes(levels: list[tuple[int, Level]]) -> tuple[list[int], list[bytes]]:
+    """Nodes by slot, those of one slot added up, in compressed blocks."""
+    import zstandard
+
+    slot = np.concatenate([slots(d, x[0]) for d, x in levels])
+    n0, n1 = (np.concatenate([x[k] for _, x in levels]) for k in (1, 2))
+    own = np.concatenate([x[4] for _, x in levels]) * (n0 + n1)
+    found, where = np.unique(slot, return_inverse=True)
+    n0, n1, own = (np.bincount(where, x, len(found)) for x in (n0, n1, own))
+    cut = np.searchsorted(found, np.arange(0, (1 << SLOT_BITS) + 1, 1 << BLOCK_BITS))
+    blocks, data = [], []
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        if a < b:
+            part = (np.diff(found[a:b], prepend=k << BLOCK_BITS).astype("<u4"), n0[a:b].astype("<i8"), n1[a:b].astype("<i8"), own[a:b].astype("<f4"))
+            blocks.append(k)
+            data.append(zstandard.compress(b"".join(x.view(np.uint8).reshape(b - a, -1).T.tobytes() for x in part)))
+    return blocks, data
+
+
+def unpack_nodes(data: bytes) -> list[np.ndarray]:
+    """(slot within its block, zeros, ones, own weight times count) of a packed block."""
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n, at, out = len(raw) // 24, 0, []
+    for kind, wide in (("<u4", 4), ("<i8", 8), ("<i8", 8), ("<f4", 4)):
+        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).ravel())
+        at += n * wide
+    return [np.cumsum(out[0], dtype=np.int64), *out[1:]]
+
+
 def weighted_nodes(counts: DataFrame) -> DataFrame:
-    """(depth, node, n0, n1, own): own is the weight of the node's own estimate. node: context << 8 | bits so far with a leading 1."""
-    gram = counts.where(F.col("kind") == GRAM)
-    byte = F.col("key").bitwiseAND(255)
-    split = gram.select(F.shiftright("key", 8).alias("context"), byte.alias("byte"), "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
-    prefix = F.expr("shiftleft(1L, bit) | shiftright(byte, 8 - bit)")
-    one = F.expr("shiftright(byte, 7 - bit) & 1")
-    level = split.select((F.shiftleft("context", 8).bitwiseOR(prefix)).alias("node"), F.when(one == 0, F.col("n")).otherwise(0).alias("n0"), F.when(one == 1, F.col("n")).otherwise(0).alias("n1"))
-    level = level.groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    level = stash(level.select("node", "n0", "n1", _log_kt(F.col("n0"), F.col("n1")).alias("lw"), F.lit(1.0).alias("own")), "ctw")
-    levels = [level.select(F.lit(DEPTH).alias("depth"), "node", "n0", "n1", "own")]
-    for d in range(DEPTH - 1, -1, -1):
-        mask = (1 << 8 * d) - 1
-        parent = F.expr(f"shiftleft(shiftright(node, 8) & {mask}L, 8) | (node & 255)")
-        up = level.groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
-        up = up.withColumn("kt", _log_kt(F.col("n0"), F.col("n1")))
-        top = F.greatest("kt", "below")
-        lw = top + F.log(F.exp(F.col("kt") - top) + F.exp(F.col("below") - top)) - math.log(2)
-        own = F.exp(F.col("kt") - top) / (F.exp(F.col("kt") - top) + F.exp(F.col("below") - top))
-        level = stash(up.select("node", "n0", "n1", lw.alias("lw"), own.alias("own")), "ctw")
-        levels.append(level.select(F.lit(d).alias("depth"), "node", "n0", "n1", "own"))
-    return reduce(DataFrame.unionByName, levels)
-
-
-def slots(depth: np.ndarray | int, node: np.ndarray) -> np.ndarray:
+    """All nodes in packed blocks: block, data."""
+    grams_ = counts.where(F.col("kind") == GRAM).select("key", "n", F.expr(f"shiftright(key, 8) & {(1 << 8 * DEALT) - 1}L").alias("suffix"))
+
+    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by suffix: the packed levels down from DEALT, and what level DEALT hands up."""
+
+        def solve(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            level = deepest(key, n)
+            levels = [(DEPTH, level)]
+            for d in range(DEPTH - 1, DEALT - 1, -1):
+                level = shorter(d, *level[:4])
+                levels.append((d, level))
+            blocks, data = pack_nodes(levels)
+            rest, none = len(level[0]), [None] * len(blocks)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array(blocks + [None] * rest, pa.int32()), "data": pa.array(data + [None] * rest, pa.binary()),
+                    **{name: pa.array(none + x.tolist(), pa.int64() if name == "node" else pa.float64()) for name, x in zip(("node", "n0", "n1", "lw"), level[:4], strict=True)},
+                }
+            )
+
+        held, size = [], 0
+        for b in batches:
+            key, n, suffix = (b.column(c).to_numpy() for c in ("key", "n", "suffix"))
+            if not len(key):
+                continue
+            if size > HELD // 4 and suffix[0] != held[-1][2][-1]:
+                yield solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+                held, size = [], 0
+            elif size > HELD // 4:
+                stop = int(np.searchsorted(suffix != suffix[0], True)) if (suffix != suffix[0]).any() else len(suffix)
+                held.append((key[:stop], n[:stop], suffix[:stop]))
+                size += stop
+                if stop < len(key):
+                    yield solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+                    held, size = [], 0
+                key, n, suffix = key[stop:], n[stop:], suffix[stop:]
+                if not len(key):
+                    continue
+            held.append((key, n, suffix))
+            size += len(key)
+        if held:
+            yield solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
+
+    found = stash(grams_.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(deep, f"{BLOCKS}, node long, n0 double, n1 double, lw double"), "ctw")
+    low = found.where(F.col("node").isNotNull()).select("node", "n0", "n1", "lw")
+
+    def top(key, pdf):
+        """Contexts that end in one byte: the levels from DEALT - 1 to 1, packed; level 1 handed up."""
+        import pandas as pd
+
+        level = tuple(pdf[c].to_numpy() for c in ("node", "n0", "n1", "lw"))
+        levels = []
+        for d in range(DEALT - 1, 0, -1):
+            level = shorter(d, *level[:4])
+            levels.append((d, level))
+        blocks, data = pack_nodes(levels)
+        handed = pd.DataFrame(dict(zip(("node", "n0", "n1", "lw"), level[:4], strict=True)))
+        return pd.concat([pd.DataFrame({"block": blocks, "data": data}), handed])[["block", "data", "node", "n0", "n1", "lw"]].astype({"block": "Int32", "node": "Int64"})
+
+    # a byte has at most 256**2 * 255 such nodes whatever the corpus
+    middle = stash(low.groupBy(F.expr("shiftright(node, 8) & 255").alias("last")).applyInPandas(top, f"{BLOCKS}, node long, n0 double, n1 double, lw double"), "ctw")
+
+    def root(pdf):
+        import pandas as pd
+
+        blocks, data = pack_nodes([(0, shorter(0, *(pdf[c].to_numpy() for c in ("node", "n0", "n1", "lw"))))])
+        return pd.DataFrame({"block": blocks, "data": data})
+
+    # at most 256 * 255 rows
+    last = middle.where(F.col("node").isNotNull()).groupBy(F.lit(0).alias("all")).applyInPandas(root, BLOCKS)
+    packed = lambda df: df.where(F.col("block").isNotNull()).select("block", "data")
+    return packed(found).unionByName(packed(middle)).unionByName(last)
+
+
+def slots(depth: int, node: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= (np.asarray(depth).astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= np.uint64((depth + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
     return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
@@ -193,25 +309,32 @@ class Tree:
 
 
 def gather(nodes: DataFrame) -> Tree:
-    """The nodes in a tree of fixed size, block by block."""
+    """The packed nodes in a tree of fixed size, block by block."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n0, n1 = b.column("n0").to_numpy(), b.column("n1").to_numpy()
-            at = slots(b.column("depth").to_numpy(), b.column("node").to_numpy())
-            yield pa.RecordBatch.from_pydict({"slot": at.astype(np.int32), "n0": n0, "n1": n1, "own": b.column("own").to_numpy() * (n0 + n1)})
-
-    def packed(pdf):
-        import pandas as pd
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by block; one block is in memory at a time."""
 
-        odds, own = np.full(1 << BLOCK_BITS, np.nan, np.float16), np.ones(1 << BLOCK_BITS, np.float16)
-        at = pdf["slot"].to_numpy() & ((1 << BLOCK_BITS) - 1)
-        odds[at] = np.log((pdf["n1"].to_numpy() + 0.5) / (pdf["n0"].to_numpy() + 0.5))
-        own[at] = pdf["own"].to_numpy() / (pdf["n0"] + pdf["n1"]).to_numpy()
-        return pd.DataFrame({"block": [int(pdf["slot"].iloc[0]) >> BLOCK_BITS], "odds": [odds.tobytes()], "own": [own.tobytes()]})
+        def done() -> pa.RecordBatch:
+            n = total[0] + total[1]
+            with np.errstate(invalid="ignore", divide="ignore"):
+                odds = np.where(n > 0, np.log((total[1] + 0.5) / (total[0] + 0.5)), np.nan)
+                own = np.where(n > 0, total[2] / n, 1.0)
+            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "odds": pa.array([odds.astype(np.float16).tobytes()], pa.binary()), "own": pa.array([own.astype(np.float16).tobytes()], pa.binary())})
 
-    rows = nodes.mapInArrow(hashed, "slot int, n0 long, n1 long, own double").groupBy("slot").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("own").alias("own"))
-    blocks = rows.groupBy(F.shiftright("slot", BLOCK_BITS).alias("b")).applyInPandas(packed, "block int, odds binary, own binary")  # a block is 2**17 rows at most
+        now, total = None, np.zeros((3, 1 << BLOCK_BITS))
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield done()
+                    now, total = block, np.zeros((3, 1 << BLOCK_BITS))
+                at, n0, n1, own = unpack_nodes(data.as_py())
+                for row, x in zip(total, (n0, n1, own), strict=True):
+                    row[at] += x
+        if now is not None:
+            yield done()
+
+    blocks = nodes.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, odds binary, own binary")
     tree = Tree()
     for r in blocks.toLocalIterator():  # 512 kB a row, 2**(SLOT_BITS - BLOCK_BITS) rows whatever the corpus
         part = slice(r["block"] << BLOCK_BITS, (r["block"] + 1) << BLOCK_BITS)
