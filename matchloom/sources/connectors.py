@@ -53,12 +53,16 @@ def read_ledger(spark: SparkSession, path: str, batch_id: int = 0) -> DataFrame:
     return rows.select(F.lit(batch_id).cast("long").alias("batch_id"), F.monotonically_increasing_id().alias("ordinal"), "*")
 
 
+def is_item(x: object) -> bool:
+    """Corners and (text, confidence)."""
+    return isinstance(x, (list, tuple)) and len(x) == 2 and isinstance(x[1], (list, tuple)) and len(x[1]) == 2 and isinstance(x[1][0], str)
+
+
 def unnested(result: list | None) -> list:
     """The items of the first page, whether or not the engine nests pages."""
-    if not result:
-        return []
-    nested = isinstance(result[0], list) and bool(result[0]) and isinstance(result[0][0], list) and (not result[0][0] or isinstance(result[0][0][0], list))
-    return result[0] if nested else result
+    if not result or any(map(is_item, result)):
+        return result or []
+    return result[0] or []
 
 
 def read_images(spark: SparkSession, paths: list[str], make_ocr: Callable[[], Ocr]) -> DataFrame:

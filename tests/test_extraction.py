@@ -111,7 +111,7 @@ def test_four_places(spark):
 
 def test_unnested():
     item = [[[0, 0]], ["t", 0.9]]
-    assert connectors.unnested([[item]]) == [item] and connectors.unnested([item]) == [item] and connectors.unnested(None) == []
+    assert connectors.unnested([[item]]) == [item] and connectors.unnested([item]) == [item] and connectors.unnested(None) == [] and connectors.unnested([None]) == []
 
 
 def test_command_line(capsys, tmp_path, spark):

@@ -75,7 +75,7 @@ def test_far_rows_change_nothing(spark):
 def test_assignment_is_optimal():
     r = np.random.default_rng(1)
     for _ in range(300):
-        n, m = sorted(r.integers(1, 6, 2))
+        n, m = sorted(r.integers(1, 6, 2).tolist())
         cost = r.integers(0, 6, (n, m)) / 4 if r.random() < 0.5 else r.random((n, m))
         col, u, v = assignment.assignment(cost)
         assert len(set(col.tolist())) == n
