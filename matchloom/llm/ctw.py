@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,7 @@ def shorter(depth: int, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, lw: np
     return found, n0, n1, both - math.log(2), np.exp(kt - both)
 
 
-BLOCKS = "block int, data binary"
+HANDED = "block int, data binary, node long, n0 double, n1 double, lw double"
 
 
 def pack_nodes(levels: list[tuple[int, Level]]) -> tuple[list[int], list[bytes]]:
@@ -176,6 +177,25 @@ def pack_nodes(levels: list[tuple[int, Level]]) -> tuple[list[int], list[bytes]]
     return blocks, data
 
 
+def handed(levels: list[tuple[int, Level]]) -> pa.RecordBatch:
+    """The levels packed (block, data), and the rows of the last that the next shorter contexts are summed from."""
+    blocks, data = pack_nodes(levels)
+    level = levels[-1][1]
+    rest, none = [None] * len(level[0]), [None] * len(blocks)
+    rows = {name: pa.array(none + x.tolist(), pa.int64() if name == "node" else pa.float64()) for name, x in zip(("node", "n0", "n1", "lw"), level[:4], strict=True)}
+    return pa.RecordBatch.from_pydict({"block": pa.array(blocks + rest, pa.int32()), "data": pa.array(data + rest, pa.binary()), **rows})
+
+
+def climb(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Summed nodes of one level (node, n0, n1, below) to that level."""
+    for b in batches:
+        if len(b):
+            node, n0, n1, below = (b.column(c).to_numpy() for c in ("node", "n0", "n1", "below"))
+            kt = log_kt(n0, n1)
+            both = np.logaddexp(kt, below)
+            yield handed([(depth, (node, n0, n1, both - math.log(2), np.exp(kt - both)))])
+
+
 def unpack_nodes(data: bytes) -> list[np.ndarray]:
     """(slot within its block, zeros, ones, own weight times count) of a packed block."""
     import zstandard
@@ -201,14 +221,7 @@ def weighted_nodes(counts: DataFrame) -> DataFrame:
             for d in range(DEPTH - 1, DEALT - 1, -1):
                 level = shorter(d, *level[:4])
                 levels.append((d, level))
-            blocks, data = pack_nodes(levels)
-            rest, none = len(level[0]), [None] * len(blocks)
-            return pa.RecordBatch.from_pydict(
-                {
-                    "block": pa.array(blocks + [None] * rest, pa.int32()), "data": pa.array(data + [None] * rest, pa.binary()),
-                    **{name: pa.array(none + x.tolist(), pa.int64() if name == "node" else pa.float64()) for name, x in zip(("node", "n0", "n1", "lw"), level[:4], strict=True)},
-                }
-            )
+            return handed(levels)
 
         held, size = [], 0
         for b in batches:
@@ -233,35 +246,18 @@ def weighted_nodes(counts: DataFrame) -> DataFrame:
         if held:
             yield solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
 
-    found = stash(grams_.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(deep, f"{BLOCKS}, node long, n0 double, n1 double, lw double"), "ctw")
+    found = stash(grams_.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(deep, HANDED), "ctw")
     low = found.where(F.col("node").isNotNull()).select("node", "n0", "n1", "lw")
 
-    def top(key, pdf):
-        """Contexts that end in one byte: the levels from DEALT - 1 to 1, packed; level 1 handed up."""
-        import pandas as pd
-
-        level = tuple(pdf[c].to_numpy() for c in ("node", "n0", "n1", "lw"))
-        levels = []
-        for d in range(DEALT - 1, 0, -1):
-            level = shorter(d, *level[:4])
-            levels.append((d, level))
-        blocks, data = pack_nodes(levels)
-        handed = pd.DataFrame(dict(zip(("node", "n0", "n1", "lw"), level[:4], strict=True)))
-        return pd.concat([pd.DataFrame({"block": blocks, "data": data}), handed])[["block", "data", "node", "n0", "n1", "lw"]].astype({"block": "Int32", "node": "Int64"})
-
-    # a byte has at most 256**2 * 255 such nodes whatever the corpus
-    middle = stash(low.groupBy(F.expr("shiftright(node, 8) & 255").alias("last")).applyInPandas(top, f"{BLOCKS}, node long, n0 double, n1 double, lw double"), "ctw")
-
-    def root(pdf):
-        import pandas as pd
-
-        blocks, data = pack_nodes([(0, shorter(0, *(pdf[c].to_numpy() for c in ("node", "n0", "n1", "lw"))))])
-        return pd.DataFrame({"block": blocks, "data": data})
-
-    # at most 256 * 255 rows
-    last = middle.where(F.col("node").isNotNull()).groupBy(F.lit(0).alias("all")).applyInPandas(root, BLOCKS)
     packed = lambda df: df.where(F.col("block").isNotNull()).select("block", "data")
-    return packed(found).unionByName(packed(middle)).unionByName(last)
+    out = packed(found)
+    for depth in range(DEALT - 1, -1, -1):
+        parent = F.expr(f"shiftleft(shiftright(node, 8) & {(1 << 8 * depth) - 1}L, 8) | (node & 255)")
+        up = low.groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
+        found = stash(up.mapInArrow(partial(climb, depth=depth), HANDED), "ctw")
+        out = out.unionByName(packed(found))
+        low = found.where(F.col("node").isNotNull()).select("node", "n0", "n1", "lw")
+    return out
 
 
 def slots(depth: int, node: np.ndarray) -> np.ndarray:
@@ -378,8 +374,8 @@ def score(docs: DataFrame) -> DataFrame:
     total, distinct = n_words + n_texts, v_words + (n_texts > 0)
     spare = math.log10(total + distinct + 1)
     # 1 / HEAD_SHARE rows at most, since each has that share of all tokens
-    head = sorted((r["key"], r["n"]) for r in words.where(F.col("n") >= F.lit(max(1.0, total * HEAD_SHARE))).collect())
-    shared = spark.sparkContext.broadcast((gather(weighted_nodes(counts)), np.array([k for k, _ in head], np.int64), np.array([n for _, n in head], np.int64)))
+    head = words.where(F.col("n") >= F.lit(max(1.0, total * HEAD_SHARE))).toArrow().sort_by("key")
+    shared = spark.sparkContext.broadcast((gather(weighted_nodes(counts)), head.column("key").to_numpy(), head.column("n").to_numpy()))
     fields = "rid long, doc_id long, held_out boolean, n_bytes long, n_words long, score double, head_n long, head_sum double, tail array<long>, tail_n array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
