@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, stash, utf8
+from .common import shuffle_partitions, slices, small_side, stash, utf8
 from .tokens import encoder
 
 MAGIC = b"MLP1"
@@ -169,4 +169,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     {"doc_id": pa.array(r.doc_ids, pa.int64()), "start": pa.array(r.starts[:-1] + base), "n_tokens": pa.array(np.diff(r.starts)), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
-    return shards.select("shard", "part", "image").join(bases, ["shard", "part"]).select("base", "image").mapInArrow(run, schema)
+    return shards.select("shard", "part", "image").join(small_side(bases), ["shard", "part"]).select("base", "image").mapInArrow(run, schema)

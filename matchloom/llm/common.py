@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +48,12 @@ def unstash(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
+    """df, stashed; marked for broadcast if it has at most ``limit`` (narrow) rows, else left to a shuffled join."""
+    kept = stash(df, "side")
+    return F.broadcast(kept) if kept.count() <= limit else kept
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitpack import text_runs, with_end
-from .common import stash
+from .common import small_side, stash
 from .tokens import encoder
 
 LENGTH = 1024
@@ -57,7 +57,7 @@ def pack_sequences(ids: DataFrame, length: int = LENGTH) -> DataFrame:
     """Pieces of ``tokenized`` documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window_tokens."""
     totals = ids.groupBy("part").agg(F.sum("n").alias("n"))
     bases = totals.select("part", (F.expr("sum(n) OVER (ORDER BY part)") - F.col("n")).alias("base"))
-    placed = ids.join(bases, "part").select("doc_id", "ids", "n", (F.col("base") + F.col("start")).alias("at"))
+    placed = ids.join(small_side(bases), "part").select("doc_id", "ids", "n", (F.col("base") + F.col("start")).alias("at"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
