@@ -7,6 +7,7 @@ it, so a lost executor costs a re-read and not a recomputation.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -82,6 +83,14 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def trim() -> None:
+    """Give freed memory back to the system, which the allocators of a reused Python worker otherwise keep."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def lower_table() -> bytes:
     """A-Z to a-z, every other byte as it is."""
     return bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

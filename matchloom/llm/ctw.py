@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_table, slices, stash, utf8
+from .common import lower_table, slices, stash, trim, utf8
 
 DEPTH = 5
 SLOT_BITS = 23
@@ -35,12 +35,13 @@ SLOT_BITS = 23
 DEALT = 3
 BLOCK_BITS = 17
 MARK = 0xFF  # never a byte of UTF-8: start and end of a text
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 #: A word of at least this share of all tokens is looked up in a broadcast table, which so has 2**20 rows (16 MB) at most.
 HEAD_SHARE = 2**-20
 LOWER = lower_table()
 GRAM, WORD = 0, 1
-HELD = 4_000_000
+HELD = 1_500_000
+HELD_WORDS = 200_000
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +102,7 @@ def count_training(docs: DataFrame) -> DataFrame:
                         yield row(GRAM, *held[0])
                         held, size = [], 0
                 words.update(part.tobytes().translate(LOWER).split() if j == i + 1 else (w for k in range(i, j) for w in data[offsets[k] : offsets[k + 1]].tobytes().translate(LOWER).split()))
-                if len(words) > HELD // 8:
+                if len(words) > HELD_WORDS:
                     yield row(WORD, word_keys(list(words)), list(words.values()))
                     words = Counter()
         if held:
@@ -110,6 +111,8 @@ def count_training(docs: DataFrame) -> DataFrame:
             yield row(WORD, word_keys(list(words)), list(words.values()))
         if texts:
             yield row(2, [0], [texts])
+        del held, words
+        trim()
 
     parts = docs.select("text").mapInArrow(run, "kind int, key long, n long")
     return stash(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
@@ -403,6 +406,8 @@ def score(docs: DataFrame) -> DataFrame:
                         "tail": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])), "tail_n": pa.ListArray.from_arrays(pa.array(rare), pa.array(n[~common])),
                     }
                 )
+        del tree, scorer
+        trim()
 
     scored = stash(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, fields), "scored")
     tail = scored.select("rid", F.inline(F.arrays_zip(F.col("tail").alias("key"), F.col("tail_n").alias("m"))))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitpack import text_runs, with_end
-from .common import small_side, stash
+from .common import small_side, stash, trim
 from .tokens import encoder
 
 LENGTH = 1024
@@ -48,6 +48,7 @@ def tokenized(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
                 }
             )
             base += int(stops[-1])
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return stash(rows.mapInArrow(run, "doc_id long, ids binary, n long, part int, start long"), "ids")
