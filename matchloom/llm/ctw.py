@@ -6,9 +6,12 @@ by their weights for the training texts, computed from the deepest level upward.
 training never saw leaves the estimate to the next shorter one, so each decision stays a proper distribution and so does
 the text: it is read from a start mark to an end mark.
 
-Counting and weighting are distributed: contexts that share their last bytes are dealt to one task, which weights their
-whole subtree. The nodes then go into a table of ``SLOTS`` hashed slots, whose size is fixed
-whatever the corpus; nodes that share a slot add up. Words are known by a 64-bit hash.
+Counting and weighting are distributed, and nodes are exact: each is known by its whole context. Texts are read in
+chunks, whose distinct grams (a byte and its context) go to buckets by the last ``DEALT`` bytes of the context. A bucket
+has all nodes of its contexts, weights them, hands the sums up to the shorter contexts and sends the log probability of
+each gram back to the chunks that asked. Only the nodes of contexts shorter than ``DEALT`` bytes are broadcast, of which
+there are fewer than 2**24 whatever the corpus; all others stay in the buckets, whose number grows with the texts.
+Words are known by a 64-bit hash.
 
 Defined results: null text is an empty text, whose score is that of the end mark; null doc_id is scored and learned from
 as one that is not held out; repeated rows count as often as they come; without training texts each bit costs one bit;
@@ -27,20 +30,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_table, slices, stash, trim, utf8
+from .common import lower_table, shuffle_partitions, slices, stash, trim, utf8
 
 DEPTH = 5
-SLOT_BITS = 23
 #: Contexts of this many bytes are dealt whole, so that all deeper levels need no exchange.
 DEALT = 3
-BLOCK_BITS = 17
+#: Bytes of text whose grams are looked up together, and bytes of all texts for each bucket.
+CHUNK = 1 << 24
+BUCKET_BYTES = 1 << 22
 MARK = 0xFF  # never a byte of UTF-8: start and end of a text
 RUN_BYTES = 1 << 19
 #: A word of at least this share of all tokens is looked up in a broadcast table, which so has 2**20 rows (16 MB) at most.
 HEAD_SHARE = 2**-20
 LOWER = lower_table()
-GRAM, WORD = 0, 1
+GRAM, WORD, TEXTS, TEXT = 0, 1, 2, 3
 HELD = 1_500_000
+SOLVED = 250_000
 HELD_WORDS = 200_000
 
 
@@ -71,51 +76,115 @@ def word_keys(words) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
+def turned(key: np.ndarray) -> np.ndarray:
+    """Grams with the last DEALT bytes of the context in front."""
+    old = 8 * (DEPTH - DEALT)
+    return (key >> 8 & (1 << 8 * DEALT) - 1) << old + 8 | key >> 8 * DEALT + 8 << 8 | key & 255
+
+
+def unturned(key: np.ndarray) -> np.ndarray:
+    old = 8 * (DEPTH - DEALT)
+    return (key >> 8 & (1 << old) - 1) << 8 * DEALT + 8 | key >> old + 8 << 8 | key & 255
+
+
+def folded(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    distinct, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return distinct, np.bincount(where, np.concatenate([n for _, n in held]), len(distinct)).astype(np.int64)
+
+
+def pack_grams(key: np.ndarray, n: np.ndarray) -> bytes:
+    import zstandard
+
+    part = (np.diff(key, prepend=0).astype("<i8"), n.astype("<u4"))
+    return zstandard.compress(b"".join(x.view(np.uint8).reshape(len(key), -1).T.tobytes() for x in part), 1)
+
+
+def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    n = len(raw) // 12
+    key = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<i8").ravel()
+    return np.cumsum(key), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
+
+
+COUNTED = pa.schema(
+    [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("key", pa.int64()), ("n", pa.int64())]
+)
+
+
 def count_training(docs: DataFrame) -> DataFrame:
-    """A stashed table kind, key, n: grams and words of all training texts; the key of kind 2 counts the texts."""
+    """A stashed table of four kinds of rows: packed grams of a chunk and bucket, words, numbers of texts, and the texts with their chunk.
+
+    Texts that are held out (column held_out, if there is one) count nothing, so their grams come with the count 0.
+    """
+    held_out_ = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out_.alias("held_out"), "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         words: Counter = Counter()
-        texts = size = 0
-
-        def row(kind: int, key, n) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(key), pa.int32()), "key": pa.array(key, pa.int64()), "n": pa.array(n, pa.int64())})
-
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            k = np.concatenate([x for x, _ in held])
-            distinct, where = np.unique(k, return_inverse=True)
-            return distinct, np.bincount(where, np.concatenate([n for _, n in held]), len(distinct)).astype(np.int64)
+        texts = size = base = read = 0
+        chunk = None
+
+        def row(kind: int, rows: int, **columns) -> pa.RecordBatch:
+            columns |= {"kind": np.full(rows, kind)}
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in COUNTED], schema=COUNTED)
+
+        def dealt() -> pa.RecordBatch:
+            key, n = folded(held)
+            with np.errstate(over="ignore"):
+                mixed = (key >> 8 * (DEPTH - DEALT) + 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            key, n, bucket = key[order], n[order], bucket[order]
+            cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            data = [pack_grams(key[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            return row(GRAM, len(data), chunk=np.full(len(data), chunk), bucket=bucket[cut[:-1]], data=data)
 
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            texts += len(batch)
+            out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             for i, j in slices(offsets, RUN_BYTES):
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                g, n = np.unique(grams(part, bounds)[0], return_counts=True)
-                held.append((g, n))
-                size += len(g)
-                if size > HELD:
-                    held = [folded()]
-                    size = len(held[0][0])
-                    if 2 * size > HELD:
-                        yield row(GRAM, *held[0])
-                        held, size = [], 0
-                words.update(part.tobytes().translate(LOWER).split() if j == i + 1 else (w for k in range(i, j) for w in data[offsets[k] : offsets[k + 1]].tobytes().translate(LOWER).split()))
+                rows_ = batch.slice(i, j - i)
+                if chunk is None:
+                    chunk = rows_.column("rid")[0].as_py()
+                yield row(TEXT, j - i, chunk=np.full(j - i, chunk), **{c: rows_.column(c) for c in ("rid", "doc_id", "held_out", "text")})
+                key = turned(grams(part, bounds)[0])
+                apart = np.repeat(out[i:j], np.diff(bounds) + 1)
+                for g, counted in ((key[~apart], 1), (key[apart], 0)):
+                    if len(g):
+                        g, n = np.unique(g, return_counts=True)
+                        held.append((g, n * counted))
+                        size += len(g)
+                if size > 2 * base + HELD:
+                    held = [folded(held)]
+                    size = base = len(held[0][0])
+                read += len(part)
+                if read > CHUNK:
+                    yield dealt()
+                    held, size, base, read, chunk = [], 0, 0, 0, None
+                texts += int((~out[i:j]).sum())
+                for k in np.flatnonzero(~out[i:j]).tolist():
+                    words.update(part[bounds[k] : bounds[k + 1]].tobytes().translate(LOWER).split())
                 if len(words) > HELD_WORDS:
-                    yield row(WORD, word_keys(list(words)), list(words.values()))
+                    yield row(WORD, len(words), key=word_keys(list(words)), n=list(words.values()))
                     words = Counter()
         if held:
-            yield row(GRAM, *folded())
+            yield dealt()
         if words:
-            yield row(WORD, word_keys(list(words)), list(words.values()))
+            yield row(WORD, len(words), key=word_keys(list(words)), n=list(words.values()))
         if texts:
-            yield row(2, [0], [texts])
+            yield row(TEXTS, 1, key=[0], n=[texts])
         del held, words
         trim()
 
-    parts = docs.select("text").mapInArrow(run, "kind int, key long, n long")
-    return stash(parts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    fields = "kind int, chunk long, bucket int, data binary, rid long, doc_id long, held_out boolean, text string, key long, n long"
+    return stash(rows.mapInArrow(run, fields), "counts")
 
 
 def _log_gamma(z: np.ndarray) -> np.ndarray:
@@ -130,11 +199,12 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
-Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+Level = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def deepest(key: np.ndarray, n: np.ndarray) -> Level:
-    """Nodes of the deepest level from counted grams: node, zeros, ones, log weighted probability, weight of the own estimate.
+    """Nodes of the deepest level from counted grams: node, zeros, ones, log weighted probability, weight of the own
+    estimate, and at which of the nodes each bit of each gram (or each node of the next deeper level) is.
 
     A node is its context << 8 | the bits of the byte so far behind a leading 1.
     """
@@ -145,7 +215,7 @@ def deepest(key: np.ndarray, n: np.ndarray) -> Level:
     found, where = np.unique(node, return_inverse=True)
     n0 = np.bincount(where, np.where(one, 0, many), len(found))
     n1 = np.bincount(where, np.where(one, many, 0), len(found))
-    return found, n0, n1, log_kt(n0, n1), np.ones(len(found))
+    return found, n0, n1, log_kt(n0, n1), np.ones(len(found)), where
 
 
 def shorter(depth: int, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, lw: np.ndarray) -> Level:
@@ -155,38 +225,23 @@ def shorter(depth: int, node: np.ndarray, n0: np.ndarray, n1: np.ndarray, lw: np
     n0, n1, below = (np.bincount(where, x, len(found)) for x in (n0, n1, lw))
     kt = log_kt(n0, n1)
     both = np.logaddexp(kt, below)
-    return found, n0, n1, both - math.log(2), np.exp(kt - both)
+    return found, n0, n1, both - math.log(2), np.exp(kt - both), where
 
 
-HANDED = "block int, data binary, node long, n0 double, n1 double, lw double"
+NODES = "depth int, node long, n0 double, n1 double, lw double, own double"
 
 
-def pack_nodes(levels: list[tuple[int, Level]]) -> tuple[list[int], list[bytes]]:
-    """Nodes by slot, those of one slot added up, in compressed blocks."""
-    import zstandard
+def subtree(key: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels from DEPTH to DEALT of whole contexts of DEALT bytes. A gram that was not counted makes nodes without counts, which weigh nothing."""
+    levels = [deepest(key, n)]
+    for d in range(DEPTH - 1, DEALT - 1, -1):
+        levels.append(shorter(d, *levels[-1][:4]))
+    return levels
+
 
-    slot = np.concatenate([slots(d, x[0]) for d, x in levels])
-    n0, n1 = (np.concatenate([x[k] for _, x in levels]) for k in (1, 2))
-    own = np.concatenate([x[4] for _, x in levels]) * (n0 + n1)
-    found, where = np.unique(slot, return_inverse=True)
-    n0, n1, own = (np.bincount(where, x, len(found)) for x in (n0, n1, own))
-    cut = np.searchsorted(found, np.arange(0, (1 << SLOT_BITS) + 1, 1 << BLOCK_BITS))
-    blocks, data = [], []
-    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-        if a < b:
-            part = (np.diff(found[a:b], prepend=k << BLOCK_BITS).astype("<u4"), n0[a:b].astype("<i8"), n1[a:b].astype("<i8"), own[a:b].astype("<f4"))
-            blocks.append(k)
-            data.append(zstandard.compress(b"".join(x.view(np.uint8).reshape(b - a, -1).T.tobytes() for x in part)))
-    return blocks, data
-
-
-def handed(levels: list[tuple[int, Level]]) -> pa.RecordBatch:
-    """The levels packed (block, data), and the rows of the last that the next shorter contexts are summed from."""
-    blocks, data = pack_nodes(levels)
-    level = levels[-1][1]
-    rest, none = [None] * len(level[0]), [None] * len(blocks)
-    rows = {name: pa.array(none + x.tolist(), pa.int64() if name == "node" else pa.float64()) for name, x in zip(("node", "n0", "n1", "lw"), level[:4], strict=True)}
-    return pa.RecordBatch.from_pydict({"block": pa.array(blocks + rest, pa.int32()), "data": pa.array(data + rest, pa.binary()), **rows})
+def node_rows(depth: int, level: Level) -> pa.RecordBatch:
+    columns = [np.full(len(level[0]), depth, np.int32), *level[:5]]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["depth", "node", "n0", "n1", "lw", "own"])
 
 
 def climb(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
@@ -196,170 +251,180 @@ def climb(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBa
             node, n0, n1, below = (b.column(c).to_numpy() for c in ("node", "n0", "n1", "below"))
             kt = log_kt(n0, n1)
             both = np.logaddexp(kt, below)
-            yield handed([(depth, (node, n0, n1, both - math.log(2), np.exp(kt - both)))])
+            yield node_rows(depth, (node, n0, n1, both - math.log(2), np.exp(kt - both)))
 
 
-def unpack_nodes(data: bytes) -> list[np.ndarray]:
-    """(slot within its block, zeros, ones, own weight times count) of a packed block."""
-    import zstandard
+def by_bucket(counts: DataFrame) -> DataFrame:
+    return counts.where(F.col("kind") == GRAM).select("bucket", "chunk", "data").repartition("bucket").sortWithinPartitions("bucket")
 
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    n, at, out = len(raw) // 24, 0, []
-    for kind, wide in (("<u4", 4), ("<i8", 8), ("<i8", 8), ("<f4", 4)):
-        out.append(np.ascontiguousarray(raw[at : at + n * wide].reshape(wide, n).T).view(kind).ravel())
-        at += n * wide
-    return [np.cumsum(out[0], dtype=np.int64), *out[1:]]
-
-
-def weighted_nodes(counts: DataFrame) -> DataFrame:
-    """All nodes in packed blocks: block, data."""
-    grams_ = counts.where(F.col("kind") == GRAM).select("key", "n", F.expr(f"shiftright(key, 8) & {(1 << 8 * DEALT) - 1}L").alias("suffix"))
-
-    def deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by suffix: the packed levels down from DEALT, and what level DEALT hands up."""
-
-        def solve(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            level = deepest(key, n)
-            levels = [(DEPTH, level)]
-            for d in range(DEPTH - 1, DEALT - 1, -1):
-                level = shorter(d, *level[:4])
-                levels.append((d, level))
-            return handed(levels)
-
-        held, size = [], 0
-        for b in batches:
-            key, n, suffix = (b.column(c).to_numpy() for c in ("key", "n", "suffix"))
-            if not len(key):
-                continue
-            if size > HELD // 4 and suffix[0] != held[-1][2][-1]:
-                yield solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
-                held, size = [], 0
-            elif size > HELD // 4:
-                stop = int(np.searchsorted(suffix != suffix[0], True)) if (suffix != suffix[0]).any() else len(suffix)
-                held.append((key[:stop], n[:stop], suffix[:stop]))
-                size += stop
-                if stop < len(key):
-                    yield solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
-                    held, size = [], 0
-                key, n, suffix = key[stop:], n[stop:], suffix[stop:]
-                if not len(key):
-                    continue
-            held.append((key, n, suffix))
-            size += len(key)
-        if held:
-            yield solve(*(np.concatenate([x[k] for x in held]) for k in (0, 1)))
 
-    found = stash(grams_.repartition("suffix").sortWithinPartitions("suffix").mapInArrow(deep, HANDED), "ctw")
-    low = found.where(F.col("node").isNotNull()).select("node", "n0", "n1", "lw")
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """(chunks, packed grams) of each bucket; rows are sorted by bucket."""
+    now, chunks, data = None, [], []
+    for b in batches:
+        for bucket, chunk, one in zip(b.column("bucket").to_pylist(), b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
+            if bucket != now and chunks:
+                yield chunks, data
+                chunks, data = [], []
+            now = bucket
+            chunks.append(chunk)
+            data.append(one)
+    if chunks:
+        yield chunks, data
+
+
+def summed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All grams of packed ones (turned, in order) and their counts."""
+    held, size, base = [], 0, 0
+    for one in data:
+        held.append(unpack_grams(one))
+        size += len(held[-1][0])
+        if size > 2 * base + HELD:
+            held = [folded(held)]
+            size = base = len(held[0][0])
+    return folded(held)
+
+
+def whole_contexts(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of turned grams of about SOLVED each that share no context of DEALT bytes."""
+    suffix = key >> 8 * (DEPTH - DEALT) + 8
+    a = 0
+    while a < len(key):
+        b = len(key) if len(key) - a <= SOLVED else int(np.searchsorted(suffix, suffix[a + SOLVED], side="right"))
+        yield a, b
+        a = b
+
+
+def weighted_nodes(counts: DataFrame, below: int = DEPTH + 1) -> DataFrame:
+    """All nodes of contexts of fewer than ``below`` bytes."""
+
+    def deep(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
+        for _, data in buckets_of(batches):
+            key, n = summed(data)
+            key, n = key[n > 0], n[n > 0]
+            for a, b in whole_contexts(key):
+                for d, level in zip(range(DEPTH, DEALT - 1, -1), subtree(unturned(key[a:b]), n[a:b]), strict=True):
+                    if d < top:
+                        yield node_rows(d, level)
+        trim()
 
-    packed = lambda df: df.where(F.col("block").isNotNull()).select("block", "data")
-    out = packed(found)
+    found = stash(by_bucket(counts).mapInArrow(partial(deep, top=max(below, DEALT + 1)), NODES), "ctw")
+    out = found
     for depth in range(DEALT - 1, -1, -1):
         parent = F.expr(f"shiftleft(shiftright(node, 8) & {(1 << 8 * depth) - 1}L, 8) | (node & 255)")
+        low = found.where(F.col("depth") == depth + 1)
         up = low.groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
-        found = stash(up.mapInArrow(partial(climb, depth=depth), HANDED), "ctw")
-        out = out.unionByName(packed(found))
-        low = found.where(F.col("node").isNotNull()).select("node", "n0", "n1", "lw")
-    return out
+        found = stash(up.mapInArrow(partial(climb, depth=depth), NODES), "ctw")
+        out = out.unionByName(found)
+    return out.where(F.col("depth") < below)
 
 
-def slots(depth: int, node: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= np.uint64((depth + 1) * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1)
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def mixed(p: np.ndarray, one: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Probabilities of a one from longer contexts (NaN: none was seen) with those of the next shorter one."""
+    return np.where(np.isnan(p), one, np.where(np.isnan(one), p, own * one + (1 - own) * p))
 
 
-class Tree:
-    """The table of slots: log odds of a one (NaN: never seen) and weight of the node's own estimate, in two bytes each."""
+def estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Probability of a one; NaN for a node that training never saw."""
+    return np.where(n0 + n1 > 0, (n1 + 0.5) / (n0 + n1 + 1), np.nan)
 
-    def __init__(self):
-        self.odds = np.full(1 << SLOT_BITS, np.nan, np.float16)
-        self.own = np.ones(1 << SLOT_BITS, np.float16)
 
-    def __getstate__(self) -> bytes:
-        """Packed: a small corpus fills few slots."""
-        import zstandard
+def log10_bits(byte: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """log10 probability of each byte from the probabilities of a one at each of its bits (8, n)."""
+    p = np.where(np.isnan(p), 0.5, p)
+    one = byte >> np.arange(7, -1, -1)[:, None] & 1
+    return np.log10(np.where(one, p, 1 - p)).sum(axis=0)
 
-        return zstandard.compress(self.odds.tobytes() + self.own.tobytes())
 
-    def __setstate__(self, data: bytes) -> None:
-        import zstandard
+class Tree:
+    """Nodes by depth: sorted keys, probability of a one, weight of the node's own estimate."""
 
-        both = np.frombuffer(zstandard.decompress(data), np.float16)
-        self.odds, self.own = both[: 1 << SLOT_BITS], both[1 << SLOT_BITS :]
+    def __init__(self, levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.levels = levels
+
+    def look(self, depth: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of a one (NaN: never seen) and own weight."""
+        known, one, own = self.levels.get(depth, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+        if not len(known):
+            return np.full(len(node), np.nan), np.ones(len(node))
+        at = np.minimum(np.searchsorted(known, node), len(known) - 1)
+        same = known[at] == node
+        return np.where(same, one[at], np.nan), np.where(same, own[at], 1.0)
 
     def log10_of(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after those before it."""
         byte, context = gram & 255, gram >> 8
-        out = np.zeros(len(gram))
+        found = np.full((8, len(gram)), np.nan)
         for bit in range(8):
             prefix = (1 << bit) | (byte >> (8 - bit))
-            p = np.full(len(gram), np.nan)
             for d in range(DEPTH, -1, -1):
-                at = slots(d, (context & ((1 << 8 * d) - 1)) << 8 | prefix)
-                one, own = 1 / (1 + np.exp(-self.odds[at].astype(np.float64))), self.own[at].astype(np.float64)
-                p = np.where(np.isnan(p), one, np.where(np.isnan(one), p, own * one + (1 - own) * p))
-            p = np.where(np.isnan(p), 0.5, p)
-            out += np.log10(np.where(byte >> (7 - bit) & 1, p, 1 - p))
-        return out
+                found[bit] = mixed(found[bit], *self.look(d, (context & ((1 << 8 * d) - 1)) << 8 | prefix))
+        return log10_bits(byte, found)
 
 
 def gather(nodes: DataFrame) -> Tree:
-    """The packed nodes in a tree of fixed size, block by block."""
+    """The nodes in one tree."""
+    rows = nodes.select("depth", "node", "n0", "n1", "own").toArrow()
+    depth, node, n0, n1, own = (c.to_numpy() for c in rows.columns)
+    order = np.lexsort((node, depth))
+    depth, node, own, one = depth[order], node[order], own[order], estimate(n0[order], n1[order])
+    cut = np.searchsorted(depth, np.arange(DEPTH + 2))
+    return Tree({d: (node[a:b], one[a:b], own[a:b]) for d, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))})
+
+
+def log10_of_subtree(key: np.ndarray, n: np.ndarray, low: Tree) -> np.ndarray:
+    """log10 probability of each gram, given all grams of its context of DEALT bytes and the tree of the shorter contexts."""
+    levels = subtree(key, n)
+    at = np.arange(len(levels[0][0]))  # the node above each of the deepest
+    p = estimate(*levels[0][1:3])
+    for level in levels[1:]:
+        at = level[5][at]
+        p = mixed(p, estimate(*level[1:3])[at], level[4][at])
+    top = levels[-1][0]
+    for d in range(DEALT - 1, -1, -1):
+        one, own = low.look(d, (top >> 8 & (1 << 8 * d) - 1) << 8 | top & 255)
+        p = mixed(p, one[at], own[at])
+    return log10_bits(key & 255, p[levels[0][5]].reshape(8, -1))
+
+
+def answers(counts: DataFrame, low: Tree) -> DataFrame:
+    """chunk, data (its packed grams of a bucket) and their log10 probabilities, four bytes each."""
+    shared = counts.sparkSession.sparkContext.broadcast(low)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by block; one block is in memory at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunks, data in buckets_of(batches):
+            key, n = summed(data)
+            value = np.concatenate([log10_of_subtree(unturned(key[a:b]), n[a:b], shared.value) for a, b in whole_contexts(key)]).astype("<f4")
+            for chunk, one in zip(chunks, data, strict=True):
+                found = value[np.searchsorted(key, unpack_grams(one)[0])].tobytes()
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([one], pa.binary()), "value": pa.array([found], pa.binary())})
+        trim()
 
-        def done() -> pa.RecordBatch:
-            n = total[0] + total[1]
-            with np.errstate(invalid="ignore", divide="ignore"):
-                odds = np.where(n > 0, np.log((total[1] + 0.5) / (total[0] + 0.5)), np.nan)
-                own = np.where(n > 0, total[2] / n, 1.0)
-            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "odds": pa.array([odds.astype(np.float16).tobytes()], pa.binary()), "own": pa.array([own.astype(np.float16).tobytes()], pa.binary())})
+    return by_bucket(counts).mapInArrow(run, "chunk long, data binary, value binary")
 
-        now, total = None, np.zeros((3, 1 << BLOCK_BITS))
-        for batch in batches:
-            for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                if block != now:
-                    if now is not None:
-                        yield done()
-                    now, total = block, np.zeros((3, 1 << BLOCK_BITS))
-                at, n0, n1, own = unpack_nodes(data.as_py())
-                for row, x in zip(total, (n0, n1, own), strict=True):
-                    row[at] += x
-        if now is not None:
-            yield done()
-
-    blocks = nodes.repartition("block").sortWithinPartitions("block").mapInArrow(merged, "block int, odds binary, own binary")
-    tree = Tree()
-    for r in blocks.toLocalIterator():  # 512 kB a row, 2**(SLOT_BITS - BLOCK_BITS) rows whatever the corpus
-        part = slice(r["block"] << BLOCK_BITS, (r["block"] + 1) << BLOCK_BITS)
-        tree.odds[part] = np.frombuffer(r["odds"], np.float16)
-        tree.own[part] = np.frombuffer(r["own"], np.float16)
-    return tree
+
+class Known:
+    """The log probabilities of a chunk's grams."""
+
+    def __init__(self, data: list[bytes], value: list[bytes]):
+        key = unturned(np.concatenate([unpack_grams(x)[0] for x in data]))
+        order = np.argsort(key)
+        self.key, self.value = key[order], np.concatenate([np.frombuffer(x, "<f4") for x in value])[order]
+
+    def log10_of(self, gram: np.ndarray) -> np.ndarray:
+        return self.value[np.searchsorted(self.key, gram)].astype(np.float64)
 
 
 class Scorer:
-    """Scores of texts, with the grams met so far kept (at most HELD of them)."""
+    """Scores of texts by the log probabilities of their grams."""
 
-    def __init__(self, tree: Tree):
+    def __init__(self, tree: Tree | Known):
         self.tree = tree
-        self.known, self.value = np.zeros(0, np.int64), np.zeros(0)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         key, starts = grams(data, offsets)
         distinct, where = np.unique(key, return_inverse=True)
-        if len(self.known) > HELD:
-            self.known, self.value = np.zeros(0, np.int64), np.zeros(0)
-        new = np.setdiff1d(distinct, self.known, assume_unique=True)
-        if len(new):
-            known, value = np.concatenate((self.known, new)), np.concatenate((self.value, self.tree.log10_of(new)))
-            order = np.argsort(known, kind="stable")
-            self.known, self.value = known[order], value[order]
-        return np.add.reduceat(self.value[np.searchsorted(self.known, distinct)][where], starts)
+        return np.add.reduceat(self.tree.log10_of(distinct)[where], starts)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -369,22 +434,37 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    counts = count_training(rows.where(~F.col("held_out")))
-    words = counts.where(F.col("kind") == WORD).select("key", "n")
-    n_texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = count_training(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")))
+    words = stash(counts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    n_texts = counts.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_words, v_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = n_words + n_texts, v_words + (n_texts > 0)
     spare = math.log10(total + distinct + 1)
     # 1 / HEAD_SHARE rows at most, since each has that share of all tokens
     head = words.where(F.col("n") >= F.lit(max(1.0, total * HEAD_SHARE))).toArrow().sort_by("key")
-    shared = spark.sparkContext.broadcast((gather(weighted_nodes(counts)), head.column("key").to_numpy(), head.column("n").to_numpy()))
+    shared = spark.sparkContext.broadcast((head.column("key").to_numpy(), head.column("n").to_numpy()))
+    found = answers(counts, gather(weighted_nodes(counts, DEALT)))
     fields = "rid long, doc_id long, held_out boolean, n_bytes long, n_words long, score double, head_n long, head_sum double, tail array<long>, tail_n array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, head_key, head_n = shared.value
-        scorer, head_log = Scorer(tree), np.log10(head_n + 1.0)
-        for batch in batches:
+        head_key, head_n = shared.value
+        head_log, scorer, known = np.log10(head_n + 1.0), None, ([], [])
+
+        def parts() -> Iterator[pa.RecordBatch]:
+            """Rows of one chunk and kind each."""
+            for b in batches:
+                chunk, text = b.column("chunk").to_numpy(), b.column("rid").is_valid().to_numpy(zero_copy_only=False)
+                cut = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (text[1:] != text[:-1]), [True]))) if len(b) else [0]
+                yield from (b.slice(x, y - x) for x, y in zip(cut[:-1], cut[1:], strict=True))
+
+        for batch in parts():
+            if batch.column("rid")[0].as_py() is None:  # what a chunk asked for comes before its texts
+                scorer = None
+                known[0].extend(batch.column("data").to_pylist())
+                known[1].extend(batch.column("value").to_pylist())
+                continue
+            if known[0]:
+                scorer, known = Scorer(Known(*known)), ([], [])
             data, offsets = utf8(batch.column("text"))
             for i, j in slices(offsets, RUN_BYTES):
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -406,10 +486,12 @@ def score(docs: DataFrame) -> DataFrame:
                         "tail": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])), "tail_n": pa.ListArray.from_arrays(pa.array(rare), pa.array(n[~common])),
                     }
                 )
-        del tree, scorer
+        del scorer, known
         trim()
 
-    scored = stash(rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(run, fields), "scored")
+    texts = counts.where(F.col("kind") == TEXT).select("chunk", "rid", "doc_id", "held_out", "text")
+    asked = texts.unionByName(found, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("rid").asc_nulls_first())
+    scored = stash(asked.mapInArrow(run, fields), "scored")
     tail = scored.select("rid", F.inline(F.arrays_zip(F.col("tail").alias("key"), F.col("tail_n").alias("m"))))
     met = tail.join(words, "key").groupBy("rid").agg(F.sum("m").alias("tail_n"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("tail_sum"))
     end_log = math.log10(n_texts + 1)
