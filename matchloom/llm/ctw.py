@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_table, shuffle_partitions, slices, stash, trim, utf8
 
-DEPTH = 5
+DEPTH = 6
 #: Contexts of this many bytes are dealt whole, so that all deeper levels need no exchange.
 DEALT = 3
 #: Bytes of text whose grams are looked up together, and bytes of all texts for each bucket.
