@@ -1,0 +1,127 @@
+"""Near copies by Jaccard similarity of word shingles, for the corpus pipeline.
+
+Rows with equal sets of shingles are one from the start. Of the rest, ``BANDS`` hashes of ``ROWS`` minimum hashes each bring
+candidates together (a pair at 0.8 meets with probability 0.9998); each list of rows that met is compared once, by the
+exact Jaccard similarity of their whole sets, so no dissimilar texts are linked. Components then come from star
+contractions.
+
+Defined results: null text is an empty text; texts without words are copies of each other; rows are told apart by their
+own key, so missing and repeated doc_ids lose nothing.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import lower_table, stash, utf8
+from .simhash import components
+
+SHINGLE = 5
+JACCARD = 0.8
+BANDS, ROWS = 16, 4
+LOWER = lower_table()
+MULTIPLY = np.random.default_rng(7).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of each run of SHINGLE words (of all words where there are fewer)."""
+    from xxhash import xxh64_intdigest
+
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    runs = zip(*(words[k:] for k in range(SHINGLE)), strict=False) if len(words) >= SHINGLE else [words]
+    return np.unique(np.fromiter(map(xxh64_intdigest, map(b" ".join, runs), repeat(42)), np.uint64))
+
+
+def bands(found: np.ndarray) -> list[int]:
+    from xxhash import xxh64_intdigest
+
+    low = np.full(len(MULTIPLY), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(found), 4096):
+        with np.errstate(over="ignore"):
+            h = found[i : i + 4096, None] * MULTIPLY
+            h ^= h >> np.uint64(32)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+        low = np.minimum(low, h.min(axis=0))
+    return [xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) - (1 << 63) for k in range(BANDS)]
+
+
+def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from xxhash import xxh3_128_digest
+
+    for b in batches:
+        data, offsets = utf8(b.column("text"))
+        for i in range(0, len(b), 500):
+            found = [shingles(data[x:y].tobytes()) for x, y in zip(offsets[i : i + 500], offsets[i + 1 : i + 501], strict=False)]
+            part = b.slice(i, 500)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "row": part.column("_row"), "doc_id": part.column("doc_id"), "digest": pa.array([xxh3_128_digest(f.tobytes()) for f in found], pa.binary()),
+                    "bands": pa.array([bands(f) if len(f) else [] for f in found], pa.list_(pa.int64())), "grams": pa.array([f.tobytes() for f in found], pa.binary()),
+                }
+            )
+
+
+def forest(row: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the pairs of sets with at least JACCARD."""
+    rest = np.arange(len(sets))
+    size = np.array([len(s) for s in sets])
+    while len(rest) > 1:
+        frontier, rest = [int(rest[0])], rest[1:]
+        while frontier and len(rest):
+            x = frontier.pop()
+            fits = (size[rest] >= JACCARD * size[x] - 1e-9) & (JACCARD * size[rest] <= size[x] + 1e-9)
+            near = np.zeros(len(rest), bool)
+            for k in np.flatnonzero(fits).tolist():
+                other = sets[rest[k]]
+                at = np.minimum(np.searchsorted(sets[x], other), size[x] - 1)
+                both = int((sets[x][at] == other).sum())
+                near[k] = both >= JACCARD * (size[x] + len(other) - both) - 1e-9
+            for y in rest[near].tolist():
+                yield min(row[x], row[y]), max(row[x], row[y])
+                frontier.append(y)
+            rest = rest[~near]
+
+
+def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group; rows are sorted by group."""
+
+    def links() -> pa.RecordBatch:
+        found = list(forest(rows, sets))
+        return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+
+    now, rows, sets = None, [], []
+    for b in batches:
+        for group, row, grams in zip(b.column("g").to_pylist(), b.column("row").to_pylist(), b.column("grams").to_pylist(), strict=True):
+            if group != now and rows:
+                yield links()
+                rows, sets = [], []
+            now = group
+            rows.append(row)
+            sets.append(np.frombuffer(grams, np.uint64))
+    if rows:
+        yield links()
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row for each group of near copies: that of the smallest doc_id."""
+    keyed = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = stash(keyed.select("_row", "doc_id", "text").mapInArrow(sketches, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, bands array<long>, grams binary"), "sketch")
+    copies = stash(found.groupBy("digest").agg(F.min("row").alias("first")), "copies")
+    single = F.col("first").alias("row")
+    met = found.select("row", F.posexplode("bands").alias("band", "h")).join(copies.select(single), "row", "left_semi")
+    lists = met.groupBy("band", "h").agg(F.sort_array(F.collect_list("row")).alias("rows")).where(F.size("rows") > 1).select("rows").distinct()
+    groups = stash(lists.select(F.monotonically_increasing_id().alias("g"), "rows"), "lists").select("g", F.explode("rows").alias("row"))
+    edges = groups.join(found.select("row", "grams"), "row").repartition("g").sortWithinPartitions("g").mapInArrow(compare, "u long, v long").distinct()
+    roots = components(edges)
+    rooted = copies.join(roots, F.col("first") == F.col("node"), "left").select("digest", F.coalesce("root", "first").alias("root"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    chosen = found.select("digest", "doc_id", "row").join(rooted, "digest").groupBy("root").agg(F.min_by("row", order).alias("_row"))
+    return keyed.join(chosen.select("_row"), "_row", "left_semi").select(*docs.columns)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from matchloom.llm import gsaca, simhash
 
@@ -57,6 +58,24 @@ def test_repeated_rows_and_missing_ids(spark, make_docs):
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_near_copies_of_five_words(spark, make_docs, words):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    texts = []
+    for _ in range(20):
+        w = [r.choice(words) for _ in range(120)]
+        changed = [*w[:60], "changed", "twice", *w[62:]]  # Jaccard 110 / 122
+        texts += [" ".join(w), " ".join(changed), " ".join([*w[:40], *(r.choice(words) for _ in range(40)), *w[80:]])]
+    docs = make_docs(texts)
+    kept = sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect())
+    assert kept == [k for k in range(60) if k % 3 != 1]
+    assert sum(abs(simhash.differing(*simhash.fingerprints([texts[k].encode(), texts[k + 1].encode()])[:, None])[0]) > simhash.DIFFER for k in range(0, 60, 3)) > 0
+    # missing and repeated ids lose no text
+    for one in (docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(1).cast("long"))):
+        assert corpus_pipeline.near_dedup(spark, one, "").count() == 40
+
+
 def test_runs_beyond_the_bound_are_cut_again(spark, monkeypatch):
     monkeypatch.setattr(simhash, "RUN", 3)
     cloudpickle.register_pickle_by_value(simhash)
