@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import importlib.util
 import sys
 from pathlib import Path
 
@@ -18,10 +19,10 @@ def build_parser() -> argparse.ArgumentParser:
     mode = p.add_mutually_exclusive_group(required=True)
     mode.add_argument("--image", nargs="+", metavar="PATH", help="invoice images to extract and match")
     mode.add_argument("--mock", action="store_true", help="run on the built-in demo rows")
-    p.add_argument("--ledger", metavar="PATH", help="JSON file of ledger rows (with --image)")
-    p.add_argument("--output", metavar="PATH", help="write all results to this JSON file")
+    p.add_argument("--ledger", metavar="PATH", help="the ledger, a JSON array (goes with --image)")
+    p.add_argument("--output", metavar="PATH", help="where to put the results as one JSON array")
     p.add_argument("--log-level", choices=["DEBUG", "INFO", "WARNING", "ERROR"], default="INFO")
-    p.add_argument("--ocr", metavar="MODULE:FUNCTION", help="factory of the OCR engine (with --image)")
+    p.add_argument("--ocr", metavar="MODULE:FUNCTION", help="makes the OCR engine; paddleocr where it is installed")
     return p
 
 
@@ -45,14 +46,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.image and not Path(args.ledger).exists():
         log.error("ledger not found: %s", args.ledger)
         return 1
-    if args.image and not args.ocr:
-        log.error("--image needs an OCR engine: --ocr MODULE:FUNCTION")
+    if args.image and not args.ocr and importlib.util.find_spec("paddleocr") is None:
+        log.error("no OCR engine: install paddleocr, or name another with --ocr MODULE:FUNCTION")
         return 1
     spark = SparkSession.builder.appName("matchloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if args.mock:
         results = pipeline.match_mock(spark)
     else:
-        module, _, name = args.ocr.partition(":")
+        module, _, name = (args.ocr or "matchloom.sources.connectors:default_ocr").partition(":")
         there = [x for x in args.image if Path(x).exists()]
         for x in set(args.image) - set(there):
             log.error("image not found: %s", x)

@@ -7,38 +7,30 @@ from pyspark.sql import functions as F
 
 from .text import BLANKS, stripped
 
-_D, _Y, _MON = r"\d{1,2}", r"(?!0000)\d{4}", r"[A-Za-z]{3}"
-# Fixed values: (shape, parser's pattern) of the accepted formats; the first that gives a date wins.
-FORMATS = (
-    (rf"{_D}/{_D}/{_Y}", "d/M/yyyy"),
-    (rf"{_D}/{_D}/{_Y}", "M/d/yyyy"),
-    (rf"{_Y}-{_D}-{_D}", "yyyy-M-d"),
-    (rf"{_D}-{_D}-{_Y}", "d-M-yyyy"),
-    (rf"{_D}\.{_D}\.{_Y}", "d.M.yyyy"),
-    (rf"{_Y}/{_D}/{_D}", "yyyy/M/d"),
-    (rf"{_D} {_MON} {_Y}", "d MMM yyyy"),
-    (rf"{_D} [A-Za-z]+ {_Y}", "d MMMM yyyy"),
-    (rf"{_MON} {_D}, {_Y}", "MMM d, yyyy"),
-    (rf"[A-Za-z]+ {_D}, {_Y}", "MMMM d, yyyy"),
-    (rf"{_MON} {_D} {_Y}", "MMM d yyyy"),
-    (rf"[A-Za-z]+ {_D} {_Y}", "MMMM d yyyy"),
-)
 #: Two-digit years from here on belong to the last century.
 PIVOT = 69
-
-
-def _tried(c: Column, shape: str, pattern: str) -> Column:
-    return F.when(c.rlike(rf"^(?:{shape})$"), F.try_to_timestamp(c, F.lit(pattern)).cast("date"))
+# The names of months; the first three letters stand for them too.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+# The accepted formats, each as a rewriting towards year-month-day. Day before month, unless that can't be.
+REWRITES = (
+    (r"^(\d{1,2}/\d{1,2}/)((?:%d|[7-9]\d))$" % PIVOT, "$119$2"),
+    (r"^(\d{1,2}/\d{1,2}/)(\d{2})$", "$120$2"),
+    (r"^([A-Za-z]+) (\d{1,2}),? (\d{4})$", "$2 $1 $3"),
+    *((rf"(?i)^(\d{{1,2}}) (?:{name[:3]}|{name}) (\d{{4}})$", f"$2-{k}-$1") for k, name in enumerate(MONTHS, 1)),
+    (r"^(\d{1,2})([-.])(\d{1,2})\2(\d{4})$", "$4-$3-$1"),
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})$", "$1-$2-$3"),
+    (r"^(\d{1,2})/(1[3-9]|[2-9]\d)/(\d{4})$", "$3-$1-$2"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})$", "$3-$2-$1"),
+    (r"^(?!(?!0000)\d{4}-\d{1,2}-\d{1,2}$)[\s\S]*$", ""),
+)
 
 
 def parse_date(c: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(stripped(c), ",+$", ""), BLANKS, " ")
-    short = rf"({_D}/{_D}/)(\d{{2}})"
-    # a short year is made long before parsing, so that 29 February is checked in the right century
-    year = F.regexp_extract(clean, f"^{short}$", 2)
-    century = F.when(year >= str(PIVOT), "19").otherwise("20")
-    long = F.when(year != "", F.concat(F.regexp_extract(clean, f"^{short}$", 1), century, year))
-    return F.coalesce(*(_tried(clean, s, p) for s, p in FORMATS), _tried(long, *FORMATS[0]), _tried(long, *FORMATS[1]))
+    """One chain of rewritings and one cast, so that the expression grows with the formats and not with their guards."""
+    out = F.regexp_replace(F.regexp_replace(stripped(c), ",+$", ""), BLANKS, " ")
+    for shape, order in REWRITES:
+        out = F.regexp_replace(out, shape, order)
+    return out.try_cast("date")
 
 
 def parse_amount(c: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing, similarity, text
 from ..plans.config import DEFAULT, STATUSES, MatchConfig
 from ..plans.schema import ASSIGNED
-from .assignment import certificate, solve
+from .assignment import assign_large, shapes, solve
 
 
 def normalize_invoices(raw: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
@@ -77,36 +77,44 @@ INVOICE_FIELDS = ("normalized_invoice_number", "normalized_vendor", "parsed_date
 LEDGER_FIELDS = ("normalized_reference", "normalized_vendor", "parsed_date", "debit_amount", "credit_amount")
 
 
-def score_pairs(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, salts: int = 1) -> DataFrame:
-    """Every pair of a batch with its score. ``salts`` > 1 deals one batch's invoices over that many tasks."""
+def score_pairs(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, salts: int = 1, sizes: DataFrame | None = None) -> DataFrame:
+    """Every pair of a batch with its score.
+
+    A batch's invoices are dealt over ``salts`` tasks; with ``sizes`` (of ``batch_sizes``) over as many as its pairs need.
+    """
     more_i = [c for c in invoices.columns if c not in (*INVOICE_FIELDS, "batch_id", "invoice_idx")] if config.extra_metrics else []
     more_e = [c for c in ledger.columns if c not in (*LEDGER_FIELDS, "batch_id", "ledger_idx")] if config.extra_metrics else []
     left = invoices.select("batch_id", "invoice_idx", *(F.col(c).alias(f"i_{c}") for c in (*INVOICE_FIELDS, *more_i)))
     right = ledger.select("batch_id", "ledger_idx", *(F.col(c).alias(f"e_{c}") for c in (*LEDGER_FIELDS, *more_e)))
-    keys = ["batch_id"]
+    keys, many = ["batch_id"], F.lit(salts)
+    if sizes is not None:
+        hot = sizes.where(F.col("_pairs") > config.task_pairs).select("batch_id", F.least("_n", F.ceil(F.col("_pairs") / config.task_pairs)).cast("int").alias("_salts"))
+        if not hot.isEmpty():
+            left, right = left.join(hot, "batch_id", "left"), right.join(hot, "batch_id", "left")
+            many, salts = F.coalesce("_salts", F.lit(1)), 2
     if salts > 1:
-        left = left.withColumn("_salt", F.pmod("invoice_idx", F.lit(salts)).cast("int"))
-        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        left = left.withColumn("_salt", F.pmod("invoice_idx", many).cast("int"))
+        right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1)))
         keys = ["batch_id", "_salt"]
     invoice = {c: F.col(f"i_{c}") for c in (*INVOICE_FIELDS, *more_i)}
     entry = {c: F.col(f"e_{c}") for c in (*LEDGER_FIELDS, *more_e)}
-    return left.join(right, keys).select("batch_id", "invoice_idx", "ledger_idx", similarity.compute_similarity(invoice, entry, config).alias("score"))
+    return left.drop("_salts").join(right.drop("_salts"), keys).select("batch_id", "invoice_idx", "ledger_idx", similarity.compute_similarity(invoice, entry, config).alias("score"))
 
 
 def batch_sizes(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The most pairs that each batch can have: batch_id, _pairs."""
+    """Rows of either side and pairs of each batch: batch_id, _n, _m, _pairs."""
     n = invoices.groupBy("batch_id").agg(F.count("*").alias("_n"))
-    return n.join(ledger.groupBy("batch_id").agg(F.count("*").alias("_m")), "batch_id").select("batch_id", (F.col("_n") * F.col("_m")).alias("_pairs"))
+    return n.join(ledger.groupBy("batch_id").agg(F.count("*").alias("_m")), "batch_id").select("batch_id", "_n", "_m", (F.col("_n") * F.col("_m")).alias("_pairs"))
 
 
 def assign(scores: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame | None = None) -> DataFrame:
     """The one-to-one assignment of greatest total score in each batch.
 
     Batches stream through one pass, sorted, and are solved one at a time; a batch is dense in memory only up to
-    ``dense_pairs``. Larger ones never reach a task whole: they are solved by the certificate, on windows alone, where
-    every row's best column is its own, and refused otherwise. ``sizes`` (of ``batch_sizes``) spares counting the pairs.
+    ``dense_pairs``. A larger one never reaches a task whole (``assign_large``). ``sizes`` (of ``batch_sizes``) spares
+    counting the pairs.
     """
-    sized = scores.groupBy("batch_id").agg(F.count("*").alias("_pairs")) if sizes is None else sizes
+    sized = shapes(scores).withColumn("_pairs", F.col("_n") * F.col("_m")) if sizes is None else sizes
     large = sized.where(F.col("_pairs") > config.dense_pairs)
     has_large = not large.isEmpty()
     dense = scores.join(large.select("batch_id"), "batch_id", "left_anti") if has_large else scores
@@ -117,17 +125,17 @@ def assign(scores: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame |
             if not len(frame):
                 continue
             held.append(frame)
-            whole = pd.concat(held) if len(held) > 1 else frame
+            if held[0]["batch_id"].iloc[0] == frame["batch_id"].iloc[-1]:
+                continue  # still one batch
+            whole = pd.concat(held)
             last = whole["batch_id"].iloc[-1]
-            ready = whole[whole["batch_id"] != last]
-            if len(ready):
-                yield solve(ready)
+            yield solve(whole[whole["batch_id"] != last])
             held = [whole[whole["batch_id"] == last]]
         if held:
             yield solve(pd.concat(held))
 
     out = dense.repartition("batch_id").sortWithinPartitions("batch_id", "invoice_idx", "ledger_idx").mapInPandas(run, ASSIGNED)
-    return out.unionByName(certificate(scores.join(large.select("batch_id"), "batch_id", "left_semi"), strict=True)) if has_large else out
+    return out.unionByName(assign_large(scores.join(large.select("batch_id"), "batch_id", "left_semi"), large)) if has_large else out
 
 
 def match_details(assigned: DataFrame, invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:

@@ -43,8 +43,10 @@ class MatchConfig:
     include_unassigned: bool = False
     #: Send a document whose amount carries its currency behind it to the errors, as the original pipeline loses it.
     strict_compat: bool = False
-    #: Pairs of one batch that one task may hold as a dense matrix; larger batches need the certificate.
-    dense_pairs: int = 25_000_000
+    #: Pairs of one batch that one task may hold as a dense matrix; larger batches are solved from few pairs of each row.
+    dense_pairs: int = 4_000_000
+    #: Pairs of one batch that one task scores; a batch of more is dealt over several.
+    task_pairs: int = 1_000_000
     #: Further metrics by name; a name needs a weight.
     extra_metrics: dict[str, Metric] = field(default_factory=dict)
 

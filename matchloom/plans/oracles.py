@@ -104,6 +104,17 @@ matched AS (SELECT a.batch_id, a.invoice_idx, a.ledger_idx, coalesce(nullif(i.in
  FROM assigned a JOIN inv i ON i.batch_id = a.batch_id AND i.invoice_idx = a.invoice_idx JOIN led l ON l.batch_id = a.batch_id AND l.ledger_idx = a.ledger_idx)"""
 
 
+def matched(invoices: str, ledger: str) -> str:
+    """MATCHED over other raw rows."""
+    return MATCHED.replace(RAW, f"raw_i AS ({invoices}), raw_l AS ({ledger})")
+
+
+def values(rows: list[tuple], columns: str) -> str:
+    """Rows in memory as one batch."""
+    said = lambda v: "NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'"
+    return "SELECT * FROM (VALUES " + ", ".join(f"({k}, 0::BIGINT, {', '.join(map(said, r))})" for k, r in enumerate(rows)) + f") v(ordinal, batch_id, {columns})"
+
+
 def blocks(sql: str) -> str:
     return f"raw_b AS ({synthetic.oracle(sql)}), b AS (SELECT doc_id, round_even(y / 10, 0) * 10 AS band, x, CAST(pos AS INT) AS pos, y, trim(text) AS text FROM raw_b WHERE text IS NOT NULL AND confidence >= 0.3)"
 

@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction, matching
 from ..sources import connectors
+from ..sources.store import stash, unstash
 from .config import DEFAULT, MatchConfig
 
 
 def prepare(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Normalized rows with their positions; the ledger's count only what the date filter kept."""
-    i = matching.number_rows(matching.normalize_invoices(invoices, config), "invoice_idx")
-    e = matching.number_rows(matching.filter_candidates(i, matching.normalize_ledger(ledger, config), config.max_days), "ledger_idx")
+    """Normalized rows with their positions, written once; the ledger's count only what the date filter kept."""
+    i = stash(matching.number_rows(matching.normalize_invoices(invoices, config), "invoice_idx"), "invoices")
+    rows = stash(matching.normalize_ledger(ledger, config), "ledger")
+    e = stash(matching.number_rows(matching.filter_candidates(i, rows, config.max_days), "ledger_idx"), "candidates")
+    unstash(rows)
     return i, e
 
 
-def match(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, salts: int = 1) -> DataFrame:
+def match(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
     """Results of every batch of raw invoices and ledger rows (batch_id, ordinal and the raw fields)."""
     i, e = prepare(invoices, ledger, config)
-    assigned = matching.assign(matching.score_pairs(i, e, config, salts), config, matching.batch_sizes(invoices, ledger))
+    sizes = stash(matching.batch_sizes(i, e), "sizes")
+    assigned = matching.assign(matching.score_pairs(i, e, config, sizes=sizes), config, sizes)
     return matching.match_details(assigned, i, e, config)
 
 

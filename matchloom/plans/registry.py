@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, similarity, text
 from ..operators import assignment, extraction, matching
-from ..sources import connectors
+from ..sources import connectors, store
 from . import oracles as q
 from . import pipeline, synthetic
 
@@ -149,18 +149,80 @@ proof AS (SELECT batch_id FROM top WHERE place = 1 GROUP BY 1 HAVING count(*) =
 SELECT batch_id, invoice_idx, ledger_idx, round(score, 6) AS score FROM top JOIN proof USING (batch_id) WHERE place = 1"""
 )
 def assign_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assignment.certificate(_scores(spark, sf_dir)).select("batch_id", "invoice_idx", "ledger_idx", _rounded("score", F.col("score")))
+    i, e = _prepared(spark, sf_dir)
+    return assignment.certificate(matching.score_pairs(i, e), matching.batch_sizes(i, e)).select("batch_id", "invoice_idx", "ledger_idx", _rounded("score", F.col("score")))
 
 
-@registered(f"WITH RECURSIVE {q.ASSIGNED} SELECT batch_id, count(*) AS n_pairs, round(sum(score), 6) AS total FROM assigned GROUP BY 1")
+_TOTALS = f"WITH RECURSIVE {q.ASSIGNED} SELECT batch_id, count(*) AS n_pairs, round(sum(score), 6) AS total FROM assigned GROUP BY 1"
+
+
+@registered(_TOTALS)
 def assign_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.assign(_scores(spark, sf_dir)).groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
+    i, e = _prepared(spark, sf_dir)
+    assigned = matching.assign(matching.score_pairs(i, e), sizes=matching.batch_sizes(i, e))
+    return assigned.groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
+
+
+@registered(_TOTALS)
+def assign_totals_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every batch solved as those are that no task can hold, from two pairs of each row on."""
+    i, e = _prepared(spark, sf_dir)
+    assigned = assignment.assign_large(matching.score_pairs(i, e), matching.batch_sizes(i, e), 2)
+    return assigned.groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
+
+
+def _flat(matched: DataFrame) -> DataFrame:
+    return matched.select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status", "detail.*")
 
 
 @registered(f"WITH RECURSIVE {q.MATCHED} SELECT * FROM matched")
 def match_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pipeline.match(*_raw(spark, sf_dir))
-    return out.select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status", "detail.*")
+    return _flat(pipeline.match(*_raw(spark, sf_dir)))
+
+
+@registered(f"WITH RECURSIVE {q.matched(synthetic.oracle(synthetic.UNNAMED_INVOICES), synthetic.oracle(synthetic.UNNAMED_LEDGER))} SELECT batch_id, invoice_idx, ledger_idx, invoice_id, ledger_ref, score, status FROM matched")
+def id_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a number or reference go by their position."""
+    out = pipeline.match(synthetic.load(spark, sf_dir, synthetic.UNNAMED_INVOICES), synthetic.load(spark, sf_dir, synthetic.UNNAMED_LEDGER))
+    return out.select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status")
+
+
+@registered(f"WITH {q.RAW} SELECT reference, vendor, date, debit, credit FROM raw_l")
+def json_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written as JSON and read back."""
+    path = store.new_path(spark, "json")
+    _raw(spark, sf_dir)[1].select("reference", "vendor", "date", "debit", "credit").write.json(path)
+    return connectors.read_ledger(spark, path, lines=True).drop("batch_id", "ordinal")
+
+
+@registered(f"WITH RECURSIVE {q.MATCHED} SELECT * EXCLUDE (batch_id) FROM matched")
+def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written as JSON, without the internal batch_id, and read back."""
+    path, out = store.new_path(spark, "json"), pipeline.match(*_raw(spark, sf_dir))
+    connectors.write_result_lines(out, path)
+    return spark.read.schema(out.drop("batch_id").schema).json(path).select("invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status", "detail.*")
+
+
+@registered(f"WITH RECURSIVE {q.MATCHED} SELECT invoice_id, ledger_ref, round(score, 6) AS score, status, 'invoice_id,ledger_ref,score,status,detail' AS names FROM matched")
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON text of each result, read field by field: positions are left out."""
+    value = F.col("value")
+    lines = connectors.summary_json(pipeline.match(*_raw(spark, sf_dir)))
+    found = (F.get_json_object(value, f"$.{c}").alias(c) for c in ("invoice_id", "ledger_ref", "score", "status"))
+    return lines.select(*found, F.array_join(F.json_object_keys(value), ",").alias("names")).withColumn("score", F.col("score").cast("double"))
+
+
+@registered(
+    f"""WITH pages AS ({synthetic.oracle(synthetic.IMAGES)}), items AS (SELECT 'img' || s_suppkey AS doc_id, s_suppkey % 7 + 0.5::DOUBLE AS x, s_name, unnest([0, 2]) AS pos FROM supplier WHERE s_suppkey % 10 NOT IN (3, 4))
+SELECT doc_id, CAST(pos AS INT) AS pos, CASE WHEN pos = 0 THEN 'Vendor: ' ELSE 'ref ' END || s_name AS text, x, CASE WHEN pos = 0 THEN 10.0::DOUBLE ELSE 40.0::DOUBLE END AS y, CASE WHEN pos = 0 THEN 0.75::DOUBLE ELSE 0.25::DOUBLE END AS confidence, false AS failed FROM items
+UNION ALL SELECT path, -1, NULL, NULL, NULL, NULL, true FROM pages WHERE content = 'no image'"""
+)
+def image_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images through an OCR engine: pages unnested, gaps skipped, failures kept apart."""
+    files = synthetic.load(spark, sf_dir, synthetic.IMAGES).select("path", F.encode("content", "UTF-8").alias("content"))
+    box = F.col("bbox")
+    found = connectors.blocks_of_images(files, synthetic.json_ocr)
+    return found.select("doc_id", "pos", "text", F.try_element_at(box, F.lit(1))[0].alias("x"), F.try_element_at(box, F.lit(1))[1].alias("y"), "confidence", F.col("_error").isNotNull().alias("failed"))
 
 
 @registered(f"WITH RECURSIVE {q.MATCHED} SELECT s.status, count(m.status) AS n FROM (SELECT unnest(['auto_match', 'review', 'unmatched']) AS status) s LEFT JOIN matched m USING (status) GROUP BY 1")
@@ -198,25 +260,26 @@ def group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {q.NAMED} SELECT h.doc_id, CAST(header AS INT) AS header, array_to_string(names, '|') AS names FROM headers h LEFT JOIN names n ON n.doc_id = h.doc_id")
 def header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _tables(spark, sf_dir).select("doc_id", "rows", extraction.header_index(F.col("rows")).cast("int").alias("header"))
+    found = extraction.with_header(_tables(spark, sf_dir))
     return found.select("doc_id", "header", F.array_join(F.transform(F.expr("CASE WHEN header IS NOT NULL THEN rows[header] END"), extraction.column_by_header), "|").alias("names"))
 
 
 @registered(f"WITH {q.NAMED} SELECT * FROM ({q.BY_HEADER}) WHERE coalesce(reference, vendor, date, debit, credit) IS NOT NULL")
 def ledger_by_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _tables(spark, sf_dir)
-    return extraction.extract_ledger(tables.where(extraction.header_index(F.col("rows")).isNotNull()))
+    return extraction.extract_ledger(extraction.with_header(_tables(spark, sf_dir)).where("header IS NOT NULL"))
 
 
 @registered(f"WITH {q.POSITIONAL} SELECT * FROM ({q.BY_POSITION}) WHERE coalesce(reference, vendor, date, debit, credit) IS NOT NULL")
 def ledger_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = _tables(spark, sf_dir)
-    return extraction.extract_ledger(tables.where(extraction.header_index(F.col("rows")).isNull()))
+    return extraction.extract_ledger(extraction.with_header(_tables(spark, sf_dir)).where("header IS NULL"))
 
 
-@registered(None)
+_DEMO = q.matched(q.values(connectors.MOCK_INVOICES, "invoice_number, vendor_name, date, amount"), q.values(connectors.MOCK_LEDGER, "reference, vendor, date, debit, credit"))
+
+
+@registered(f"WITH RECURSIVE {_DEMO} SELECT * FROM matched")
 def match_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipeline.match_mock(spark)
+    return _flat(pipeline.match_mock(spark))
 
 
 @registered(None)

@@ -6,8 +6,3 @@ INVOICE = "invoice_number string, vendor_name string, date string, amount string
 LEDGER = "reference string, vendor string, date string, debit string, credit string"
 BLOCKS = "doc_id string, pos int, text string, bbox array<array<double>>, confidence double"
 ASSIGNED = "batch_id long, invoice_idx long, ledger_idx long, score double"
-DETAIL = (
-    "invoice_number_norm string, ledger_ref_norm string, invoice_vendor string, ledger_vendor string, "
-    "invoice_date string, ledger_date string, invoice_amount double, ledger_debit double"
-)
-RESULT = f"batch_id long, invoice_idx long, ledger_idx long, invoice_id string, ledger_ref string, score double, status string, detail struct<{DETAIL.replace(' string', ':string').replace(' double', ':double')}>"

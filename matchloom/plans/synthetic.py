@@ -6,6 +6,8 @@ formats, currency marks, vendor suffixes, references off by one, dates some days
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 _DAY = "lpad(CAST(day(o_orderdate) AS STRING), 2, '0')"
@@ -61,6 +63,10 @@ LEDGER = f"""SELECT o_orderkey AS ordinal, {_BATCH} AS batch_id,
  CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 THEN CAST(CAST(round(o_totalprice) AS BIGINT) AS STRING) END AS credit
 {_FROM}"""
 
+#: The same without some numbers and references, which then go by their positions.
+UNNAMED_INVOICES = f"SELECT ordinal, batch_id, CASE WHEN ordinal % 5 = 0 THEN NULL WHEN ordinal % 5 = 1 THEN '' ELSE invoice_number END AS invoice_number, vendor_name, date, amount FROM ({INVOICES}) t"
+UNNAMED_LEDGER = f"SELECT ordinal, batch_id, CASE WHEN ordinal % 7 = 0 THEN NULL WHEN ordinal % 7 = 1 THEN '' ELSE reference END AS reference, vendor, date, debit, credit FROM ({LEDGER}) t"
+
 _NUMBER = f"'INV-' || {_YEAR} || '-' || lpad(CAST(o_orderkey AS STRING), 8, '0')"
 _TEXTS = (
     (0, "'INVOICE COPY'", "10.0", "4.0"),
@@ -97,14 +103,26 @@ LEDGER_BLOCKS = _blocks(
 )
 
 
+#: An image for each supplier, as the JSON that ``json_ocr`` reads: nested in a page or not, with a gap, or unreadable.
+_ITEM = """'[[[' || CAST(s_suppkey % 7 AS STRING) || '.5, {y}.0]], ["{text} ' || s_name || '", 0.{confidence}]]'"""
+_ITEMS = " || ', null, ' || ".join(_ITEM.replace("{y}", y).replace("{text}", t).replace("{confidence}", c) for y, t, c in (("10", "Vendor:", "75"), ("40", "ref", "25")))
+IMAGES = f"""SELECT 'img' || CAST(s_suppkey AS STRING) AS path,
+ CASE WHEN s_suppkey % 10 = 3 THEN 'no image' WHEN s_suppkey % 10 = 4 THEN 'null' WHEN s_suppkey % 2 = 0 THEN '[[' || {_ITEMS} || ']]' ELSE '[' || {_ITEMS} || ']' END AS content FROM {{supplier}}"""
+
+
+def json_ocr():
+    """An engine for synthetic images: they are its blocks, as JSON."""
+    return lambda content: json.loads(content)
+
+
 def load(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer")}
-    return spark.sql(sql, **tables)
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "supplier")}
+    return spark.sql(sql, **{t: df for t, df in tables.items() if f"{{{t}}}" in sql})
 
 
 def oracle(sql: str) -> str:
     """The same relation over the tables by name."""
-    return sql.replace("{orders}", "orders").replace("{customer}", "customer")
+    return sql.replace("{orders}", "orders").replace("{customer}", "customer").replace("{supplier}", "supplier")
 
 
 def blocks(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

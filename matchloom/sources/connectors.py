@@ -47,9 +47,9 @@ def mock_ledger(spark: SparkSession, rows: Iterable | None = None) -> DataFrame:
     return in_order(spark, rows or MOCK_LEDGER, LEDGER)
 
 
-def read_ledger(spark: SparkSession, path: str, batch_id: int = 0) -> DataFrame:
-    """A JSON array (or lines) of ledger rows as one batch; the order of rows is that of the file."""
-    rows = spark.read.schema(LEDGER).option("multiLine", True).json(path)
+def read_ledger(spark: SparkSession, path: str, batch_id: int = 0, lines: bool = False) -> DataFrame:
+    """A JSON array (with ``lines``: JSON lines, which many tasks can read) of ledger rows as one batch, in the file's order."""
+    rows = spark.read.schema(LEDGER).option("multiLine", not lines).json(path)
     return rows.select(F.lit(batch_id).cast("long").alias("batch_id"), F.monotonically_increasing_id().alias("ordinal"), "*")
 
 
@@ -65,12 +65,24 @@ def unnested(result: list | None) -> list:
     return result[0] or []
 
 
+def default_ocr() -> Ocr:
+    """The engine of the ``paddleocr`` package, where it is installed."""
+    from paddleocr import PaddleOCR
+
+    engine = PaddleOCR(use_angle_cls=True, lang="en")
+    return lambda content: engine.ocr(content, cls=True)
+
+
 def read_images(spark: SparkSession, paths: list[str], make_ocr: Callable[[], Ocr]) -> DataFrame:
-    """Blocks of every image; one that can't be read gives a row with _error instead, and the others go on.
+    """Blocks of every image file; see ``blocks_of_images``."""
+    return blocks_of_images(spark.read.format("binaryFile").load(paths).select("path", "content").repartition(max(1, len(paths))), make_ocr)
+
+
+def blocks_of_images(files: DataFrame, make_ocr: Callable[[], Ocr]) -> DataFrame:
+    """Blocks of images (path, content); one that can't be read gives a row with _error instead, and the others go on.
 
     ``make_ocr`` builds the engine once in each Python worker.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path", "content").repartition(max(1, len(paths)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ocr = make_ocr()
@@ -94,6 +106,11 @@ def summary_json(results: DataFrame) -> DataFrame:
     return results.select(F.to_json(F.struct(*(c for c in results.columns if c not in {"batch_id", "invoice_idx", "ledger_idx"})), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def write_result_lines(results: DataFrame, path: str) -> None:
+    """All fields of all results as JSON lines, in as many files as tasks write them."""
+    results.drop("batch_id").write.option("ignoreNullFields", "false").json(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """All fields of all results as one JSON array; rows stream through, sorted."""
     rows = results.drop("batch_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")) if "batch_id" in results.columns else results

@@ -100,6 +100,31 @@ def test_json_and_table(spark, tmp_path):
     assert list(connectors.console_table(results.limit(0))) == ["No results to display."]
 
 
+def test_result_lines(spark, tmp_path):
+    results = pipeline.match(connectors.mock_invoices(spark), connectors.mock_ledger(spark))
+    connectors.write_result_lines(results, str(tmp_path / "lines"))
+    back = connectors.read_ledger(spark, str(tmp_path / "lines"), lines=True)
+    assert back.count() == 3 and "batch_id" not in spark.read.json(str(tmp_path / "lines")).columns
+
+
+def test_a_shared_folder_is_asked_for(spark, monkeypatch):
+    import pytest
+
+    from matchloom.sources import store
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        store.shared_dir(Session())
+
+
 def test_four_places(spark):
     import random
 
@@ -118,6 +143,23 @@ def test_command_line(capsys, tmp_path, spark):
     assert cli.main(["--mock", "--output", str(tmp_path / "o.json")]) == 0
     assert "INV2024002" in capsys.readouterr().out and len(json.loads((tmp_path / "o.json").read_text())) == 3
     assert cli.main(["--image", "x.png", "--ledger", str(tmp_path / "none.json")]) == 1
+    (tmp_path / "ledger.json").write_text("[]")
+    assert cli.main(["--image", "x.png", "--ledger", str(tmp_path / "ledger.json")]) == 1  # no engine is installed here
+
+
+def test_the_usual_engine(monkeypatch):
+    import sys
+    import types
+
+    class Engine:
+        def __init__(self, **settings):
+            assert settings["lang"] == "en"
+
+        def ocr(self, content, cls):
+            return [[[[[0, 0]], (content.decode(), 0.9)]]]
+
+    monkeypatch.setitem(sys.modules, "paddleocr", types.SimpleNamespace(PaddleOCR=Engine))
+    assert connectors.unnested(connectors.default_ocr()(b"x")) == [[[[0, 0]], ("x", 0.9)]]
 
 
 def test_stream(spark, tmp_path):

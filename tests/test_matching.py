@@ -102,13 +102,36 @@ def test_solve_shapes():
     assert [tuple(r) for r in got[["batch_id", "invoice_idx", "ledger_idx"]].to_numpy().tolist()] == [(0, 0, 1), (0, 1, 0), (1, 1, 0), (2, 0, 2), (3, 0, 1), (3, 1, 0)]
 
 
-def test_large_batches_need_a_certificate(spark):
-    config = MatchConfig(dense_pairs=3)
-    good = spark.createDataFrame(frame_of([[1, 0.2], [0.1, 0.8]]), matching.ASSIGNED)
-    assert sorted(tuple(r)[1:3] for r in matching.assign(good, config).collect()) == [(0, 0), (1, 1)]
-    bad = spark.createDataFrame(frame_of([[1, 0.9], [0.9, 0]]), matching.ASSIGNED)
-    with pytest.raises(Exception, match="certificate"):
-        matching.assign(bad, config).collect()
+def test_few_pairs_are_solved_as_all(monkeypatch):
+    r = np.random.default_rng(4)
+    for _ in range(100):
+        n, m = sorted(r.integers(1, 8, 2).tolist())
+        cost = r.integers(0, 6, (n, m)) / 4 if r.random() < 0.5 else r.random((n, m))
+        col, u, v = assignment.sparse_assignment(n, m, [[(j, cost[i, j]) for j in range(m)] for i in range(n)], 100.0)
+        assert cost[np.arange(n), col].sum() == pytest.approx(cost[np.arange(n), assignment.assignment(cost)[0]].sum())
+        assert (u[:, None] + v <= cost + 1e-9).all()
+    col, _, _ = assignment.sparse_assignment(2, 2, [[(0, 0.1)], [(0, 0.3)]], 50.0)
+    assert sorted(c < 2 for c in col) == [False, True] and col[0] == 0
+
+
+def test_batches_beyond_the_bound(spark):
+    r = np.random.default_rng(7)
+    # a conflict, a wide, a tall, one with ties, and one whose rows all want the same columns
+    shapes = [np.array([[1, 0.9], [0.9, 0]]), r.random((9, 14)), r.random((14, 9)), r.integers(0, 3, (8, 8)) / 2.0, np.tile(r.random(10), (10, 1)) + r.random((10, 10)) / 100]
+    rows = [x for k, s in enumerate(shapes) for x in frame_of(s, k)]
+    scores = spark.createDataFrame(rows, matching.ASSIGNED)
+    wanted = assignment.solve(pd.DataFrame(rows, columns=["batch_id", "invoice_idx", "ledger_idx", "score"])).groupby("batch_id")["score"].sum()
+    for got in (matching.assign(scores, MatchConfig(dense_pairs=3)), matching.assign(scores, MatchConfig(dense_pairs=100)), assignment.assign_large(scores, assignment.shapes(scores), 1)):
+        found = got.toPandas()
+        assert not found.duplicated(["batch_id", "invoice_idx"]).any() and not found.duplicated(["batch_id", "ledger_idx"]).any()
+        assert len(found) == sum(min(s.shape) for s in shapes)
+        assert found.groupby("batch_id")["score"].sum().to_dict() == pytest.approx(wanted.to_dict())
+
+
+def test_large_batches_are_dealt(spark):
+    i, e = pipeline.prepare(connectors.mock_invoices(spark), connectors.mock_ledger(spark))
+    whole = {tuple(r) for r in matching.score_pairs(i, e).collect()}
+    assert {tuple(r) for r in matching.score_pairs(i, e, MatchConfig(task_pairs=5), sizes=matching.batch_sizes(i, e)).collect()} == whole
 
 
 def test_a_metric_of_ones_own(spark):
