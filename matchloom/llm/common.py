@@ -1,52 +1,36 @@
-"""Helpers that the operators of this subpackage share.
-
-Intermediate tables go to the folder that the cluster names in ``spark.checkpoint.dir``: driver and executors both see
-it, so a lost executor costs a re-read and not a recomputation.
-"""
+"""Helpers that the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.store import shared_dir, stash, unstash
+
+__all__ = ["shared_dir", "stash", "unstash"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    own = tempfile.mkdtemp(prefix="matchloom-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/matchloom/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to differ from all taken ones."""
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
     return out
 
 
-def unstash(df: DataFrame) -> None:
-    """Delete a stashed table that nothing reads any more."""
-    path = getattr(df, "stash_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def own(docs: DataFrame, *but: str) -> list[F.Column]:
+    """The columns of docs, whatever their names hold, without those named."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in but]
 
 
 def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
@@ -83,6 +67,45 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+#: One key may hold this share of all rows before it meets its partner by broadcast, so that there are at most as many of those.
+HOT_KEYS = 2048
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """left joined with right (stashed, a row for each key, column ``n``: how many rows of left it meets; n is dropped).
+
+    A key with many of left's ``rows`` would make one task of all of them: such keys, ``HOT_KEYS`` at most, are broadcast.
+    """
+    bar = max(1000, rows // HOT_KEYS)
+    hot, rest = right.where(F.col("n") > bar).drop("n"), right.where(F.col("n") <= bar).drop("n")
+    if hot.isEmpty():
+        return left.join(rest, on)
+    rare = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rare.join(rest, on).unionByName(left.join(F.broadcast(hot), on))
+
+
+def trimmed(run: Callable) -> Callable:
+    """run, for mapInArrow: memory comes from the system's allocator and goes back to it after each task."""
+
+    @wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from run(batches)
+        trim()
+
+    return out
+
+
+def map_rows(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(trimmed(run), schema)`` for columns of any names, also such that hold a dot."""
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return df.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(trimmed(renamed), schema)
+
+
 def trim() -> None:
     """Give freed memory back to the system, which the allocators of a reused Python worker otherwise keep."""
     pa.default_memory_pool().release_unused()

@@ -2,34 +2,38 @@
 
 Equal strings are brought together by content: the 32-byte gram of the least hash in a string is its anchor, so equal
 strings have equal anchors at equal offsets. Only anchors that occur twice go on. All neighbouring strings of one anchor
-form a *unit* (a stretch of text); equal units are counted, and where one anchor has several different units, a suffix
-array over them tells which of their strings repeat.
+form a *unit* (a stretch of text); equal units (by 128 bits of BLAKE2b) are counted, and where one anchor has several
+different units, a suffix array over them and the common prefixes of its neighbours tell which of their strings repeat.
 
 The suffix array is built by linear grouping. Suffixes are grouped by their Lyndon prefix: groups are processed in
 descending order; the suffixes of a group find their previous smaller neighbour, and the neighbours' groups are split by
 how many of the group's suffixes follow them. A second pass emits each group's order by walking the previous-smaller
 pointers from each suffix in ascending order; nothing is renamed or sorted again. Its symbols are content-defined
 phrases of some 32 bytes, numbered in lexicographic order, so that it orders the suffixes at phrase starts as their bytes
-do; every other suffix follows from the bytes before the next phrase start and the rank of what follows.
+do; every other suffix follows from the bytes before the next phrase start and the rank of what follows. Hashes only
+bring bytes together: what they bring is compared.
 
 A hot anchor (one passage in very many documents) is dealt by the bytes its strings share: blocks of 16 strings by their
-common core and, where a core still has many different blocks, single strings, which are only counted.
+common core and, where a core still has many different blocks, single strings, which are only counted. Keys that hold
+very many rows meet what is known of them by broadcast, so no task gets all of one key.
 
-Defined results: null text is an empty text; repeated rows are copies of each other; shorter texts than LENGTH stay as
-they are; an empty table gives no rows; other columns are kept.
+Defined results: null text is an empty text; repeated rows are copies of each other; null doc_id is a doc_id like any
+other; shorter texts than LENGTH stay as they are; an empty table gives no rows; other columns are kept, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, utf8
+from .common import fresh, join_hot, map_rows, own, stash, trimmed, unstash, utf8
 from .tokens import ROLL, UNROLL
 
 LENGTH = 400
@@ -39,8 +43,10 @@ TRIGGER = 8
 #: Occurrences beyond which an anchor's strings are dealt in blocks, and different blocks beyond which a core's are dealt singly.
 HOT = 1000
 BLOCK = 16
-RUN_BYTES = 1 << 20
-PIECE = 1 << 22
+RUN_BYTES = 1 << 19
+PIECE = 1 << 19
+#: Units that a task remembers, so that equal ones are sent once.
+SEEN = 100_000
 
 
 class Rolling:
@@ -185,14 +191,53 @@ def suffix_array(s: list[int]) -> list[int]:
     return order
 
 
+def common(words: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """How many bytes, ``limit`` at most, are the same from places a and b on; words: the eight bytes at each place."""
+    out = np.zeros(len(a), np.int64)
+    live, at = np.flatnonzero(limit > 0), 0
+    while len(live):
+        x = (words[a[live] + at] ^ words[b[live] + at]).view("<u8").ravel()
+        low = (x & (~x + np.uint64(1))).astype(np.float64)  # the lowest bit that differs, a power of two
+        out[live] += np.where(x == 0, 8, np.log2(np.maximum(low, 1)).astype(np.int64) >> 3)
+        at += 8
+        live = live[(x == 0) & (limit[live] > at)]
+    return np.minimum(out, limit)
+
+
+class Lowest:
+    """Minimum of any stretch of an array."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while len(self.levels[-1]) > 1 << len(self.levels) - 1:
+            v, step = self.levels[-1], 1 << len(self.levels) - 1
+            self.levels.append(np.minimum(v[:-step], v[step:]))
+
+    def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Over [begin, end), none of them empty."""
+        out = np.zeros(len(begin), np.int64)
+        level = np.log2(end - begin).astype(np.int64)
+        for k in range(len(self.levels)):
+            here = np.flatnonzero(level == k)
+            if len(here):
+                out[here] = np.minimum(self.levels[k][begin[here]], self.levels[k][end[here] - (1 << k)])
+        return out
+
+
 def repeated(units: list[bytes], strings: list[int], length: int = LENGTH) -> np.ndarray:
-    """For the first ``strings[k]`` strings of each unit, one after another: does an equal string start anywhere else in the units?"""
+    """For the first ``strings[k]`` strings of each unit, one after another: does an equal string start anywhere else in the units?
+
+    The suffix array orders the suffixes at phrase starts, and its neighbours' common prefixes are compared byte by byte.
+    A string is the bytes before its first phrase start, its head, and what follows. Strings of equal heads are sorted by
+    the rank of what follows: two neighbours are equal if that has a common prefix as long as the rest of the string.
+    """
     data = np.frombuffer(b"".join(units), np.uint8)
     sizes = np.array([len(u) for u in units])
     ends = np.cumsum(sizes)
     starts = ends - sizes
     n = len(data)
     roll = Rolling(data)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(length + 8, np.uint8))), 8)
     # phrase starts: places whose next TRIGGER bytes hash to zero
     flags = np.zeros(n, bool)
     at = np.arange(max(0, n - TRIGGER + 1))
@@ -218,27 +263,41 @@ def repeated(units: list[bytes], strings: list[int], length: int = LENGTH) -> np
         where.append(-1)
     symbols.append(0)
     where.append(-1)
-    rank = np.zeros(n + 1, np.int64)
-    spot = np.array(where)
-    order = spot[np.array(suffix_array(symbols))]
+    order = np.array(where)[np.array(suffix_array(symbols))]
     order = order[order >= 0]
-    rank[order] = np.arange(1, len(order) + 1)
-    # all strings: the bytes before the first phrase start that the string holds whole, then the rank from there
+    rank = np.zeros(n + 1, np.int64)
+    rank[order] = np.arange(len(order))
+    room = ends[np.searchsorted(ends, order, side="right")] - order
+    # shared[r]: common prefix of the suffixes of ranks r and r + 1
+    shared = Lowest(common(words, order[:-1], order[1:], np.minimum(np.minimum(room[:-1], room[1:]), length)) if len(order) > 1 else np.zeros(1, np.int64))
     counts = np.array(strings)
     i = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    nxt = np.searchsorted(cuts, i)
-    cut = np.append(cuts, n)[nxt]
-    none = cut + TRIGGER > i + length
+    cut = np.append(cuts, n)[np.searchsorted(cuts, i)]
+    none = cut + TRIGGER > i + length  # no phrase start that the string holds whole: it is all head
     cut = np.where(none, i + length, cut)
-    head = roll.of(i, cut) + (cut - i).astype(np.uint64)
+    size = cut - i
     tail = np.where(none, 0, rank[np.minimum(cut, n)])
-    full = roll.of(i, i + length)
-    by = np.lexsort((tail, head))
-    f, h = full[by], head[by]
-    same = (f[1:] == f[:-1]) & (h[1:] == h[:-1])
+    head = roll.of(i, cut) + size.astype(np.uint64)
+    while True:
+        by = np.lexsort((tail, head))
+        x, y = by[:-1], by[1:]
+        alike = head[x] == head[y]
+        same = alike & (size[x] == size[y])
+        told = (same == alike).all()
+        ask = np.flatnonzero(same & ~none[x])
+        ask = ask[tail[x[ask]] < tail[y[ask]]]
+        same[ask] = shared.of(tail[x[ask]], tail[y[ask]]) >= (length - size)[x[ask]]
+        pairs = np.flatnonzero(same)
+        told = told and (common(words, i[x[pairs]], i[y[pairs]], size[x[pairs]]) == size[x[pairs]]).all()
+        if told:
+            break
+        # two different heads share a hash: number the heads themselves
+        heads = [whole[a:b] for a, b in zip(i.tolist(), cut.tolist(), strict=True)]
+        numbers = {h: k for k, h in enumerate(set(heads))}
+        head = np.fromiter(map(numbers.__getitem__, heads), np.uint64, len(heads))
     out = np.zeros(len(i), bool)
-    out[by[1:]] |= same
-    out[by[:-1]] |= same
+    out[y[pairs]] = True
+    out[x[pairs]] = True
     return out
 
 
@@ -266,153 +325,156 @@ def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[list[int], list[i
         yield text, begin, end
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """(key, text) to (g, key, at, strings): the units of every text."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         keys = batch.column("key").to_numpy()
-        for text, begin, end in pieces(offsets, LENGTH):
+        for text, begin, end in pieces(offsets, length):
             joined = np.concatenate([data[a:b] for a, b in zip(begin, end, strict=True)])
             size = np.array(end) - np.array(begin)
             stops = np.cumsum(size)
-            k, first, count, _, gram = anchors(joined, stops - size, stops)
+            k, first, count, _, gram = anchors(joined, stops - size, stops, length)
             row = np.array(text)[k]
             at = first - (stops - size)[k] + np.array(begin)[k] - offsets[row]
             yield pa.RecordBatch.from_pydict({"g": gram, "key": keys[row], "at": at.astype(np.int32), "strings": count.astype(np.int32)})
 
 
-def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, found: units of repeated anchors) to units (g, c, key, at, strings, body)."""
-    from xxhash import xxh3_64_intdigest as digest
+UNIT = pa.schema([("g", pa.int64()), ("c", pa.binary()), ("key", pa.int64()), ("at", pa.int32()), ("strings", pa.int32()), ("body", pa.binary())])
+
+
+def digest(body: bytes) -> bytes:
+    """128 bits of BLAKE2b: what is known by it counts as equal."""
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(key, text, found: units of repeated anchors) to units (g, c, key, at, strings, body); those of hot anchors in blocks.
+
+    Of the equal units that one task meets, some have no body: one has.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    seen: set[tuple[int, bytes]] = set()
+
+    def row(g: int, key: int, at: int, strings: int, part: bytes) -> tuple:
+        c = digest(part)
+        if (g, c) in seen:
+            return g, c, key, at, strings, None
+        if len(seen) == SEEN:
+            seen.clear()
+        seen.add((g, c))
+        return g, c, key, at, strings, part
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), UNIT, strict=True)], schema=UNIT)
 
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        texts = batch.column("text")
-        for key, text, found in zip(batch.column("key").to_pylist(), texts, batch.column("found").to_pylist(), strict=True):
+        for key, text, found in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("found").to_pylist(), strict=True):
             body = (text.as_py() or "").encode()
             for unit in found:
-                at, n, g = unit["at"], unit["strings"], unit["g"]
+                at, n = unit["at"], unit["strings"]
                 if unit["n"] <= HOT:
-                    part = body[at : at + n - 1 + LENGTH]
-                    out.append((g, signed(digest(part, 1)), key, at, n, part))
+                    part = body[at : at + n - 1 + length]
+                    out.append(row(unit["g"], key, at, n, part))
                     size += len(part)
                 else:
-                    # blocks that lie alike around the anchor; the bytes that all strings of a block share name it
-                    back = unit["back"]
-                    lead = back % BLOCK
-                    cuts = [0, *range(lead or BLOCK, n, BLOCK), n]
+                    # the anchor is in the unit's first string: the gram of the least hash there. Blocks lie alike around
+                    # it, and the bytes that all strings of a block share name it
+                    back = int(anchors(np.frombuffer(body[at : at + length], np.uint8), np.array([0]), np.array([length]), length)[3][0])
+                    cuts = [0, *range(back % BLOCK or BLOCK, n, BLOCK), n]
                     for a, b in zip(cuts, cuts[1:], strict=False):
                         if a == b:
                             continue
-                        part = body[at + a : at + b - 1 + LENGTH]
+                        part = body[at + a : at + b - 1 + length]
                         shape = (back - a - 1) // BLOCK
-                        core = body[at + back - (shape * BLOCK) - 1 : at + back - (shape + 1) * BLOCK + LENGTH]
-                        out.append((signed(digest(core, shape & 0xFFFF)), signed(digest(part, 2)), key, at + a, b - a, part))
+                        core = body[at + back - (shape * BLOCK) - 1 : at + back - (shape + 1) * BLOCK + length]
+                        name = xxh3_64_intdigest(core, shape & 0xFFFF)
+                        out.append(row(name - (1 << 64) if name >> 63 else name, key, at + a, b - a, part))
                         size += len(part)
-            if size > RUN_BYTES:
-                yield _units(out)
-                out, size = [], 0
+                if size > RUN_BYTES:
+                    yield rows(out)
+                    out, size = [], 0
         if out:
-            yield _units(out)
-
-
-UNIT = pa.schema([("g", pa.int64()), ("c", pa.int64()), ("key", pa.int64()), ("at", pa.int32()), ("strings", pa.int32()), ("body", pa.binary())])
-
-
-def _units(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), UNIT, strict=True)], schema=UNIT)
+            yield rows(out)
 
 
-def _array_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Different units (g, c, strings, body), sorted by g, to the runs of strings in each that repeat: (g, c, begin, end)."""
+def _array_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Different units (g, c, strings, m: rows of it, body), sorted by g, to the runs of strings that repeat in those that come once: (g, c, runs)."""
     held: list[tuple] = []
     size = 0
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        flags = repeated([r[3] for r in rows], [r[2] for r in rows])
+        flags = repeated([r[4] for r in rows], [r[2] for r in rows], length)
         out, at = [], 0
-        for g, c, n, _ in rows:
-            out += [(g, c, a, b) for a, b in runs(flags[at : at + n])]
+        for g, c, n, m, _ in rows:
+            found = runs(flags[at : at + n]) if m == 1 else []
+            if found:
+                out.append((g, c, [{"begin": a, "end": b} for a, b in found]))
             at += n
         if out:
-            g, c, a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int64()), "c": pa.array(c, pa.int64()), "begin": pa.array(a, pa.int32()), "end": pa.array(b, pa.int32())})
+            g, c, found = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int64()), "c": pa.array(c, pa.binary()), "runs": pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))})
 
     for batch in batches:
-        for row in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "strings", "body")), strict=True):
+        for row in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "strings", "m", "body")), strict=True):
             if size > RUN_BYTES and held[-1][0] != row[0]:
                 yield from solve(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[3])
+            size += len(row[4])
     yield from solve(held)
 
 
-def _single_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks (g, c, strings, body) to the hash of each of their strings: (g, c, at, h)."""
+def _single_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Blocks (g, c, strings, m, body) to their single strings: (g, c, m, at, h)."""
     for batch in batches:
-        for g, c, n, body in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "strings", "body")), strict=True):
-            at = np.arange(n)
-            h = Rolling(np.frombuffer(body, np.uint8)).of(at, at + LENGTH).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"g": pa.array([g] * n, pa.int64()), "c": pa.array([c] * n, pa.int64()), "at": at.astype(np.int32), "h": h})
+        for g, c, n, m, body in zip(*(batch.column(x).to_pylist() for x in ("g", "c", "strings", "m", "body")), strict=True):
+            h = [digest(body[k : k + length]) for k in range(n)]
+            yield pa.RecordBatch.from_pydict({"g": pa.array([g] * n, pa.int64()), "c": pa.array([c] * n, pa.binary()), "m": pa.array([m] * n, pa.int64()), "at": np.arange(n, dtype=np.int32), "h": pa.array(h, pa.binary())})
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, spans) for the texts that hold repeated strings; docs: key, text. Spans are [from, to) in bytes, not merged."""
-    units = stash(docs.mapInArrow(_anchor_rows, "g long, key long, at int, strings int"), "anchors")
-    often = units.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = units.join(often, "g").groupBy("key").agg(F.collect_set(F.struct("g", "at", "strings", "n")).alias("found"))
-    rows = stash(docs.join(wanted, "key").select("key", "text", "found").mapInArrow(_unit_rows_placed, "g long, c long, key long, at int, strings int, body binary"), "units")
-    kinds = stash(rows.groupBy("g", "c", "strings").agg(F.count("*").alias("n")), "kinds")
-    groups = kinds.groupBy("g").agg(F.count("*").alias("kinds"))
-    several = stash(rows.join(groups.where("kinds > 1"), "g").groupBy("g", "c", "strings", "kinds").agg(F.first("body").alias("body")), "several")
-    few = several.where(F.col("kinds") <= HOT).select("g", "c", "strings", "body")
-    by_array = few.repartition("g").sortWithinPartitions("g", "c").mapInArrow(_array_rows, "g long, c long, begin int, end int")
-    many = several.where(F.col("kinds") > HOT).select("g", "c", "strings", "body")
-    singles = stash(many.mapInArrow(_single_rows, "g long, c long, at int, h long"), "singles")
-    twice = singles.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    by_count = singles.join(twice, "h").select("g", "c", F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))
-    alike = kinds.where("n > 1").select("g", "c", F.lit(0).alias("begin"), F.col("strings").alias("end"))
-    marks = stash(alike.unionByName(by_array).unionByName(by_count), "marks")
-    spans = rows.select("g", "c", "key", "at").join(marks, ["g", "c"]).select("key", (F.col("at") + F.col("begin")).alias("a"), (F.col("at") + F.col("end") - 1 + LENGTH).alias("b"))
-    return spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-
-
-def _unit_rows_placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to each hot unit how far its anchor lies behind its first string, then ``_unit_rows``."""
-
-    def placed() -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = batch.column("text"), batch.column("found").to_pylist()
-            for text, units in zip(texts, found, strict=True):
-                if all(u["n"] <= HOT for u in units):
-                    continue
-                body = (text.as_py() or "").encode()
-                for u in units:
-                    if u["n"] > HOT:
-                        # the anchor is in the unit's first string: the gram of the least hash there
-                        part = np.frombuffer(body[u["at"] : u["at"] + LENGTH], np.uint8)
-                        u["back"] = int(anchors(part, np.array([0]), np.array([LENGTH]))[3][0])
-            kind = pa.list_(pa.struct([("g", pa.int64()), ("at", pa.int32()), ("strings", pa.int32()), ("n", pa.int64()), ("back", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), texts, pa.array(found, kind)], names=["key", "text", "found"])
-
-    return _unit_rows(placed())
 
+    def mapped(df: DataFrame, run, fields: str) -> DataFrame:
+        return df.mapInArrow(trimmed(partial(run, length=length)), fields)
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a key made of what a result depends on, so that equal rows share one."""
-    return docs.withColumn("_key", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit(""))))
-
-
-def spans_of(docs: DataFrame) -> DataFrame:
-    """docs with _key and spans (null: none)."""
-    rows = keyed(docs)
-    found = repeated_spans(rows.select(F.col("_key").alias("key"), F.coalesce("text", F.lit("")).alias("text")))
-    return rows.join(found, rows["_key"] == found["key"], "left").drop("key")
+    units = stash(mapped(docs, _anchor_rows, "g long, key long, at int, strings int"), "anchors")
+    often = stash(units.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    found = join_hot(units, often.select("g", "n", F.col("n").alias("count")), ["g"], units.count())
+    wanted = found.groupBy("key").agg(F.collect_set(F.struct("g", "at", "strings", F.col("count").alias("n"))).alias("found"))
+    rows = stash(mapped(docs.join(wanted, "key").select("key", "text", "found"), _unit_rows, "g long, c binary, key long, at int, strings int, body binary"), "units")
+    unstash(units, often)
+    kinds = stash(rows.groupBy("g", "c", "strings").agg(F.count("*").alias("n")), "kinds")
+    several = stash(kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1"), "several")
+    n_rows = rows.count()
+    bodies = join_hot(rows.select("g", "c", "strings", "body"), several, ["g"], n_rows)
+    bodies = stash(bodies.groupBy("g", "c", "strings", "kinds").agg(F.count("*").alias("m"), F.first("body", ignorenulls=True).alias("body")), "bodies")
+    parts = ("g", "c", "strings", "m", "body")
+    by_array = mapped(bodies.where(F.col("kinds") <= HOT).select(*parts).repartition("g").sortWithinPartitions("g", "c"), _array_rows, "g long, c binary, runs array<struct<begin:int,end:int>>")
+    singles = stash(mapped(bodies.where(F.col("kinds") > HOT).select(*parts), _single_rows, "g long, c binary, m long, at int, h binary"), "singles")
+    twice = stash(singles.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    by_count = join_hot(singles.where("m = 1"), twice, ["h"], singles.count()).groupBy("g", "c").agg(F.collect_list(F.struct(F.col("at").alias("begin"), (F.col("at") + 1).alias("end"))).alias("runs"))
+    alike = kinds.where("n > 1").select("g", "c", F.array(F.struct(F.lit(0).alias("begin"), F.col("strings").alias("end"))).alias("runs"), "n")
+    marks = stash(alike.unionByName(by_array.unionByName(by_count).withColumn("n", F.lit(1).cast("long"))), "marks")
+    unstash(kinds, several, bodies, singles, twice)
+    spans = join_hot(rows.select("g", "c", "key", "at"), marks, ["g", "c"], n_rows).select("key", "at", F.inline("runs"))
+    return spans.groupBy("key").agg(F.collect_set(F.struct((F.col("at") + F.col("begin")).alias("a"), (F.col("at") + F.col("end") - 1 + length).alias("b"))).alias("spans"))
+
+
+def spans_of(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, str]:
+    """docs with a last column of spans (null: none), and its name. Rows of equal doc_id and text share what is found."""
+    key, spans = fresh(docs.columns, "key", "spans")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("*", F.xxhash64(F.col("doc_id"), text).alias(key))
+    found = repeated_spans(docs.select(F.xxhash64(F.col("doc_id"), text).alias("key"), text.alias("text")), length)
+    found = found.select(F.col("key").alias(key), F.col("spans").alias(spans))
+    return rows.join(found, key, "left").select(*own(docs), spans), spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -448,31 +510,29 @@ def digests(docs: DataFrame) -> DataFrame:
                 rows["kept_sha256"].append(hashlib.sha256(kept(body, gone)).hexdigest())
             yield pa.RecordBatch.from_pydict(rows)
 
-    return spans_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "text", "spans").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    found, _ = spans_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return found.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """docs without repeated strings. A cut inside a character drops what is left of it; n_chars, if there, follows the text."""
-    schema = docs.schema
+def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs without strings of ``length`` bytes that repeat. A cut inside a character drops what is left of it; n_chars, if there, follows the text."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(n) for n in names}
-            found = batch.column("spans").to_pylist()
-            hit = {i: merged(s) for i, s in enumerate(found) if s}
+            columns = batch.columns[:-1]
+            hit = {i: merged(s) for i, s in enumerate(batch.columns[-1].to_pylist()) if s}
             if hit:
-                texts = columns["text"].to_pylist()
+                at = names.index("text")
+                texts = columns[at].to_pylist()
                 for i, gone in hit.items():
                     texts[i] = kept(texts[i].encode(), gone).decode(errors="ignore")
-                columns["text"] = pa.array(texts, pa.string())
+                columns[at] = pa.array(texts, columns[at].type)
                 if "n_chars" in names:
-                    n = columns["n_chars"].to_pylist()
+                    n = columns[names.index("n_chars")].to_pylist()
                     for i in hit:
                         n[i] = len(texts[i])
-                    columns["n_chars"] = pa.array(n, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
+                    columns[names.index("n_chars")] = pa.array(n, columns[names.index("n_chars")].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spans_of(docs).select(*names, "spans").mapInArrow(run, schema)
+    return map_rows(spans_of(docs, length)[0], run, docs.schema)
