@@ -9,6 +9,10 @@ A run of more than ``RUN`` fingerprints is not compared at all: its members are
 cut in two in the same way, and so on; after the third cut a run holds 2,048 fingerprints at most. Inside a run only a
 spanning forest is emitted. Components then come from alternating star contractions, each a grouped minimum and a join.
 
+``keep_one``, for corpora, takes a similarity rather than a distance. At 0.8 some 15 % of all bits differ, which no cut
+into few segments can guarantee to meet; so a set has several fingerprints and many shorter segments, whose one-wildcard
+variants meet with a probability that grows with similarity.
+
 Defined results: null text is an empty text; texts without words have fingerprint zero and are linked like any other;
 rows without doc_id take part, and their component is the smallest doc_id there is in it; repeated rows share a
 component; an empty table gives no rows; other columns are kept.
@@ -18,33 +22,40 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from .common import lower_table, slices, stash, unstash, utf8
+from .common import fresh, join_hot, lower_table, own, slices, stash, trimmed, unstash, utf8
 
 RUN = 8192
 DIFFER = 3
 SHINGLE = 3
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
+#: For ``keep_one``: words of a shingle and the least similarity; fingerprints of 64 bits a set and bits of a segment.
+SIMILAR_SHINGLE, JACCARD = 5, 0.8
+WORDS, SEGMENT = 4, 21
+#: Bits that may differ in one fingerprint and in all: at a similarity of 0.8, 9.7 and 39 do on average.
+NEAR, WIDE_NEAR = 20, 48
+SALTS = 16
 LOWER = lower_table()
 
 
-def shingle_hashes(text: bytes) -> list[int]:
-    """XXH64, seed 42, of each run of three words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> list[int]:
+    """XXH64, seed 42, of each run of ``shingle`` words (of all words where there are fewer)."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(LOWER).split()
     if not words:
         return []
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return [xxh64_intdigest(b" ".join(words), 42)]
-    return list(map(xxh64_intdigest, map(b" ".join, zip(words, words[1:], words[2:], strict=False)), repeat(42)))
+    return list(map(xxh64_intdigest, map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)), repeat(42)))
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -63,18 +74,18 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """docs with the column fp."""
-    base = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "fp"))
-    schema = StructType([*base.schema.fields, StructField("fp", LongType())])
+    """(doc_id, fp) of docs."""
+    base = docs.select("doc_id", "text")
+    schema = StructType([base.schema["doc_id"], StructField("fp", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             found = [fingerprints([data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]) for i, j in slices(offsets, RUN_BYTES)]
             fp = np.concatenate(found) if found else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], names=[*batch.schema.names, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(trimmed(run), schema)
 
 
 def one_wildcard(fp: np.ndarray, at: np.ndarray, wide: int, sig: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +111,7 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def forest(fp: np.ndarray) -> tuple[list[int], list[int]]:
+def forest(fp: np.ndarray, differ: int = DIFFER) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the links among fp."""
     left, right = [], []
     rest = fp
@@ -108,7 +119,7 @@ def forest(fp: np.ndarray) -> tuple[list[int], list[int]]:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            near = differing(rest, x) <= DIFFER
+            near = differing(rest, x) <= differ
             if near.any():
                 found = rest[near]
                 left += [int(x)] * len(found)
@@ -121,7 +132,7 @@ def forest(fp: np.ndarray) -> tuple[list[int], list[int]]:
 EDGE = pa.schema([("sig", pa.int64()), ("at", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
 
-def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN) -> Iterator[pa.RecordBatch]:
+def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN, differ: int = DIFFER) -> Iterator[pa.RecordBatch]:
     """Sorted rows (sig, at, fp) to links (u, v); members of a run beyond the bound come back as (sig, at, fp) for another cut."""
 
     def rows(sig, at, u, v) -> pa.RecordBatch:
@@ -136,14 +147,14 @@ def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN) -> Iter
         size = np.diff(cut)
         two = cut[:-1][size == 2]
         a, b = fp[two], fp[two + 1]
-        near = differing(a, b) <= DIFFER
+        near = differing(a, b) <= differ
         u, v = [a[near]], [b[near]]
         for i in np.flatnonzero(size > 2).tolist():
             part = fp[cut[i] : cut[i + 1]]
             if len(part) > bound:
                 yield hot(int(sig[cut[i]]), int(at[cut[i]]), part)
                 continue
-            x, y = forest(part)
+            x, y = forest(part, differ)
             u.append(np.array(x, np.int64))
             v.append(np.array(y, np.int64))
         u, v = np.concatenate(u), np.concatenate(v)
@@ -154,7 +165,8 @@ def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN) -> Iter
     held: list[tuple[np.ndarray, ...]] = []
     n, spilled = 0, None
     for batch in batches:
-        sig, at, fp = (batch.column(c).to_numpy() for c in ("sig", "at", "fp"))
+        sig, fp = batch.column("sig").to_numpy(), batch.column("fp").to_numpy()
+        at = batch.column("at").to_numpy() if "at" in batch.schema.names else np.zeros(len(sig), np.int32)
         if not len(sig):
             continue
         if spilled is not None:  # the run that was too long goes on
@@ -202,17 +214,16 @@ def links(fps: DataFrame) -> DataFrame:
 
         return run
 
-    keyed = fps.mapInArrow(first, "sig long, at int, fp long")
-    out, made = [], []
+    keyed = fps.mapInArrow(trimmed(first), "sig long, at int, fp long")
+    out = []
     for wide in (32, 16, 8, 0):
         bound = RUN if wide else float("inf")  # after the third cut eleven bits are free at most
-        found = stash(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(partial(links_of_runs, bound=bound), "sig long, at int, u long, v long"), "links")
-        made.append(found)
+        found = stash(keyed.repartition("sig").sortWithinPartitions("sig").mapInArrow(trimmed(partial(links_of_runs, bound=bound)), "sig long, at int, u long, v long"), "links")
         out.append(found.where(F.col("v").isNotNull()).select("u", "v"))
         hot = found.where(F.col("v").isNull())
         if not wide or hot.isEmpty():
             break
-        keyed = hot.mapInArrow(again(wide), "sig long, at int, fp long")
+        keyed = hot.mapInArrow(trimmed(again(wide)), "sig long, at int, fp long")
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
@@ -248,20 +259,113 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with fp and component_id (smallest doc_id of those linked, itself included)."""
-    marked = stash(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"), "fp")
-    owners = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "owners")
+    """doc_id, fp and component_id (smallest doc_id of those linked, itself included) of each row."""
+    marked = stash(with_fingerprints(docs), "fp")
+    owners = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "owners")
     roots = components(links(owners.select("fp")))
-    rooted = owners.join(roots, owners["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = owners.join(roots, owners["fp"] == roots["node"], "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_fp = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = stash(rooted.select("fp", "n", "root").join(lowest, "root").select("fp", "component_id", "n"), "of_fp")
+    unstash(owners)
+    return join_hot(marked, of_fp, ["fp"], marked.count()).select("doc_id", "fp", "component_id")
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """WORDS signed 64-bit fingerprints of one set of shingle hashes: the first of the hashes, the others of hashes of them."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(h), 1 << 14):
+        part = h[i : i + (1 << 14)]
+        mixed = np.empty((len(part), WORDS), np.uint64)
+        mixed[:, 0] = part
+        with np.errstate(over="ignore"):
+            for k in range(1, WORDS):
+                z = part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+                z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+                mixed[:, k] = z ^ z >> np.uint64(31)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<i8")
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of SIMILAR_SHINGLE words."""
+    return np.unique(np.array(shingle_hashes(text, SIMILAR_SHINGLE), np.uint64))
+
+
+def wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(w0, w1, ..) to (sig, fp: w0): each segment of SEGMENT bits with each of its bits as a wildcard."""
+    per = 64 // SEGMENT
+    for b in batches:
+        words = [b.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WORDS)]
+        for i in range(0, len(b), 1000):
+            sig = []
+            for k in range(WORDS * per):
+                part = words[k // per][i : i + 1000] >> np.uint64(k % per * SEGMENT) & np.uint64((1 << SEGMENT) - 1)
+                sig += [part & ~np.uint64(1 << bit) | np.uint64((k * SEGMENT + bit) << SEGMENT) for bit in range(SEGMENT)]
+            fp = words[0][i : i + 1000].view(np.int64)
+            yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sig).astype(np.int32), "fp": np.tile(fp, len(sig))})
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of which one stays for each component: that of the smallest doc_id; rows that share a doc_id are one."""
-    found = near_duplicates(docs)
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    chosen = stash(chosen, "chosen")
-    kept = docs.join(chosen.select(F.col("doc_id").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return kept if chosen.where(F.col("n") > 1).isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The rows of which one stays for each group of near copies: that of the smallest doc_id (null last), then any one.
+
+    Near copies have a Jaccard similarity of JACCARD at least over their sets of SIMILAR_SHINGLE words. A set has WORDS
+    fingerprints, cut into segments of SEGMENT bits; two that agree in a segment but for one bit at most are compared:
+    first by the fingerprint that the signature carries (NEAR bits may differ), then by all (WIDE_NEAR). A text whose
+    nearest one so found is not similar by the sets themselves has no links. Rows are told apart by their own number, so
+    missing and repeated doc_ids lose nothing; texts without words are copies of each other.
+    """
+    (name,) = fresh(docs.columns, "row")
+    numbered = stash(docs.select("*", F.monotonically_increasing_id().alias(name)), "rows")
+    rows = numbered.select(F.col(name).alias("row"), "doc_id", "text")
+    words = [f"w{k}" for k in range(WORDS)]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = utf8(b.column("text"))
+            for i in range(0, len(b), 256):
+                digests, found = [], []
+                for x, y in zip(offsets[i : i + 256].tolist(), offsets[i + 1 : i + 257].tolist(), strict=False):
+                    h = shingle_set(data[x:y].tobytes())
+                    digests.append(blake2b(h.tobytes(), digest_size=16).digest())
+                    found.append(wide_fingerprint(h))
+                part, w = b.slice(i, 256), np.array(found, np.int64).reshape(-1, WORDS)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array(w[:, k]) for k in range(WORDS))], names=["row", "doc_id", "digest", *words])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for k, x, y in zip(b.column("node").to_pylist(), b.column("a"), b.column("b"), strict=True):
+                x, y = (shingle_set((t.as_py() or "").encode()) for t in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= JACCARD * (len(x) + len(y) - both) - 1e-9:
+                    good.append(k)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(good, pa.int64())})
+
+    fields = StructType([StructField("row", LongType()), docs.schema["doc_id"], StructField("digest", BinaryType()), *(StructField(w, LongType()) for w in words)])
+    found = rows.mapInArrow(trimmed(sketch), fields)
+    best = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
+    copies = stash(found.groupBy("digest").agg(F.min("row").alias("first"), F.min(best).alias("best"), *(F.first(w).alias(w) for w in words)).drop("digest"), "copies")
+    # of the sets with an equal first fingerprint one is indexed, and the others are held against it
+    classes = stash(copies.groupBy("w0").agg(F.min("first").alias("node"), F.count("*").alias("n"), *(F.min_by(w, "first").alias(w) for w in words[1:])), "classes")
+    signed = classes.select(*words).mapInArrow(trimmed(wide_signatures), "sig int, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
+    met = signed.mapInArrow(trimmed(partial(links_of_runs, bound=float("inf"), differ=NEAR)), "sig long, at int, u long, v long").select("u", "v").distinct()
+    ends = [classes.select(*(F.col(c).alias(f"{side}_{c}") for c in ("node", *words))) for side in "uv"]
+    joined = met.join(ends[0], F.col("u") == F.col("u_w0")).join(ends[1], F.col("v") == F.col("v_w0"))
+    inside = join_hot(copies.select("first", *(F.col(w).alias(f"v_{w}") for w in words)).withColumn("w0", F.col("v_w0")), classes, ["w0"], copies.count()).where("first <> node")
+    inside = inside.select(F.col("node").alias("u_node"), F.col("first").alias("v_node"), F.col("v_w0").alias("u_w0"), *(F.col(w).alias(f"u_{w}") for w in words[1:]), *(f"v_{w}" for w in words))
+    pairs = joined.select(*inside.columns).unionByName(inside)
+    apart = sum(F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words)
+    near = stash(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), apart.alias("h")).where(F.col("h") <= WIDE_NEAR), "near")
+    both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "h"))
+    nearest = stash(both.groupBy(F.col("u").alias("node")).agg(F.min(F.struct("h", "v"))["v"].alias("other")), "nearest")
+    # a text that is many texts' nearest one goes to SALTS tasks
+    salt = F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt")
+    others = nearest.select("other", salt).distinct().join(rows.select(F.col("row").alias("other"), F.col("text").alias("b")), "other")
+    texts = nearest.select("node", "other", salt).join(rows.select(F.col("row").alias("node"), F.col("text").alias("a")), "node")
+    good = stash(texts.join(others, ["other", "salt"]).select("node", "a", "b").mapInArrow(trimmed(compare), "node long"), "similar")
+    edges = near.select("u", "v").join(good.select(F.col("node").alias("u")), "u", "left_semi").join(good.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v")
+    rooted = copies.join(components(edges), F.col("first") == F.col("node"), "left").select(F.coalesce("root", "first").alias("root"), "best")
+    chosen = stash(rooted.groupBy("root").agg(F.min("best")["row"].alias(name)).select(name), "chosen")
+    unstash(copies, classes, near, nearest, good)
+    return numbered.join(chosen, name, "left_semi").select(*own(docs))
