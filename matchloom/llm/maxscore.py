@@ -6,12 +6,13 @@ k-th best score is out of reach of its weakest terms together, those are non-ess
 traversed for all vectors, and the other terms are probed, strongest first, only for vectors that can still compete. The
 shards' best are merged by one window.
 
-Vectors are packed in blocks, and so are the queries; every block of queries meets every shard by an equi-join on the
-shard's number. Nothing is broadcast.
+Vectors are packed in blocks, and so are the queries; every block of queries meets every shard by an equi-join on both
+numbers, so that each such meeting is dealt for itself. Nothing is broadcast.
 
 Defined results: a vector that is null or holds null or non-finite components takes no part; shorter vectors are read as
 if zeros followed; an empty vector scores 0; a row of the query's own vec_id is never its candidate; repeated rows are
-candidates each and, as queries, count once; null vec_id takes no part; an empty table gives no rows.
+candidates each and, as queries, count once; of different vectors under one vec_id the least (element by element) is the
+query and all are candidates; null vec_id takes no part; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, trimmed
 
-SHARD_ROWS, QUERY_ROWS, K, EVERY, SCALE = 16_384, 256, 5, 50, 256
+SHARD_ROWS, QUERY_ROWS, K, EVERY, SCALE = 16_384, 512, 5, 50, 256
 FIRST, STEP = 256, 8
 
 
-def quantised(column: pa.Array) -> list[np.ndarray | None]:
-    """floor(SCALE * x) of each vector; None for one that takes no part."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        x = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.values.null_count == 0 else None
-        out.append(np.floor(SCALE * x).astype(np.int64) if x is not None and np.isfinite(x).all() else None)
-    return out
+def usable(vector: str) -> Column:
+    """Is the vector there, without null or non-finite components?"""
+    return F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def quantised(column: pa.Array) -> list[np.ndarray]:
+    """floor(SCALE * x) of each vector."""
+    flat = np.floor(SCALE * column.values.to_numpy()).astype(np.int64)
+    offsets = column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def stack(vectors: list[np.ndarray]) -> np.ndarray:
@@ -47,7 +51,7 @@ def stack(vectors: list[np.ndarray]) -> np.ndarray:
 
 
 def packed_blocks(rows: DataFrame, size: int, tag: str) -> DataFrame:
-    """Stashed blocks of at most ``size`` vectors: block (0, 1, ..), n, wide, ids, data."""
+    """Stashed blocks of at most ``size`` usable vectors: block (0, 1, ..), n, wide, ids, data (integers of ``bytes`` bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -58,12 +62,13 @@ def packed_blocks(rows: DataFrame, size: int, tag: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             m = stack(vectors)
-            return pa.RecordBatch.from_pydict({"at": [(part << 32) + k], "n": [len(ids)], "wide": [m.shape[1]], "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "data": pa.array([m.tobytes()], pa.binary())})
+            m = m.astype(np.result_type(*(np.min_scalar_type(x) for x in (-1, m.min(initial=0), m.max(initial=0)))))
+            return pa.RecordBatch.from_pydict(
+                {"at": [(part << 32) + k], "n": [len(ids)], "wide": [m.shape[1]], "bytes": [m.itemsize], "ids": pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), "data": pa.array([m.tobytes()], pa.binary())}
+            )
 
         for batch in batches:
             for i, v in zip(batch.column("vec_id").to_pylist(), quantised(batch.column("embedding")), strict=True):
-                if v is None or i is None:
-                    continue
                 ids.append(i)
                 vectors.append(v)
                 if len(ids) == size:
@@ -72,20 +77,11 @@ def packed_blocks(rows: DataFrame, size: int, tag: str) -> DataFrame:
         if ids:
             yield flush()
 
-    made = stash(rows.mapInArrow(run, "at long, n long, wide long, ids binary, data binary"), tag)
+    made = stash(rows.mapInArrow(trimmed(run), "at long, n long, wide long, bytes long, ids binary, data binary"), tag)
     numbers = made.select("at").select("at", (F.expr("row_number() OVER (ORDER BY at)") - 1).alias("block"))
     return made.join(numbers, "at").drop("at")
 
 
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer product; in floating point where no sum can leave its exact range."""
-    if not a.size or not b.size:
-        return np.zeros((*a.shape[:-1], *b.shape[1:]), np.int64)
-    if float(np.abs(a).max()) * float(np.abs(b).max()) * a.shape[-1] < 2**52:
-        return np.rint(a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64)
-    return a @ b
-
-
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k highest scores, ties to smaller ids."""
     if len(ids) > 4 * k:
@@ -143,25 +139,31 @@ class Shard:
 def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by ``every``, its k best among all other rows."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = rows.where(F.col("vec_id").isNotNull() & usable("embedding"))
     shards = packed_blocks(rows, SHARD_ROWS, "shards")
-    asked = packed_blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), QUERY_ROWS, "queries")
-    n = shards.count()
-    dealt = asked.select(F.col("n").alias("q_n"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), F.explode(F.expr(f"sequence(0L, {n - 1}L)") if n else F.array().cast("array<long>")).alias("block"))
+    asked = packed_blocks(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), QUERY_ROWS, "queries")
+
+    def times(df: DataFrame, n: int, name: str) -> DataFrame:
+        return df.withColumn(name, F.explode(F.expr(f"sequence(0L, {n - 1}L)") if n else F.array().cast("array<long>")))
+
+    queries = asked.select(F.col("block").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("n", "wide", "bytes", "ids", "data")))
     fields = "query_id long, vec_id long, score long"
 
+    def matrix(r: dict, of: str) -> np.ndarray:
+        return np.frombuffer(r[f"{of}data"], f"<i{r[f'{of}bytes']}").reshape(r[f"{of}n"], r[f"{of}wide"]).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, shard = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if shard is None or r["block"] != last:
-                    shard = Shard(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int64).reshape(r["n"], r["wide"]))
-                    last = r["block"]
-                wanted = zip(np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_data"], np.int64).reshape(r["q_n"], r["q_wide"]), strict=True)
-                found = [(int(i), *shard.search(int(i), v, k)) for i, v in wanted]
+            for k in range(len(batch)):
+                r = batch.slice(k, 1).to_pylist()[0]
+                shard = Shard(np.frombuffer(r["ids"], np.int64), matrix(r, ""))
+                found = [(int(i), *shard.search(int(i), v, k_best)) for i, v in zip(np.frombuffer(r["q_ids"], np.int64), matrix(r, "q_"), strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}
                 )
 
-    found = dealt.join(shards, "block").mapInArrow(run, fields)
+    k_best = k
+    met = times(queries, shards.count(), "block").join(times(shards, asked.count(), "q"), ["block", "q"])
+    found = met.mapInArrow(trimmed(run), fields)
     place = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
     return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
