@@ -9,7 +9,7 @@ the text: it is read from a start mark to an end mark.
 Counting and weighting are distributed, and nodes are exact: each is known by its whole context. Texts are read in
 chunks, whose distinct grams (a byte and its context) go to buckets by the last ``DEALT`` bytes of the context. A bucket
 has all nodes of its contexts, weights them, hands the sums up to the shorter contexts and sends the log probability of
-each gram back to the chunks that asked. Only the nodes of contexts shorter than ``DEALT`` bytes are broadcast, of which
+each gram back to the chunks that asked, in the order of the chunk's grams, which the chunk finds again. Only the nodes of contexts shorter than ``DEALT`` bytes are broadcast, of which
 there are fewer than 2**24 whatever the corpus; all others stay in the buckets, whose number grows with the texts.
 Words are known by a 64-bit hash.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_table, shuffle_partitions, slices, stash, trim, utf8
+from .common import lower_table, shuffle_partitions, slices, stash, trimmed, unstash, utf8
 
 DEPTH = 6
 #: Contexts of this many bytes are dealt whole, so that all deeper levels need no exchange.
@@ -114,15 +114,28 @@ COUNTED = pa.schema(
 )
 
 
-def count_training(docs: DataFrame) -> DataFrame:
+def bucket_count(docs: DataFrame) -> int:
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
+
+
+def by_bucket_order(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of sorted turned grams by bucket, and the bucket of each in that order."""
+    with np.errstate(over="ignore"):
+        mixed = (key >> 8 * (DEPTH - DEALT) + 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
+def count_training(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """A stashed table of four kinds of rows: packed grams of a chunk and bucket, words, numbers of texts, and the texts with their chunk.
 
     Texts that are held out (column held_out, if there is one) count nothing, so their grams come with the count 0.
     """
     held_out_ = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out_.alias("held_out"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(shuffle_partitions(docs.sparkSession), size // BUCKET_BYTES + 1)
+    buckets = buckets or bucket_count(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -136,11 +149,8 @@ def count_training(docs: DataFrame) -> DataFrame:
 
         def dealt() -> pa.RecordBatch:
             key, n = folded(held)
-            with np.errstate(over="ignore"):
-                mixed = (key >> 8 * (DEPTH - DEALT) + 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            bucket = ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            key, n, bucket = key[order], n[order], bucket[order]
+            order, bucket = by_bucket_order(key, buckets)
+            key, n = key[order], n[order]
             cut = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
             data = [pack_grams(key[a:b], n[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
             return row(GRAM, len(data), chunk=np.full(len(data), chunk), bucket=bucket[cut[:-1]], data=data)
@@ -180,11 +190,9 @@ def count_training(docs: DataFrame) -> DataFrame:
             yield row(WORD, len(words), key=word_keys(list(words)), n=list(words.values()))
         if texts:
             yield row(TEXTS, 1, key=[0], n=[texts])
-        del held, words
-        trim()
 
     fields = "kind int, chunk long, bucket int, data binary, rid long, doc_id long, held_out boolean, text string, key long, n long"
-    return stash(rows.mapInArrow(run, fields), "counts")
+    return stash(rows.mapInArrow(trimmed(run), fields), "counts")
 
 
 def _log_gamma(z: np.ndarray) -> np.ndarray:
@@ -258,19 +266,19 @@ def by_bucket(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("kind") == GRAM).select("bucket", "chunk", "data").repartition("bucket").sortWithinPartitions("bucket")
 
 
-def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(chunks, packed grams) of each bucket; rows are sorted by bucket."""
+def buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+    """(bucket, chunks, packed grams) of each bucket; rows are sorted by bucket."""
     now, chunks, data = None, [], []
     for b in batches:
         for bucket, chunk, one in zip(b.column("bucket").to_pylist(), b.column("chunk").to_pylist(), b.column("data").to_pylist(), strict=True):
             if bucket != now and chunks:
-                yield chunks, data
+                yield now, chunks, data
                 chunks, data = [], []
             now = bucket
             chunks.append(chunk)
             data.append(one)
     if chunks:
-        yield chunks, data
+        yield now, chunks, data
 
 
 def summed(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -299,22 +307,21 @@ def weighted_nodes(counts: DataFrame, below: int = DEPTH + 1) -> DataFrame:
     """All nodes of contexts of fewer than ``below`` bytes."""
 
     def deep(batches: Iterator[pa.RecordBatch], top: int) -> Iterator[pa.RecordBatch]:
-        for _, data in buckets_of(batches):
+        for _, _, data in buckets_of(batches):
             key, n = summed(data)
             key, n = key[n > 0], n[n > 0]
             for a, b in whole_contexts(key):
                 for d, level in zip(range(DEPTH, DEALT - 1, -1), subtree(unturned(key[a:b]), n[a:b]), strict=True):
                     if d < top:
                         yield node_rows(d, level)
-        trim()
 
-    found = stash(by_bucket(counts).mapInArrow(partial(deep, top=max(below, DEALT + 1)), NODES), "ctw")
+    found = stash(by_bucket(counts).mapInArrow(trimmed(partial(deep, top=max(below, DEALT + 1))), NODES), "ctw")
     out = found
     for depth in range(DEALT - 1, -1, -1):
         parent = F.expr(f"shiftleft(shiftright(node, 8) & {(1 << 8 * depth) - 1}L, 8) | (node & 255)")
         low = found.where(F.col("depth") == depth + 1)
         up = low.groupBy(parent.alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lw").alias("below"))
-        found = stash(up.mapInArrow(partial(climb, depth=depth), NODES), "ctw")
+        found = stash(up.mapInArrow(trimmed(partial(climb, depth=depth)), NODES), "ctw")
         out = out.unionByName(found)
     return out.where(F.col("depth") < below)
 
@@ -388,31 +395,29 @@ def log10_of_subtree(key: np.ndarray, n: np.ndarray, low: Tree) -> np.ndarray:
 
 
 def answers(counts: DataFrame, low: Tree) -> DataFrame:
-    """chunk, data (its packed grams of a bucket) and their log10 probabilities, four bytes each."""
+    """chunk, bucket, value: the log10 probabilities of the chunk's grams of this bucket, four bytes each."""
     shared = counts.sparkSession.sparkContext.broadcast(low)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunks, data in buckets_of(batches):
+        for bucket, chunks, data in buckets_of(batches):
             key, n = summed(data)
             value = np.concatenate([log10_of_subtree(unturned(key[a:b]), n[a:b], shared.value) for a, b in whole_contexts(key)]).astype("<f4")
             for chunk, one in zip(chunks, data, strict=True):
                 found = value[np.searchsorted(key, unpack_grams(one)[0])].tobytes()
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "data": pa.array([one], pa.binary()), "value": pa.array([found], pa.binary())})
-        trim()
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "bucket": pa.array([bucket], pa.int32()), "value": pa.array([found], pa.binary())})
 
-    return by_bucket(counts).mapInArrow(run, "chunk long, data binary, value binary")
+    return by_bucket(counts).mapInArrow(trimmed(run), "chunk long, bucket int, value binary")
 
 
 class Known:
-    """The log probabilities of a chunk's grams."""
+    """The log probabilities of a chunk's grams: its sorted turned grams, and their answers by bucket."""
 
-    def __init__(self, data: list[bytes], value: list[bytes]):
-        key = unturned(np.concatenate([unpack_grams(x)[0] for x in data]))
-        order = np.argsort(key)
-        self.key, self.value = key[order], np.concatenate([np.frombuffer(x, "<f4") for x in value])[order]
+    def __init__(self, key: np.ndarray, value: list[bytes], buckets: int):
+        self.key, self.value = key, np.empty(len(key), "<f4")
+        self.value[by_bucket_order(key, buckets)[0]] = np.concatenate([np.frombuffer(x, "<f4") for x in value])
 
     def log10_of(self, gram: np.ndarray) -> np.ndarray:
-        return self.value[np.searchsorted(self.key, gram)].astype(np.float64)
+        return self.value[np.searchsorted(self.key, turned(gram))].astype(np.float64)
 
 
 class Scorer:
@@ -434,7 +439,8 @@ def held_out(doc_id: Column) -> Column:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
-    counts = count_training(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")))
+    buckets = bucket_count(docs)
+    counts = count_training(docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), buckets)
     words = stash(counts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "words")
     n_texts = counts.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_words, v_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -448,23 +454,41 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_key, head_n = shared.value
-        head_log, scorer, known = np.log10(head_n + 1.0), None, ([], [])
+        head_log = np.log10(head_n + 1.0)
+        answered: list[bytes] = []
+        texts: list[pa.RecordBatch] = []
 
-        def parts() -> Iterator[pa.RecordBatch]:
-            """Rows of one chunk and kind each."""
+        def parts() -> Iterator[tuple[bool, pa.RecordBatch]]:
+            """Rows of one chunk and kind each, and whether they are texts."""
             for b in batches:
                 chunk, text = b.column("chunk").to_numpy(), b.column("rid").is_valid().to_numpy(zero_copy_only=False)
                 cut = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (text[1:] != text[:-1]), [True]))) if len(b) else [0]
-                yield from (b.slice(x, y - x) for x, y in zip(cut[:-1], cut[1:], strict=True))
+                yield from ((bool(text[x]), b.slice(x, y - x)) for x, y in zip(cut[:-1], cut[1:], strict=True))
 
-        for batch in parts():
-            if batch.column("rid")[0].as_py() is None:  # what a chunk asked for comes before its texts
-                scorer = None
-                known[0].extend(batch.column("data").to_pylist())
-                known[1].extend(batch.column("value").to_pylist())
+        for is_text, batch in parts():
+            if is_text:
+                texts.append(batch)
                 continue
-            if known[0]:
-                scorer, known = Scorer(Known(*known)), ([], [])
+            if texts:  # what a chunk asked for comes before its texts
+                yield from scored_chunk(texts, answered, head_key, head_n, head_log)
+                answered, texts = [], []
+            answered.extend(batch.column("value").to_pylist())
+        if texts:
+            yield from scored_chunk(texts, answered, head_key, head_n, head_log)
+
+    def scored_chunk(texts: list[pa.RecordBatch], answered: list[bytes], head_key: np.ndarray, head_n: np.ndarray, head_log: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held, size, base = [], 0, 0
+        for batch in texts:
+            data, offsets = utf8(batch.column("text"))
+            for i, j in slices(offsets, RUN_BYTES):
+                held.append(np.unique(turned(grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0])))
+                size += len(held[-1])
+                if size > 2 * base + HELD:
+                    held = [np.unique(np.concatenate(held))]
+                    size = base = len(held[0])
+        scorer = Scorer(Known(np.unique(np.concatenate(held)), answered, buckets))
+        del held
+        for batch in texts:
             data, offsets = utf8(batch.column("text"))
             for i, j in slices(offsets, RUN_BYTES):
                 part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -486,12 +510,11 @@ def score(docs: DataFrame) -> DataFrame:
                         "tail": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])), "tail_n": pa.ListArray.from_arrays(pa.array(rare), pa.array(n[~common])),
                     }
                 )
-        del scorer, known
-        trim()
 
     texts = counts.where(F.col("kind") == TEXT).select("chunk", "rid", "doc_id", "held_out", "text")
-    asked = texts.unionByName(found, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("rid").asc_nulls_first())
-    scored = stash(asked.mapInArrow(run, fields), "scored")
+    asked = texts.unionByName(found, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("rid").asc_nulls_first(), "bucket")
+    scored = stash(asked.mapInArrow(trimmed(run), fields), "scored")
+    unstash(counts)
     tail = scored.select("rid", F.inline(F.arrays_zip(F.col("tail").alias("key"), F.col("tail_n").alias("m"))))
     met = tail.join(words, "key").groupBy("rid").agg(F.sum("m").alias("tail_n"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("tail_sum"))
     end_log = math.log10(n_texts + 1)
