@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices, small_side, stash, utf8
+from .common import shuffle_partitions, slices, small_side, stash, trimmed, utf8
 from .tokens import encoder
 
 MAGIC = b"MLP1"
 BLOCK = 4096
 HEADER = struct.Struct("<4sBxxxIqq")
 IMAGE_IDS = 1 << 20
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 19
 
 
 def width(vocabulary: int) -> int:
@@ -148,7 +148,7 @@ def write_shards(docs: DataFrame, vocabulary_path: str, vocabulary: int, end_id:
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(n, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
-    return stash(ordered.mapInArrow(run, schema), "packed")
+    return stash(ordered.mapInArrow(trimmed(run), schema), "packed")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -169,4 +169,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     {"doc_id": pa.array(r.doc_ids, pa.int64()), "start": pa.array(r.starts[:-1] + base), "n_tokens": pa.array(np.diff(r.starts)), "ids_crc32": pa.array(crc, pa.int64())}
                 )
 
-    return shards.select("shard", "part", "image").join(small_side(bases), ["shard", "part"]).select("base", "image").mapInArrow(run, schema)
+    return shards.select("shard", "part", "image").join(small_side(bases), ["shard", "part"]).select("base", "image").mapInArrow(trimmed(run), schema)

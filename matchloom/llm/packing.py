@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitpack import text_runs, with_end
-from .common import small_side, stash, trim
+from .common import small_side, stash, trimmed
 from .tokens import encoder
 
 LENGTH = 1024
@@ -48,10 +48,9 @@ def tokenized(docs: DataFrame, vocabulary_path: str, end_id: int) -> DataFrame:
                 }
             )
             base += int(stops[-1])
-        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stash(rows.mapInArrow(run, "doc_id long, ids binary, n long, part int, start long"), "ids")
+    return stash(rows.mapInArrow(trimmed(run), "doc_id long, ids binary, n long, part int, start long"), "ids")
 
 
 def pack_sequences(ids: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -86,4 +85,4 @@ def pack_sequences(ids: DataFrame, length: int = LENGTH) -> DataFrame:
                 }
             )
 
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(trimmed(run), schema)

@@ -90,27 +90,31 @@ UNROLL = pow(ROLL, -1, 1 << 64)
 
 
 class Encoder:
-    """Ids of whole texts; special-token strings inside texts are ordinary text.
+    """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    A piece is known by a 64-bit hash of its code points. Known pieces lie in arrays sorted by that hash, so that a batch
-    needs one ``unique`` and one ``searchsorted`` and only new pieces become Python strings.
+    A piece is found by a 64-bit hash of its code points, which are then compared. Known pieces lie in arrays sorted by
+    that hash, so that a batch needs one ``unique`` and one ``searchsorted`` and only new pieces become Python strings.
+    A text that holds the string of an added token (such as the end of a text) goes to the library as it is.
     """
 
-    def __init__(self, path: str, cache_size: int = 1_000_000):
+    def __init__(self, path: str, cache_size: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.alphabet = byte_alphabet()
         self.cache_size = cache_size
         self.mix = np.random.default_rng(20).integers(1, 1 << 63, 1 << 16, np.uint64) | np.uint64(1)
-        self.up = self.down = np.ones(1, np.uint64)
         self.reset()
 
     def reset(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
         self.keys = np.zeros(0, np.uint64)
-        self.begins = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.int32)
+        # of each known piece: where its ids and its code points begin and how many there are
+        self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.places, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.points = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def hashes(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Hash of the code points between each two neighbouring bounds."""
@@ -127,24 +131,42 @@ class Encoder:
             h ^= h >> np.uint64(29)
             return h * np.uint64(0xBF58476D1CE4E5B9) + np.diff(bounds).astype(np.uint64)
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def merged(self, pieces: list[str]) -> list[list[int]]:
+        """The ids of each piece, by the library's model."""
         tokenize = self.model.tokenize
         if any("\0" in p or "\n" in p for p in pieces):
             mapped = [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
         else:
             glue = self.alphabet[0]
             mapped = "\0".join(pieces).encode().decode("latin-1").translate(self.alphabet).split(glue)
-        ids = [[t.id for t in tokenize(p)] for p in mapped]
+        return [[t.id for t in tokenize(p)] for p in mapped]
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids = self.merged(pieces)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        begins = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.begins = np.insert(self.begins, at, begins)
+        self.begins = np.insert(self.begins, at, len(self.flat) + np.cumsum(lengths) - lengths)
         self.lengths = np.insert(self.lengths, at, lengths.astype(np.int32))
+        self.places = np.insert(self.places, at, len(self.points) + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes.astype(np.int32))
+        self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))))
+        self.points = np.concatenate((self.points, np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
+        odd = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not odd:
+            return self.plain(texts)
+        ids, counts = self.plain(["" if k in set(odd) else t for k, t in enumerate(texts)])
+        whole = [self.tokenizer.encode(texts[k], add_special_tokens=False).ids for k in odd]
+        places = np.concatenate(([0], np.cumsum(counts)))[odd]
+        counts[odd] = [len(x) for x in whole]
+        return np.insert(ids, np.repeat(places, counts[odd]), [i for x in whole for i in x]), counts
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without added tokens."""
         if len(self.keys) > self.cache_size:
             self.reset()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -163,11 +185,23 @@ class Encoder:
             i = first[new]
             self.learn(distinct[new], [whole[a:b] for a, b in zip(bounds[i].tolist(), bounds[i + 1].tolist(), strict=True)])
             at = np.searchsorted(self.keys, distinct)
-        n = self.lengths[at][which].astype(np.int64)
+        begins, n = self.begins[at][which], self.lengths[at][which].astype(np.int64)
+        # a piece whose code points are others than those of the known one of its hash is merged for itself
+        size, known = np.diff(bounds), at[which]
+        same = self.sizes[known] == size
+        there = np.minimum(np.repeat(self.places[known] - starts, size) + np.arange(len(points)), len(self.points) - 1)
+        same &= np.logical_and.reduceat(self.points[there] == points, starts)
+        flat = self.flat
+        if not same.all():
+            other = np.flatnonzero(~same)
+            ids = self.merged([whole[a:b] for a, b in zip(bounds[other].tolist(), bounds[other + 1].tolist(), strict=True)])
+            n[other] = [len(x) for x in ids]
+            begins[other] = len(flat) + np.cumsum(n[other]) - n[other]
+            flat = np.concatenate((flat, np.array([i for x in ids for i in x], np.int32)))
         stop = np.cumsum(n)
-        ids = self.flat[np.repeat(self.begins[at][which] - (stop - n), n) + np.arange(stop[-1])]
+        out = flat[np.repeat(begins - (stop - n), n) + np.arange(stop[-1])]
         before = np.concatenate(([0], stop))[np.searchsorted(starts, ends)]
-        return ids, np.diff(before, prepend=0)
+        return out, np.diff(before, prepend=0)
 
 
 @cache
