@@ -10,14 +10,16 @@ The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text, one pas
 bounded however large it grows.
 
 Defined results: null or wordless texts have no words and no hits; an item of fewer than ten words is one window; items
-without words have none; repeated rows are each searched; empty tables give no rows or no hits; other columns are kept.
+without words have none; a null item_id is named by the empty string, and rows that share an item_id are one item;
+repeated documents are each searched; empty tables give no rows or no hits; other columns are kept, those named like an
+added one only by ``remove``.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import lower_table, slices, utf8
+from .common import fresh, lower_table, map_rows, own, slices, utf8
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
-BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 2 << 20
+BLOCK_BYTES = 4 << 20
 SAMPLED = 8
 #: A word is a run of lower-case letters, digits and non-ASCII bytes, once A-Z is lower-cased.
 TABLE = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in lower_table())
@@ -41,18 +43,25 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.names = sorted({"" if item is None else str(item) for item, _ in items})
+        place = {n: k for k, n in enumerate(self.names)}
+        rows: dict[int, list[np.ndarray]] = defaultdict(list)
+        owners: dict[int, list[np.ndarray]] = defaultdict(list)
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in (text or "").encode().translate(TABLE).split()]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[tuple(words[i : i + window])].add(str(item))
-        self.windows = list(owners)
-        self.items = [sorted(owners[w]) for w in self.windows]
-        by_length = defaultdict(list)
-        for k, w in enumerate(self.windows):
-            by_length[len(w)].append(k)
-        self.groups = [(np.array(ks), np.array([self.windows[k] for k in ks], np.int64)) for ks in by_length.values()]
-        self.shortest = min((len(w) for w in self.windows), default=0)
+            words = (text or "").encode().translate(TABLE).split()
+            if words:
+                numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int32)
+                wide = min(window, len(numbers))
+                found = np.lib.stride_tricks.sliding_window_view(numbers, wide)
+                rows[wide].append(found)
+                owners[wide].append(np.full(len(found), place["" if item is None else str(item)], np.int32))
+        # for each length: distinct windows, and their items from begin[k] to begin[k + 1]
+        self.groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for wide, parts in rows.items():
+            distinct, which = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((which.ravel(), np.concatenate(owners[wide]))), axis=1)
+            self.groups.append((distinct.astype(np.int64), np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), pairs[1]))
+        self.shortest = min(rows, default=0)
 
 
 class FMIndex:
@@ -152,7 +161,7 @@ def search_shard(texts: list[bytes], w: Windows) -> list[tuple[int, list[tuple[i
     for at, ws in zip(starts.tolist(), words, strict=True):
         numbers[at : at + len(ws)] = np.fromiter((get(x, 0) for x in ws), np.int64, len(ws))
     del words
-    if not w.windows or not len(numbers):
+    if not w.groups or not len(numbers):
         return found
     # only runs of known words that can hold a window are indexed; each keeps the separator behind it
     known = numbers > 0
@@ -167,8 +176,8 @@ def search_shard(texts: list[bytes], w: Windows) -> list[tuple[int, list[tuple[i
     sequence = np.append(numbers, 0)[places]
     index = FMIndex(sequence, len(w.vocabulary))
     spans: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    items: dict[int, set[str]] = defaultdict(set)
-    for ks, patterns in w.groups:
+    items: dict[int, set[int]] = defaultdict(set)
+    for patterns, begin, owners in w.groups:
         lo, hi = index.search(patterns)
         hits = np.flatnonzero(hi > lo)
         count = (hi - lo)[hits]
@@ -177,11 +186,11 @@ def search_shard(texts: list[bytes], w: Windows) -> list[tuple[int, list[tuple[i
         rows = np.repeat(lo[hits] - (np.cumsum(count) - count), count) + np.arange(count.sum())
         at = places[index.locate(rows)]
         doc = np.searchsorted(starts, at, side="right") - 1
-        for d, a, k in zip(doc.tolist(), (at - starts[doc]).tolist(), np.repeat(ks[hits], count).tolist(), strict=True):
+        for d, a, k in zip(doc.tolist(), (at - starts[doc]).tolist(), np.repeat(hits, count).tolist(), strict=True):
             spans[d].append((a, a + patterns.shape[1]))
-            items[d].update(w.items[k])
+            items[d].update(owners[begin[k] : begin[k + 1]].tolist())
     for d in spans:
-        found[d] = (found[d][0], merge(spans[d]), sorted(items[d]))
+        found[d] = (found[d][0], merge(spans[d]), [w.names[k] for k in sorted(items[d])])
     return found
 
 
@@ -216,16 +225,23 @@ def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]
         yield [tuple(r) for r in part.collect()]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with n_words, spans (array of [from, to) word spans, merged) and items (sorted item ids as strings)."""
-    added = [StructField("n_words", LongType()), StructField("spans", ArrayType(ArrayType(IntegerType()))), StructField("items", ArrayType(StringType()))]
-    names = {f.name for f in added}
-    out = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in names))
-    for k, block in enumerate(blocks_of(benchmark)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_BYTES at most
-        carried = out.schema if k else StructType([*out.schema.fields, *added])
+ADDED = ("n_words", "spans", "items")
+KINDS = (LongType(), ArrayType(ArrayType(IntegerType())), ArrayType(StringType()))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=k > 0) -> Iterator[pa.RecordBatch]:
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, added: tuple[str, ...] = ADDED, finish: Callable | None = None) -> DataFrame:
+    """docs with n_words, spans (array of [from, to) word spans, merged) and items (sorted item ids as strings).
+
+    finish: makes the result's columns of those (theirs come last) in the same pass; the result then has docs' schema.
+    """
+    base = docs.select(*own(docs, *added))
+    with_added = StructType([*base.schema.fields, *(StructField(n, t) for n, t in zip(added, KINDS, strict=True))])
+    out, parts = base, list(blocks_of(benchmark))
+    for k, block in enumerate(parts):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_BYTES at most, and one item at least
+        end = finish if k == len(parts) - 1 else None
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=k > 0, end=end) -> Iterator[pa.RecordBatch]:
             w = Windows(shared.value)
             for batch in batches:
                 data, offsets = utf8(batch.column("text"))
@@ -235,14 +251,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 spans, items = [x[1] for x in found], [x[2] for x in found]
                 columns, labels = list(batch.columns), list(batch.schema.names)
                 if more:  # what earlier blocks found
-                    at = labels.index("n_words")
-                    spans = [merge(a + [tuple(x) for x in b]) for a, b in zip(spans, columns[at + 1].to_pylist(), strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(items, columns[at + 2].to_pylist(), strict=True)]
-                    columns, labels = columns[:at], labels[:at]
+                    spans = [merge(a + [tuple(x) for x in b]) for a, b in zip(spans, columns[-2].to_pylist(), strict=True)]
+                    items = [sorted({*a, *b}) for a, b in zip(items, columns[-1].to_pylist(), strict=True)]
+                    columns, labels = columns[:-3], labels[:-3]
+                if end is not None:
+                    yield pa.RecordBatch.from_arrays(end(columns, labels, spans), names=labels)
+                    continue
                 columns += [pa.array([x[0] for x in found], pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*labels, "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays(columns, names=[*labels, *added])
 
-        out = out.mapInArrow(run, carried)
+        out = map_rows(out, run, base.schema if end is not None else with_added)
     return out
 
 
@@ -256,27 +274,21 @@ def digests(found: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the benchmark's passages; n_chars, if there, follows the text."""
-    found = decontaminate(docs, benchmark)
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column("spans").to_pylist()
-            hit = [i for i, s in enumerate(spans) if s]
-            names = [f.name for f in schema.fields]
-            columns = [batch.column(n) for n in names]
-            if hit:
-                texts = columns[names.index("text")].to_pylist()
-                for i in hit:
-                    texts[i] = cut(texts[i].encode(), spans[i]).decode()
-                columns[names.index("text")] = pa.array(texts, pa.string())
-                if "n_chars" in names:
-                    n = columns[names.index("n_chars")].to_pylist()
-                    for i in hit:
-                        n[i] = len(texts[i])
-                    columns[names.index("n_chars")] = pa.array(n, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return found.mapInArrow(run, schema)
 
+    def finish(columns: list[pa.Array], names: list[str], spans: list[list[tuple[int, int]]]) -> list[pa.Array]:
+        hit = [i for i, s in enumerate(spans) if s]
+        if hit:
+            at = names.index("text")
+            texts = columns[at].to_pylist()
+            for i in hit:
+                texts[i] = cut(texts[i].encode(), spans[i]).decode()
+            columns[at] = pa.array(texts, columns[at].type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                n = columns[at].to_pylist()
+                for i in hit:
+                    n[i] = len(texts[i])
+                columns[at] = pa.array(n, columns[at].type)
+        return columns
 
+    return decontaminate(docs, benchmark, tuple(fresh(docs.columns, *ADDED)), finish)
