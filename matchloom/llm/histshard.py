@@ -9,7 +9,7 @@ A group of equal texts that outweighs the tolerance can't be cut by its key. The
 groups. They are placed first, whole, largest first, wherever they fit; one that fits nowhere is salted by doc_id.
 
 Defined results: null text counts as empty; repeated rows are kept; an empty table gives no rows; other columns of the
-input are kept (the added ones replace columns of their name).
+input are kept (size, text_crc32, shard and slot replace columns of their name).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stash
+from .common import fresh, own, shuffle_partitions, stash
 
 BITS = 12
 
@@ -75,38 +75,40 @@ def histogram_shards(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.00
     """docs with size, text_crc32, shard and slot (gapless from 0 in each shard)."""
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    added = {"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(F.encode(body, "UTF-8")), "_key": F.xxhash64(body)}
-    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {"size", "text_crc32", "shard", "slot", "_key", "_sub"}]
-    sized = docs.select(*keep, *(v.alias(k) for k, v in added.items()))
-    keys = stash(sized.select("_key", "size", F.col(f"`{id_col}`").alias("_id")), "keys")
+    kept = [c for c in docs.columns if c.lower() not in {"size", "text_crc32", "shard", "slot"}]
+    key_, sub_, base_ = fresh(kept, "_key", "_sub", "_base")
+    added = {"size": F.octet_length(body).cast("long") + 1, "text_crc32": F.crc32(F.encode(body, "UTF-8")), key_: F.xxhash64(body)}
+    sized = docs.select(*own(docs, *(c for c in docs.columns if c not in kept)), *(v.alias(k) for k, v in added.items()))
+    keys = stash(sized.select(F.col(key_).alias("_key"), "size", F.col(f"`{id_col}`").alias("_id")), "keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
     bound = max(1, int(total * tolerance / n_shards))
     hot = keys.groupBy("_key").agg(F.sum("size").alias("n")).where(F.col("n") > bound).collect()  # at most n_shards / tolerance
     shard_of, salted, reserved = place_hot([(r["_key"], r["n"]) for r in hot], n_shards, total)
 
-    def keyed(df: DataFrame, doc) -> DataFrame:
-        salt = F.xxhash64("_key", doc)
-        return df.withColumn("_key", F.when(F.col("_key").isin(salted), salt).otherwise(F.col("_key"))) if salted else df
+    def keyed(df: DataFrame, key: str, doc) -> DataFrame:
+        salt = F.xxhash64(key, doc)
+        return df.withColumn(key, F.when(F.col(key).isin(salted), salt).otherwise(F.col(key))) if salted else df
 
-    rest = keyed(keys, F.col("_id")).where(~F.col("_key").isin(list(shard_of))) if shard_of else keyed(keys, F.col("_id"))
+    rest = keyed(keys, "_key", F.col("_id"))
+    rest = rest.where(~F.col("_key").isin(list(shard_of))) if shard_of else rest
     share, below, targets = total / n_shards, 0.0, []
     for s in range(n_shards - 1):
         below += share - reserved[s]
         targets.append(round(below))
     cuts = splitters(rest, targets, bound) if total else []
-    shard = sum(((F.col("_key") >= F.lit(c)).cast("int") for c in cuts if c < 1 << 63), F.lit(0))
-    for at in sorted(set(shard_of.values())):
-        shard = F.when(F.col("_key").isin([k for k, s in shard_of.items() if s == at]), at).otherwise(shard)
     # the one exchange: each shard in many sub-shards, so that no task holds a whole shard
     n_sub = max(1, 16 * shuffle_partitions(spark) // n_shards)
     ident = F.col(f"`{id_col}`")
 
-    def dealt(df: DataFrame, doc) -> DataFrame:
+    def dealt(df: DataFrame, key: str, doc) -> DataFrame:
         # what decides the sub-shard must be the same on either side
-        return keyed(df, doc).withColumn("shard", shard.cast("int")).withColumn("_sub", F.pmod(F.xxhash64(doc, F.col("size")), F.lit(n_sub)).cast("int"))
-
-    counts = dealt(keys, F.col("_id")).groupBy("shard", "_sub").agg(F.count("*").alias("n"))  # n_shards * n_sub rows at most
-    offsets = counts.select("shard", "_sub", (F.expr("sum(n) OVER (PARTITION BY shard ORDER BY _sub)") - F.col("n")).alias("_base"))
-    placed = dealt(sized, ident).join(F.broadcast(offsets), ["shard", "_sub"])
-    rank = F.expr(f"row_number() OVER (PARTITION BY shard, _sub ORDER BY _key, `{id_col}`)")
-    return placed.withColumn("slot", F.col("_base") + rank - 1).drop("_sub", "_base", "_key")
+        shard = sum(((F.col(key) >= F.lit(c)).cast("int") for c in cuts if c < 1 << 63), F.lit(0))
+        for at in sorted(set(shard_of.values())):
+            shard = F.when(F.col(key).isin([k for k, s in shard_of.items() if s == at]), at).otherwise(shard)
+        return keyed(df, key, doc).withColumn("shard", shard.cast("int")).withColumn(sub_, F.pmod(F.xxhash64(doc, F.col("size")), F.lit(n_sub)).cast("int"))
+
+    counts = dealt(keys, "_key", F.col("_id")).groupBy("shard", sub_).agg(F.count("*").alias("n"))  # n_shards * n_sub rows at most
+    offsets = counts.select("shard", sub_, (F.expr(f"sum(n) OVER (PARTITION BY shard ORDER BY {sub_})") - F.col("n")).alias(base_))
+    placed = dealt(sized, key_, ident).join(F.broadcast(offsets), ["shard", sub_])
+    rank = F.expr(f"row_number() OVER (PARTITION BY shard, {sub_} ORDER BY {key_}, `{id_col}`)")
+    return placed.withColumn("slot", F.col(base_) + rank - 1).drop(sub_, base_, key_)
