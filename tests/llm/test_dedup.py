@@ -46,9 +46,41 @@ def test_components(spark, make_docs, corpus):
     got = {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
     fps = [plain_fingerprint(t) for t in corpus]
     assert got == {k: (f, c) for k, (f, c) in enumerate(zip(fps, plain_components(fps)))}
-    kept = sorted(r["doc_id"] for r in simhash.keep_one(docs).select("doc_id").collect())
-    assert kept == sorted(set(plain_components(fps)))
-    assert simhash.keep_one(docs).columns == docs.columns
+
+
+def plain_groups(texts, n=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(t))
+        sets.append({" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {" ".join(w)} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= least * len(x | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_one_of_each_group_stays(spark, make_docs, corpus):
+    docs = make_docs(corpus)
+    kept = simhash.keep_one(docs)
+    assert sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == sorted(set(plain_groups(corpus)))
+    assert kept.columns == docs.columns and simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_ids_that_are_missing_or_shared_lose_nothing(spark, words):
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice(words) for _ in range(40))) for k in (None, None, None, 5, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect()), key=str) == sorted(rows, key=str)
+    assert simhash.keep_one(docs.unionByName(docs)).count() == 6
 
 
 def test_repeated_rows_and_missing_ids(spark, make_docs):
@@ -70,10 +102,23 @@ def test_near_copies_of_five_words(spark, make_docs, words):
     docs = make_docs(texts)
     kept = sorted(x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect())
     assert kept == [k for k in range(60) if k % 3 != 1]
-    assert sum(abs(simhash.differing(*simhash.fingerprints([texts[k].encode(), texts[k + 1].encode()])[:, None])[0]) > simhash.DIFFER for k in range(0, 60, 3)) > 0
-    # missing and repeated ids lose no text
-    for one in (docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(1).cast("long"))):
-        assert corpus_pipeline.near_dedup(spark, one, "").count() == 40
+    assert any(simhash.differing(*simhash.fingerprints([texts[k].encode(), texts[k + 1].encode()])[:, None])[0] > simhash.DIFFER for k in range(0, 60, 3))
+    same = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert corpus_pipeline.near_dedup(spark, same, "").count() == 40
+
+
+def test_wide_signatures():
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    a = r.integers(-(1 << 63), 1 << 63, simhash.WORDS)
+    b = a.copy()
+    b[1] ^= 1 << 30  # the second segment of the second word
+    batch = pa.RecordBatch.from_pydict({f"w{k}": np.array([a[k], b[k]]) for k in range(simhash.WORDS)})
+    out = next(simhash.wide_signatures([batch]))
+    sig = out.column("sig").to_numpy().reshape(-1, 2)
+    assert len(sig) == simhash.WORDS * (64 // simhash.SEGMENT) * simhash.SEGMENT and len(np.unique(sig[:, 0])) == len(sig)
+    assert (sig[:, 0] != sig[:, 1]).sum() == simhash.SEGMENT - 1
 
 
 def test_runs_beyond_the_bound_are_cut_again(spark, monkeypatch):
@@ -113,6 +158,33 @@ def test_repeated_strings():
         assert gsaca.repeated(units, counts, n).tolist() == [seen[u[i : i + n]] > 1 for u, c in zip(units, counts) for i in range(c)]
 
 
+@pytest.mark.parametrize("kept", [4, 1])
+def test_hashes_that_collide_change_nothing(monkeypatch, kept):
+    exact = gsaca.Rolling.of
+    monkeypatch.setattr(gsaca.Rolling, "of", lambda self, a, b: exact(self, a, b) & np.uint64((1 << kept) - 1 << 64 - kept))
+    test_repeated_strings()
+
+
+def test_the_suffix_array_decides(monkeypatch):
+    monkeypatch.setattr(gsaca, "suffix_array", lambda s: [len(s) - 1, *range(len(s) - 1)])
+    with pytest.raises(AssertionError):
+        test_repeated_strings()
+
+
+def test_common_prefixes():
+    r = random.Random(6)
+    data = np.frombuffer(bytes(r.choice(b"ab") for _ in range(300)), np.uint8)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(48, np.uint8))), 8)
+    a, b = np.array([r.randrange(250) for _ in range(400)]), np.array([r.randrange(250) for _ in range(400)])
+    limit = np.array([r.randrange(40) for _ in range(400)])
+    wanted = [next((k for k in range(n) if data[x + k] != data[y + k]), n) for x, y, n in zip(a.tolist(), b.tolist(), limit.tolist())]
+    assert gsaca.common(words, a, b, limit).tolist() == wanted
+    low = gsaca.Lowest(a)
+    begin = np.array([r.randrange(399) for _ in range(300)])
+    end = np.array([r.randint(x + 1, 400) for x in begin])
+    assert low.of(begin, end).tolist() == [int(a[x:y].min()) for x, y in zip(begin, end)]
+
+
 def plain_dedup(texts, n=gsaca.LENGTH):
     bodies = [(t or "").encode() for t in texts]
     seen = {}
@@ -140,6 +212,14 @@ def test_suffix_dedup(spark, make_docs, corpus, monkeypatch, hot):
     assert got == dict(enumerate(plain_dedup(corpus)))
 
 
+def test_suffix_removal_of_another_length(spark, make_docs, corpus):
+    docs = make_docs(corpus)
+    out = {r["doc_id"]: r["text"] for r in gsaca.remove(docs, 100).collect()}
+    gone = plain_dedup(corpus, 100)
+    assert all(len((out[k] or "").encode()) <= gone[k][0] - gone[k][1] for k in range(len(corpus))) and sum(g[1] for g in gone) > sum(g[1] for g in plain_dedup(corpus))
+    assert all(sha(out[k] or "") == gone[k][3] for k in range(len(corpus)) if (corpus[k] or "").isascii())
+
+
 def test_suffix_removal_keeps_columns(spark, make_docs, corpus):
     docs = make_docs(corpus)
     out = {r["doc_id"]: r for r in gsaca.remove(docs).collect()}
