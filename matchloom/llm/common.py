@@ -75,13 +75,14 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> Dat
     """left joined with right (stashed, a row for each key, column ``n``: how many rows of left it meets; n is dropped).
 
     A key with many of left's ``rows`` would make one task of all of them: such keys, ``HOT_KEYS`` at most, are broadcast.
+    All others meet by a merge join at any size: nothing that grows with the input is broadcast because it is still small.
     """
     bar = max(1000, rows // HOT_KEYS)
     hot, rest = right.where(F.col("n") > bar).drop("n"), right.where(F.col("n") <= bar).drop("n")
     if hot.isEmpty():
-        return left.join(rest, on)
+        return left.join(rest.hint("merge"), on)
     rare = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rare.join(rest, on).unionByName(left.join(F.broadcast(hot), on))
+    return rare.join(rest.hint("merge"), on).unionByName(left.join(F.broadcast(hot), on))
 
 
 def trimmed(run: Callable) -> Callable:

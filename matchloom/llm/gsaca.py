@@ -448,7 +448,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     often = stash(units.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "often")
     found = join_hot(units, often.select("g", "n", F.col("n").alias("count")), ["g"], units.count())
     wanted = found.groupBy("key").agg(F.collect_set(F.struct("g", "at", "strings", F.col("count").alias("n"))).alias("found"))
-    rows = stash(mapped(docs.join(wanted, "key").select("key", "text", "found"), _unit_rows, "g long, c binary, key long, at int, strings int, body binary"), "units")
+    rows = stash(mapped(docs.join(wanted.hint("merge"), "key").select("key", "text", "found"), _unit_rows, "g long, c binary, key long, at int, strings int, body binary"), "units")
     unstash(units, often)
     kinds = stash(rows.groupBy("g", "c", "strings").agg(F.count("*").alias("n")), "kinds")
     several = stash(kinds.groupBy("g").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("kinds > 1"), "several")
@@ -474,7 +474,7 @@ def spans_of(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, str]:
     rows = docs.select("*", F.xxhash64(F.col("doc_id"), text).alias(key))
     found = repeated_spans(docs.select(F.xxhash64(F.col("doc_id"), text).alias("key"), text.alias("text")), length)
     found = found.select(F.col("key").alias(key), F.col("spans").alias(spans))
-    return rows.join(found, key, "left").select(*own(docs), spans), spans
+    return rows.join(found.hint("merge"), key, "left").select(*own(docs), spans), spans
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
