@@ -351,7 +351,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     signed = classes.select(*words).mapInArrow(trimmed(wide_signatures), "sig int, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
     met = signed.mapInArrow(trimmed(partial(links_of_runs, bound=float("inf"), differ=NEAR)), "sig long, at int, u long, v long").select("u", "v").distinct()
     ends = [classes.select(*(F.col(c).alias(f"{side}_{c}") for c in ("node", *words))) for side in "uv"]
-    joined = met.join(ends[0], F.col("u") == F.col("u_w0")).join(ends[1], F.col("v") == F.col("v_w0"))
+    joined = met.join(ends[0].hint("merge"), F.col("u") == F.col("u_w0")).join(ends[1].hint("merge"), F.col("v") == F.col("v_w0"))
     inside = join_hot(copies.select("first", *(F.col(w).alias(f"v_{w}") for w in words)).withColumn("w0", F.col("v_w0")), classes, ["w0"], copies.count()).where("first <> node")
     inside = inside.select(F.col("node").alias("u_node"), F.col("first").alias("v_node"), F.col("v_w0").alias("u_w0"), *(F.col(w).alias(f"u_{w}") for w in words[1:]), *(f"v_{w}" for w in words))
     pairs = joined.select(*inside.columns).unionByName(inside)
@@ -361,11 +361,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     nearest = stash(both.groupBy(F.col("u").alias("node")).agg(F.min(F.struct("h", "v"))["v"].alias("other")), "nearest")
     # a text that is many texts' nearest one goes to SALTS tasks
     salt = F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt")
-    others = nearest.select("other", salt).distinct().join(rows.select(F.col("row").alias("other"), F.col("text").alias("b")), "other")
-    texts = nearest.select("node", "other", salt).join(rows.select(F.col("row").alias("node"), F.col("text").alias("a")), "node")
-    good = stash(texts.join(others, ["other", "salt"]).select("node", "a", "b").mapInArrow(trimmed(compare), "node long"), "similar")
+    others = nearest.select("other", salt).distinct().hint("merge").join(rows.select(F.col("row").alias("other"), F.col("text").alias("b")), "other")
+    texts = nearest.select("node", "other", salt).hint("merge").join(rows.select(F.col("row").alias("node"), F.col("text").alias("a")), "node")
+    good = stash(texts.join(others.hint("merge"), ["other", "salt"]).select("node", "a", "b").mapInArrow(trimmed(compare), "node long"), "similar")
     edges = near.select("u", "v").join(good.select(F.col("node").alias("u")), "u", "left_semi").join(good.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v")
     rooted = copies.join(components(edges), F.col("first") == F.col("node"), "left").select(F.coalesce("root", "first").alias("root"), "best")
     chosen = stash(rooted.groupBy("root").agg(F.min("best")["row"].alias(name)).select(name), "chosen")
     unstash(copies, classes, near, nearest, good)
-    return numbered.join(chosen, name, "left_semi").select(*own(docs))
+    return numbered.join(chosen.hint("merge"), name, "left_semi").select(*own(docs))
