@@ -89,8 +89,8 @@ def unturned(key: np.ndarray) -> np.ndarray:
 
 def folded(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sums of their counts."""
-    distinct, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    return distinct, np.bincount(where, np.concatenate([n for _, n in held]), len(distinct)).astype(np.int64)
+    found, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return found, np.bincount(where, np.concatenate([n for _, n in held]), len(found)).astype(np.int64)
 
 
 def pack_grams(key: np.ndarray, n: np.ndarray) -> bytes:
@@ -109,9 +109,25 @@ def unpack_grams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(key), np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
-COUNTED = pa.schema(
-    [("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("key", pa.int64()), ("n", pa.int64())]
-)
+COUNTED = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary()), ("rid", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+
+
+def distinct(key: np.ndarray) -> np.ndarray:
+    """Distinct keys in order, by a sort (np.unique hashes, which is slower for keys that fill no cache)."""
+    key = np.sort(key)
+    return key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
+
+
+def pack_rows(rows: pa.RecordBatch) -> bytes:
+    """Rows as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack_rows(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -129,7 +145,7 @@ def by_bucket_order(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarr
 
 
 def count_training(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """A stashed table of four kinds of rows: packed grams of a chunk and bucket, words, numbers of texts, and the texts with their chunk.
+    """A stashed table of four kinds of rows: packed grams of a chunk and bucket, words, numbers of texts, and packed runs of texts with their chunk.
 
     Texts that are held out (column held_out, if there is one) count nothing, so their grams come with the count 0.
     """
@@ -163,7 +179,7 @@ def count_training(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                 rows_ = batch.slice(i, j - i)
                 if chunk is None:
                     chunk = rows_.column("rid")[0].as_py()
-                yield row(TEXT, j - i, chunk=np.full(j - i, chunk), **{c: rows_.column(c) for c in ("rid", "doc_id", "held_out", "text")})
+                yield row(TEXT, 1, chunk=[chunk], rid=rows_.column("rid")[:1], data=[pack_rows(rows_)])
                 key = turned(grams(part, bounds)[0])
                 apart = np.repeat(out[i:j], np.diff(bounds) + 1)
                 for g, counted in ((key[~apart], 1), (key[apart], 0)):
@@ -191,7 +207,7 @@ def count_training(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         if texts:
             yield row(TEXTS, 1, key=[0], n=[texts])
 
-    fields = "kind int, chunk long, bucket int, data binary, rid long, doc_id long, held_out boolean, text string, key long, n long"
+    fields = "kind int, chunk long, bucket int, data binary, rid long, key long, n long"
     return stash(rows.mapInArrow(trimmed(run), fields), "counts")
 
 
@@ -358,6 +374,8 @@ class Tree:
         same = known[at] == node
         return np.where(same, one[at], np.nan), np.where(same, own[at], 1.0)
 
+    arranged = staticmethod(lambda gram: gram)
+
     def log10_of(self, gram: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram after those before it."""
         byte, context = gram & 255, gram >> 8
@@ -416,8 +434,10 @@ class Known:
         self.key, self.value = key, np.empty(len(key), "<f4")
         self.value[by_bucket_order(key, buckets)[0]] = np.concatenate([np.frombuffer(x, "<f4") for x in value])
 
+    arranged = staticmethod(turned)
+
     def log10_of(self, gram: np.ndarray) -> np.ndarray:
-        return self.value[np.searchsorted(self.key, turned(gram))].astype(np.float64)
+        return self.value[np.searchsorted(self.key, gram)].astype(np.float64)
 
 
 class Scorer:
@@ -428,8 +448,8 @@ class Scorer:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         key, starts = grams(data, offsets)
-        distinct, where = np.unique(key, return_inverse=True)
-        return np.add.reduceat(self.tree.log10_of(distinct)[where], starts)
+        found, where = np.unique(self.tree.arranged(key), return_inverse=True)
+        return np.add.reduceat(self.tree.log10_of(found)[where], starts)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -444,8 +464,8 @@ def score(docs: DataFrame) -> DataFrame:
     words = stash(counts.where(F.col("kind") == WORD).groupBy("key").agg(F.sum("n").alias("n")), "words")
     n_texts = counts.where(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_words, v_words = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = n_words + n_texts, v_words + (n_texts > 0)
-    spare = math.log10(total + distinct + 1)
+    total, different = n_words + n_texts, v_words + (n_texts > 0)
+    spare = math.log10(total + different + 1)
     # 1 / HEAD_SHARE rows at most, since each has that share of all tokens
     head = words.where(F.col("n") >= F.lit(max(1.0, total * HEAD_SHARE))).toArrow().sort_by("key")
     shared = spark.sparkContext.broadcast((head.column("key").to_numpy(), head.column("n").to_numpy()))
@@ -456,7 +476,7 @@ def score(docs: DataFrame) -> DataFrame:
         head_key, head_n = shared.value
         head_log = np.log10(head_n + 1.0)
         answered: list[bytes] = []
-        texts: list[pa.RecordBatch] = []
+        texts: list[bytes] = []
 
         def parts() -> Iterator[tuple[bool, pa.RecordBatch]]:
             """Rows of one chunk and kind each, and whether they are texts."""
@@ -467,7 +487,7 @@ def score(docs: DataFrame) -> DataFrame:
 
         for is_text, batch in parts():
             if is_text:
-                texts.append(batch)
+                texts.extend(batch.column("data").to_pylist())
                 continue
             if texts:  # what a chunk asked for comes before its texts
                 yield from scored_chunk(texts, answered, head_key, head_n, head_log)
@@ -476,42 +496,38 @@ def score(docs: DataFrame) -> DataFrame:
         if texts:
             yield from scored_chunk(texts, answered, head_key, head_n, head_log)
 
-    def scored_chunk(texts: list[pa.RecordBatch], answered: list[bytes], head_key: np.ndarray, head_n: np.ndarray, head_log: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def scored_chunk(texts: list[bytes], answered: list[bytes], head_key: np.ndarray, head_n: np.ndarray, head_log: np.ndarray) -> Iterator[pa.RecordBatch]:
         held, size, base = [], 0, 0
-        for batch in texts:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in slices(offsets, RUN_BYTES):
-                held.append(np.unique(turned(grams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0])))
-                size += len(held[-1])
-                if size > 2 * base + HELD:
-                    held = [np.unique(np.concatenate(held))]
-                    size = base = len(held[0])
-        scorer = Scorer(Known(np.unique(np.concatenate(held)), answered, buckets))
+        for run in texts:
+            held.append(distinct(turned(grams(*utf8(unpack_rows(run).column("text")))[0])))
+            size += len(held[-1])
+            if size > 2 * base + HELD:
+                held = [distinct(np.concatenate(held))]
+                size = base = len(held[0])
+        scorer = Scorer(Known(distinct(np.concatenate(held)), answered, buckets))
         del held
-        for batch in texts:
-            data, offsets = utf8(batch.column("text"))
-            for i, j in slices(offsets, RUN_BYTES):
-                part, bounds = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                found = [word_counts(part[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                sizes = np.array([len(c) for c in found])
-                key = word_keys([w for c in found for w in c])
-                n = np.fromiter((x for c in found for x in c.values()), np.int32, len(key))
-                doc = np.repeat(np.arange(len(found)), sizes)
-                at = np.minimum(np.searchsorted(head_key, key), max(len(head_key) - 1, 0))
-                common = head_key[at] == key if len(head_key) else np.zeros(len(key), bool)
-                rare = np.concatenate(([0], np.cumsum(np.bincount(doc[~common], minlength=len(found))))).astype(np.int32)
-                rows_ = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "rid": rows_.column("rid"), "doc_id": rows_.column("doc_id").cast(pa.int64()), "held_out": rows_.column("held_out"), "n_bytes": pa.array(np.diff(bounds)),
-                        "n_words": pa.array(np.bincount(doc, n, len(found)).astype(np.int64)), "score": pa.array(scorer.score(part, bounds)),
-                        "head_n": pa.array(np.bincount(doc[common], n[common], len(found)).astype(np.int64)),
-                        "head_sum": pa.array(np.bincount(doc[common], n[common] * head_log[at[common]], len(found))) if len(head_key) else pa.array(np.zeros(len(found))),
-                        "tail": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])), "tail_n": pa.ListArray.from_arrays(pa.array(rare), pa.array(n[~common])),
-                    }
-                )
-
-    texts = counts.where(F.col("kind") == TEXT).select("chunk", "rid", "doc_id", "held_out", "text")
+        for run in texts:
+            rows_ = unpack_rows(run)
+            part, bounds = utf8(rows_.column("text"))
+            found = [word_counts(part[a:b].tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            sizes = np.array([len(c) for c in found])
+            key = word_keys([w for c in found for w in c])
+            n = np.fromiter((x for c in found for x in c.values()), np.int32, len(key))
+            doc = np.repeat(np.arange(len(found)), sizes)
+            at = np.minimum(np.searchsorted(head_key, key), max(len(head_key) - 1, 0))
+            common = head_key[at] == key if len(head_key) else np.zeros(len(key), bool)
+            rare = np.concatenate(([0], np.cumsum(np.bincount(doc[~common], minlength=len(found))))).astype(np.int32)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "rid": rows_.column("rid"), "doc_id": rows_.column("doc_id").cast(pa.int64()), "held_out": rows_.column("held_out"), "n_bytes": pa.array(np.diff(bounds)),
+                    "n_words": pa.array(np.bincount(doc, n, len(found)).astype(np.int64)), "score": pa.array(scorer.score(part, bounds)),
+                    "head_n": pa.array(np.bincount(doc[common], n[common], len(found)).astype(np.int64)),
+                    "head_sum": pa.array(np.bincount(doc[common], n[common] * head_log[at[common]], len(found))) if len(head_key) else pa.array(np.zeros(len(found))),
+                    "tail": pa.ListArray.from_arrays(pa.array(rare), pa.array(key[~common])), "tail_n": pa.ListArray.from_arrays(pa.array(rare), pa.array(n[~common])),
+                }
+            )
+
+    texts = counts.where(F.col("kind") == TEXT).select("chunk", "rid", "data")
     asked = texts.unionByName(found, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("rid").asc_nulls_first(), "bucket")
     scored = stash(asked.mapInArrow(trimmed(run), fields), "scored")
     unstash(counts)
