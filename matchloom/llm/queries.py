@@ -91,9 +91,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(repair(damage(table(spark, sf_dir, "conversations"))))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align, digests, tokenized
+    from .tokens import default_pieces, default_vocabulary
+
+    return digests(align(tokenized(table(spark, sf_dir, "documents"), default_vocabulary(), default_pieces())))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fm_decontamination, op2_simhash_components, op3_context_tree_score, op4_token_bitpack, op5_toxicity_cnn, op6_lyndon_suffix_dedup, op7_maxscore_top_k, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip, op11_conversation_repair)
+    for f in (op1_fm_decontamination, op2_simhash_components, op3_context_tree_score, op4_token_bitpack, op5_toxicity_cnn, op6_lyndon_suffix_dedup, op7_maxscore_top_k, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip, op11_conversation_repair, op12_token_alignment)
 }
 
 _LOWER = f"translate({{text}}, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"

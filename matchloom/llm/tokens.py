@@ -17,6 +17,8 @@ WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x20
 #: The contractions of the byte-level pattern.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Fixed value: the stand-in of a blank in a sentencepiece vocabulary.
+BLANK_MARK = "\u2581"
 
 
 @cache
@@ -87,6 +89,8 @@ def piece_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 #: Odd multiplier of the rolling hash, and its inverse modulo 2**64.
 ROLL = 0x9E3779B97F4A7C15 | 1
 UNROLL = pow(ROLL, -1, 1 << 64)
+#: Code points of known pieces that an encoder keeps.
+CACHE_POINTS = 1 << 24
 
 
 class Encoder:
@@ -116,6 +120,9 @@ class Encoder:
         self.places, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.flat, self.points = np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
+    def starts(self, points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+        return piece_starts(points, doc_starts)
+
     def hashes(self, points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Hash of the code points between each two neighbouring bounds."""
         n = len(points)
@@ -154,6 +161,14 @@ class Encoder:
         self.flat = np.concatenate((self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))))
         self.points = np.concatenate((self.points, np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)))
 
+    def token_bytes(self) -> list[bytes]:
+        """What each id stands for."""
+        known, back = self.tokenizer.get_vocab(), {c: b for b, c in self.alphabet.items()}
+        out = [b""] * (max(known.values()) + 1)
+        for entry, k in known.items():
+            out[k] = bytes(back[c] for c in entry) if all(c in back for c in entry) else entry.encode()
+        return out
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
         odd = [k for k, t in enumerate(texts) if any(a in t for a in self.added)]
@@ -167,7 +182,7 @@ class Encoder:
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` for texts without added tokens."""
-        if len(self.keys) > self.cache_size:
+        if len(self.keys) > self.cache_size or len(self.points) > CACHE_POINTS:
             self.reset()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         whole = "".join(texts)
@@ -175,7 +190,7 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         ends = np.cumsum(sizes)
-        starts = np.flatnonzero(piece_starts(points, (ends - sizes)[sizes > 0]))
+        starts = np.flatnonzero(self.starts(points, (ends - sizes)[sizes > 0]))
         bounds = np.append(starts, len(points))
         h = self.hashes(points, bounds)
         distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
@@ -204,12 +219,70 @@ class Encoder:
         return out, np.diff(before, prepend=0)
 
 
+class PieceEncoder(Encoder):
+    """Ids of whole texts by a sentencepiece BPE model; a text's first blank is the one that the model itself would add.
+
+    A merge never spans two characters that stand side by side in no piece of the vocabulary, so a text is cut between
+    such, and the library's model merges each distinct part once. ``tests/llm`` holds the result against the library.
+    """
+
+    def __init__(self, path: str, cache_size: int = 300_000):
+        from sentencepiece import SentencePieceProcessor
+
+        self.library = SentencePieceProcessor(model_file=path)
+        pieces = [p.replace(BLANK_MARK, " ") for k in range(self.library.get_piece_size()) if len(p := self.library.id_to_piece(k)) > 1 and not (self.library.is_byte(k) or self.library.is_control(k) or self.library.is_unknown(k))]
+        points = sorted({ord(c) for p in pieces for c in p})
+        self.known = np.array(points, np.uint32)
+        number = {chr(c): k for k, c in enumerate(points, 1)}
+        self.beside = np.zeros((len(points) + 1, len(points) + 1), bool)
+        for p in pieces:
+            for x, y in zip(p, p[1:], strict=False):
+                self.beside[number[x], number[y]] = True
+        if "\n" in number:
+            raise ValueError("a line end must not be part of a longer piece")
+        self.line_end = self.library.encode("\n")[-1]
+        self.added: list[str] = []
+        self.cache_size = cache_size
+        self.mix = np.random.default_rng(20).integers(1, 1 << 63, 1 << 16, np.uint64) | np.uint64(1)
+        self.reset()
+
+    def starts(self, points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+        points = np.where(points == ord(BLANK_MARK), np.uint32(0x20), points)
+        at = np.minimum(np.searchsorted(self.known, points), len(self.known) - 1)
+        number = np.where(self.known[at] == points, at + 1, 0)
+        begin = np.ones(len(points), bool)
+        begin[1:] = ~self.beside[number[:-1], number[1:]]
+        begin[doc_starts] = True
+        return begin
+
+    def merged(self, pieces: list[str]) -> list[list[int]]:
+        ids = self.library.encode("\n" + "\n".join(p for p in pieces if p != "\n"))[2:]  # behind the library's own blank and the first line end
+        ends = [*(k for k, i in enumerate(ids) if i == self.line_end), len(ids)]
+        parts = iter([ids[a:b] for a, b in zip([0, *(e + 1 for e in ends)], ends, strict=False)])
+        return [[self.line_end] if p == "\n" else next(parts) for p in pieces]
+
+    def token_bytes(self) -> list[bytes]:
+        """What each id stands for."""
+        return [bytes([int(p[1:-1], 16)]) if self.library.is_byte(k) else p.replace(BLANK_MARK, " ").encode() for k in range(self.library.get_piece_size()) for p in (self.library.id_to_piece(k),)]
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One encoder per Python worker."""
     return Encoder(path)
 
 
+@cache
+def piece_encoder(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
+
+
+def default_pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
