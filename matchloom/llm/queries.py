@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import new_path
 from .common import table
 
 #: The vocabulary of the default byte-level file, and the end ids that the contracts fix.
@@ -98,9 +99,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(align(tokenized(table(spark, sf_dir, "documents"), default_vocabulary(), default_pieces())))
 
 
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import digests, read_chunks, write_archives
+
+    path = new_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return digests(read_chunks(spark, path, payload=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_fm_decontamination, op2_simhash_components, op3_context_tree_score, op4_token_bitpack, op5_toxicity_cnn, op6_lyndon_suffix_dedup, op7_maxscore_top_k, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip, op11_conversation_repair, op12_token_alignment)
+    for f in (op1_fm_decontamination, op2_simhash_components, op3_context_tree_score, op4_token_bitpack, op5_toxicity_cnn, op6_lyndon_suffix_dedup, op7_maxscore_top_k, op8_histogram_shards, op9_concat_cut_packing, op10_chat_round_trip, op11_conversation_repair, op12_token_alignment, op13_warc_archives)
 }
 
 _LOWER = f"translate({{text}}, '{''.join(map(chr, range(65, 91)))}', '{''.join(map(chr, range(97, 123)))}')"
@@ -122,6 +131,10 @@ asked AS (SELECT vec_id AS query_id, arg_min(q, embedding) AS a FROM v WHERE vec
 scored AS (SELECT query_id, vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(a), len(q)) + 1), lambda k: a[k] * q[k])), 0) AS BIGINT) AS score FROM asked JOIN v ON vec_id <> query_id),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op13_warc_archives": """WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER w AS place, first_value(page_id) OVER w AS top FROM pages WINDOW w AS (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST, url NULLS FIRST)),
+groups AS (SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(sha1(html), CAST(5 * g + 1 AS INT), 5) AS INT)) AS v FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((v[CAST(1 + k // 4 AS INT)] >> CAST(15 - 5 * (k % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+ CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN top END AS refers_to FROM groups""",
     "op10_chat_round_trip": f"""WITH turns AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT {PLANTED_CONV}, k, CASE WHEN k = 0 THEN 'user' ELSE 'assistant' END, '{PLANTED_TEXT}' FROM range(2) r(k)),
 said AS (SELECT conv_id, turn, role AS r0, text AS t0, coalesce(role, '') AS r, coalesce(text, '') AS t FROM turns),
 sized AS (SELECT *, 14 + length(r) + length(t) + CASE WHEN contains(r, chr(92)) OR contains(r, ': ') OR contains(t, chr(92)) OR contains(t, '</turn>') OR contains(t, '###') THEN {_ESCAPED.format(x='r')} + {_ESCAPED.format(x='t')} ELSE 0 END AS n FROM said)
