@@ -11,7 +11,9 @@ spanning forest is emitted. Components then come from alternating star contracti
 
 ``keep_one``, for corpora, takes a similarity rather than a distance. At 0.8 some 15 % of all bits differ, which no cut
 into few segments can guarantee to meet; so a set has several fingerprints and many shorter segments, whose one-wildcard
-variants meet with a probability that grows with similarity.
+variants meet with a probability that grows with similarity (``plan``). Texts that meet and differ in few enough bits are
+compared by their sets, each pair for itself; only such pairs are links. Where many meet, a star around a leader is
+compared first; what that leaves apart is compared pair by pair, dealt in blocks, so that no link hides another.
 
 Defined results: null text is an empty text; texts without words have fingerprint zero and are linked like any other;
 rows without doc_id take part, and their component is the smallest doc_id there is in it; repeated rows share a
@@ -24,6 +26,8 @@ from collections.abc import Iterator
 from functools import partial
 from hashlib import blake2b
 from itertools import repeat
+from math import acos, ceil, log, pi, sqrt
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,14 @@ RUN = 8192
 DIFFER = 3
 SHINGLE = 3
 RUN_BYTES = 1 << 19
-#: For ``keep_one``: words of a shingle and the least similarity; fingerprints of 64 bits a set and bits of a segment.
-SIMILAR_SHINGLE, JACCARD = 5, 0.8
-WORDS, SEGMENT = 4, 21
-#: Bits that may differ in one fingerprint and in all: at a similarity of 0.8, 9.7 and 39 do on average.
-NEAR, WIDE_NEAR = 20, 48
+#: For ``keep_one``: words of a shingle and the least similarity; the share of texts of that similarity that have to meet.
+SIMILAR_SHINGLE, JACCARD, MEET = 5, 0.8, 0.96
+#: Bits of a segment up to four million texts; a bit more for each doubling beyond.
+SEGMENT, SEGMENT_TEXTS = 16, 22
+#: Bits that may differ in the first fingerprint (at a similarity of 0.8, 9.7 do on average, with a deviation of 2.9).
+NEAR = 17
+#: Members of a run that are compared at once, and pairs for each of them beyond which leaders go first.
+BLOCK, PAIRS = 1024, 16
 SALTS = 16
 LOWER = lower_table()
 
@@ -111,7 +118,7 @@ def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def forest(fp: np.ndarray, differ: int = DIFFER) -> tuple[list[int], list[int]]:
+def forest(fp: np.ndarray) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the links among fp."""
     left, right = [], []
     rest = fp
@@ -119,7 +126,7 @@ def forest(fp: np.ndarray, differ: int = DIFFER) -> tuple[list[int], list[int]]:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
             x = frontier.pop()
-            near = differing(rest, x) <= differ
+            near = differing(rest, x) <= DIFFER
             if near.any():
                 found = rest[near]
                 left += [int(x)] * len(found)
@@ -132,7 +139,7 @@ def forest(fp: np.ndarray, differ: int = DIFFER) -> tuple[list[int], list[int]]:
 EDGE = pa.schema([("sig", pa.int64()), ("at", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
 
-def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN, differ: int = DIFFER) -> Iterator[pa.RecordBatch]:
+def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN) -> Iterator[pa.RecordBatch]:
     """Sorted rows (sig, at, fp) to links (u, v); members of a run beyond the bound come back as (sig, at, fp) for another cut."""
 
     def rows(sig, at, u, v) -> pa.RecordBatch:
@@ -147,14 +154,14 @@ def links_of_runs(batches: Iterator[pa.RecordBatch], bound: float = RUN, differ:
         size = np.diff(cut)
         two = cut[:-1][size == 2]
         a, b = fp[two], fp[two + 1]
-        near = differing(a, b) <= differ
+        near = differing(a, b) <= DIFFER
         u, v = [a[near]], [b[near]]
         for i in np.flatnonzero(size > 2).tolist():
             part = fp[cut[i] : cut[i + 1]]
             if len(part) > bound:
                 yield hot(int(sig[cut[i]]), int(at[cut[i]]), part)
                 continue
-            x, y = forest(part, differ)
+            x, y = forest(part)
             u.append(np.array(x, np.int64))
             v.append(np.array(y, np.int64))
         u, v = np.concatenate(u), np.concatenate(v)
@@ -270,15 +277,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return join_hot(marked, of_fp, ["fp"], marked.count()).select("doc_id", "fp", "component_id")
 
 
-def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """WORDS signed 64-bit fingerprints of one set of shingle hashes: the first of the hashes, the others of hashes of them."""
-    ones = np.zeros(64 * WORDS, np.int64)
+class Plan(NamedTuple):
+    """Fingerprints of 64 bits a set (the first is not cut), bits of a segment, segments, bits that may differ in all."""
+
+    words: int
+    bits: int
+    segments: int
+    differ: int
+
+
+def plan(texts: int) -> Plan:
+    """How to cut the fingerprints of so many texts.
+
+    A bit differs with a probability p that the angle of two sets of similarity JACCARD gives; segments are as many as let
+    MEET of such pairs agree but for one bit in one of them, and 97.5 % of them are within ``differ`` bits in all.
+    """
+    p = acos(2 * JACCARD / (1 + JACCARD)) / pi
+    bits = max(SEGMENT, (texts - 1).bit_length() - SEGMENT_TEXTS + SEGMENT)
+    agree = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+    segments = ceil(log(1 - MEET) / log(1 - agree))
+    words = 1 + ceil(segments / (64 // bits))
+    return Plan(words, bits, segments, ceil(64 * words * p + 1.96 * sqrt(64 * words * p * (1 - p))))
+
+
+def wide_fingerprint(h: np.ndarray, words: int) -> np.ndarray:
+    """``words`` signed 64-bit fingerprints of one set of shingle hashes: the first of the hashes, the others of hashes of them."""
+    ones = np.zeros(64 * words, np.int64)
     for i in range(0, len(h), 1 << 14):
         part = h[i : i + (1 << 14)]
-        mixed = np.empty((len(part), WORDS), np.uint64)
+        mixed = np.empty((len(part), words), np.uint64)
         mixed[:, 0] = part
         with np.errstate(over="ignore"):
-            for k in range(1, WORDS):
+            for k in range(1, words):
                 z = part + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
                 z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
                 z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
@@ -292,33 +322,180 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SIMILAR_SHINGLE), np.uint64))
 
 
-def wide_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w0, w1, ..) to (sig, fp: w0): each segment of SEGMENT bits with each of its bits as a wildcard."""
-    per = 64 // SEGMENT
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= JACCARD * (len(x) + len(y) - both) - 1e-9
+
+
+def wide_signatures(batches: Iterator[pa.RecordBatch], how: Plan) -> Iterator[pa.RecordBatch]:
+    """(node, w0, w1, ..) to (sig, node, fp: w0): each segment of w1, .. with each of its bits as a wildcard."""
+    per = 64 // how.bits
     for b in batches:
-        words = [b.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WORDS)]
+        words = [b.column(f"w{k}").to_numpy().view(np.uint64) for k in range(how.words)]
+        node = b.column("node").to_numpy()
         for i in range(0, len(b), 1000):
             sig = []
-            for k in range(WORDS * per):
-                part = words[k // per][i : i + 1000] >> np.uint64(k % per * SEGMENT) & np.uint64((1 << SEGMENT) - 1)
-                sig += [part & ~np.uint64(1 << bit) | np.uint64((k * SEGMENT + bit) << SEGMENT) for bit in range(SEGMENT)]
+            for k in range(how.segments):
+                part = words[1 + k // per][i : i + 1000] >> np.uint64(k % per * how.bits) & np.uint64((1 << how.bits) - 1)
+                sig += [part & ~np.uint64(1 << bit) | np.uint64((k * how.bits + bit) << how.bits) for bit in range(how.bits)]
             fp = words[0][i : i + 1000].view(np.int64)
-            yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sig).astype(np.int32), "fp": np.tile(fp, len(sig))})
+            yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sig).astype(np.int64), "node": np.tile(node[i : i + 1000], len(sig)), "fp": np.tile(fp, len(sig))})
+
+
+MET = pa.schema([("sig", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("fp", pa.int64())])
+
+
+def met_pairs(u: list[np.ndarray], v: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    a, b = np.concatenate([*u, np.zeros(0, np.int64)]), np.concatenate([*v, np.zeros(0, np.int64)])
+    if len(a):
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], schema=MET)
+
+
+class Leaders:
+    """A run of any length, a block at a time: each row goes to the first leader that it is near to, or leads itself."""
+
+    def __init__(self, sig: int):
+        self.sig, self.node, self.fp = sig, np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(self, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs with leaders, and the rows (sig, u, fp; v null) that have some."""
+        u, v, f = [], [], []
+
+        def claim(lead: int, at: int, node: np.ndarray, fp: np.ndarray) -> np.ndarray:
+            near = differing(fp, at) <= NEAR
+            if near.any():
+                u.append(np.full(int(near.sum()), lead))
+                v.append(node[near])
+                f.append(fp[near])
+                u.append(np.array([lead]))
+                v.append(np.array([lead]))
+                f.append(np.array([at]))
+            return ~near
+
+        for lead, at in zip(self.node, self.fp, strict=True):
+            rest = claim(lead, at, node, fp)
+            node, fp = node[rest], fp[rest]
+        leaders = []
+        while len(node):
+            lead, at, node, fp = node[0], fp[0], node[1:], fp[1:]
+            leaders.append((lead, at))
+            rest = claim(lead, at, node, fp)
+            node, fp = node[rest], fp[rest]
+        if leaders:
+            more = np.array(leaders, np.int64)
+            self.node, self.fp = np.concatenate((self.node, more[:, 0])), np.concatenate((self.fp, more[:, 1]))
+        if u:
+            a, b, f = np.concatenate(u), np.concatenate(v), np.concatenate(f)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), self.sig)), pa.array(b), pa.nulls(len(b), pa.int64()), pa.array(f)], schema=MET)
+            yield from met_pairs([a[a != b]], [b[a != b]])
+
+
+def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (sig, node, fp) to the pairs (u, v) within NEAR bits that a signature brings together.
+
+    Of a run that is long, or has many such pairs, only those with leaders come out, and its members as (sig, u, fp).
+    """
+
+    def closed(sig: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole runs."""
+        cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
+        size = np.diff(cut)
+        u, v = [], []
+        for n in np.unique(size[size > 1]).tolist():
+            begins = cut[:-1][size == n]
+            if n <= 16:  # many runs at once
+                for i in range(n):
+                    for j in range(i + 1, n):
+                        a, b = begins + i, begins + j
+                        near = differing(fp[a], fp[b]) <= NEAR
+                        u.append(node[a[near]])
+                        v.append(node[b[near]])
+                continue
+            for begin in begins.tolist():
+                own, f = node[begin : begin + n], fp[begin : begin + n]
+                if n <= BLOCK:
+                    a, b = np.nonzero(np.triu(differing(f[:, None], f[None, :]) <= NEAR, 1))
+                    if len(a) <= PAIRS * n:
+                        u.append(own[a])
+                        v.append(own[b])
+                        continue
+                yield from Leaders(int(sig[begin])).take(own, f)
+        yield from met_pairs(u, v)
+
+    held: list[tuple[np.ndarray, ...]] = []
+    n, leaders = 0, None
+    for batch in batches:
+        rows = tuple(batch.column(c).to_numpy() for c in ("sig", "node", "fp"))
+        if leaders is not None:  # the run that was too long goes on
+            same = rows[0] == leaders.sig
+            for i in range(0, int(same.sum()), BLOCK):
+                yield from leaders.take(*(x[same][i : i + BLOCK] for x in rows[1:]))
+            rows = tuple(x[~same] for x in rows)
+            if not len(rows[0]):
+                continue
+            leaders = None
+        held.append(rows)
+        n += len(rows[0])
+        if n < 4 * RUN:
+            continue
+        sig, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        last = int(np.searchsorted(sig, sig[-1]))  # rows are sorted by sig
+        if last:
+            yield from closed(sig[:last], node[:last], fp[:last])
+        held, n = [(sig[last:], node[last:], fp[last:])], len(sig) - last
+        if n > RUN:
+            leaders = Leaders(int(sig[-1]))
+            for i in range(last, len(sig), BLOCK):
+                yield from leaders.take(node[i : i + BLOCK], fp[i : i + BLOCK])
+            held, n = [], 0
+    if held:
+        yield from closed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (sig, i, j, left, node, fp, root) of blocks to the pairs within NEAR bits of other roots, one of them on the left."""
+
+    def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        left, node, fp, root = (np.concatenate(x) for x in zip(*rows, strict=True))
+        u, v = [], []
+        for x, f, r in zip(node[left], fp[left], root[left], strict=True):
+            near = ~left & (root != r) & (differing(fp, f) <= NEAR)
+            u.append(np.full(int(near.sum()), x))
+            v.append(node[near])
+        yield from met_pairs(u, v)
+
+    key, held = None, []
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")], axis=1)
+        rows = (batch.column("left").to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("node", "fp", "root")))
+        cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if a == b:
+                continue
+            if key is not None and key != tuple(keys[a]):
+                yield from block(held)
+                held = []
+            key = tuple(keys[a])
+            held.append(tuple(x[a:b] for x in rows))
+    if held:
+        yield from block(held)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of which one stays for each group of near copies: that of the smallest doc_id (null last), then any one.
 
-    Near copies have a Jaccard similarity of JACCARD at least over their sets of SIMILAR_SHINGLE words. A set has WORDS
-    fingerprints, cut into segments of SEGMENT bits; two that agree in a segment but for one bit at most are compared:
-    first by the fingerprint that the signature carries (NEAR bits may differ), then by all (WIDE_NEAR). A text whose
-    nearest one so found is not similar by the sets themselves has no links. Rows are told apart by their own number, so
+    Near copies have a Jaccard similarity of JACCARD at least over their sets of SIMILAR_SHINGLE words. Texts that agree in
+    a segment but for one bit at most (``plan``), and differ in few enough bits of the first fingerprint (NEAR) and of all,
+    are compared by the sets themselves; only a pair that passes is a link. Rows are told apart by their own number, so
     missing and repeated doc_ids lose nothing; texts without words are copies of each other.
     """
     (name,) = fresh(docs.columns, "row")
     numbered = stash(docs.select("*", F.monotonically_increasing_id().alias(name)), "rows")
     rows = numbered.select(F.col(name).alias("row"), "doc_id", "text")
-    words = [f"w{k}" for k in range(WORDS)]
+    how = plan(rows.count())
+    words = [f"w{k}" for k in range(how.words)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,44 +505,76 @@ def keep_one(docs: DataFrame) -> DataFrame:
                 for x, y in zip(offsets[i : i + 256].tolist(), offsets[i + 1 : i + 257].tolist(), strict=False):
                     h = shingle_set(data[x:y].tobytes())
                     digests.append(blake2b(h.tobytes(), digest_size=16).digest())
-                    found.append(wide_fingerprint(h))
-                part, w = b.slice(i, 256), np.array(found, np.int64).reshape(-1, WORDS)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array(w[:, k]) for k in range(WORDS))], names=["row", "doc_id", "digest", *words])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for k, x, y in zip(b.column("node").to_pylist(), b.column("a"), b.column("b"), strict=True):
-                x, y = (shingle_set((t.as_py() or "").encode()) for t in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both >= JACCARD * (len(x) + len(y) - both) - 1e-9:
-                    good.append(k)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(good, pa.int64())})
+                    found.append(wide_fingerprint(h, how.words))
+                part, w = b.slice(i, 256), np.array(found, np.int64).reshape(-1, how.words)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array(w[:, k]) for k in range(how.words))], names=["row", "doc_id", "digest", *words])
 
     fields = StructType([StructField("row", LongType()), docs.schema["doc_id"], StructField("digest", BinaryType()), *(StructField(w, LongType()) for w in words)])
     found = rows.mapInArrow(trimmed(sketch), fields)
     best = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    copies = stash(found.groupBy("digest").agg(F.min("row").alias("first"), F.min(best).alias("best"), *(F.first(w).alias(w) for w in words)).drop("digest"), "copies")
-    # of the sets with an equal first fingerprint one is indexed, and the others are held against it
-    classes = stash(copies.groupBy("w0").agg(F.min("first").alias("node"), F.count("*").alias("n"), *(F.min_by(w, "first").alias(w) for w in words[1:])), "classes")
-    signed = classes.select(*words).mapInArrow(trimmed(wide_signatures), "sig int, fp long").repartition("sig").sortWithinPartitions("sig", "fp")
-    met = signed.mapInArrow(trimmed(partial(links_of_runs, bound=float("inf"), differ=NEAR)), "sig long, at int, u long, v long").select("u", "v").distinct()
-    ends = [classes.select(*(F.col(c).alias(f"{side}_{c}") for c in ("node", *words))) for side in "uv"]
-    joined = met.join(ends[0].hint("merge"), F.col("u") == F.col("u_w0")).join(ends[1].hint("merge"), F.col("v") == F.col("v_w0"))
-    inside = join_hot(copies.select("first", *(F.col(w).alias(f"v_{w}") for w in words)).withColumn("w0", F.col("v_w0")), classes, ["w0"], copies.count()).where("first <> node")
-    inside = inside.select(F.col("node").alias("u_node"), F.col("first").alias("v_node"), F.col("v_w0").alias("u_w0"), *(F.col(w).alias(f"u_{w}") for w in words[1:]), *(f"v_{w}" for w in words))
-    pairs = joined.select(*inside.columns).unionByName(inside)
-    apart = sum(F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words)
-    near = stash(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), apart.alias("h")).where(F.col("h") <= WIDE_NEAR), "near")
-    both = near.unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "h"))
-    nearest = stash(both.groupBy(F.col("u").alias("node")).agg(F.min(F.struct("h", "v"))["v"].alias("other")), "nearest")
-    # a text that is many texts' nearest one goes to SALTS tasks
-    salt = F.pmod(F.hash("node"), F.lit(SALTS)).alias("salt")
-    others = nearest.select("other", salt).distinct().hint("merge").join(rows.select(F.col("row").alias("other"), F.col("text").alias("b")), "other")
-    texts = nearest.select("node", "other", salt).hint("merge").join(rows.select(F.col("row").alias("node"), F.col("text").alias("a")), "node")
-    good = stash(texts.join(others.hint("merge"), ["other", "salt"]).select("node", "a", "b").mapInArrow(trimmed(compare), "node long"), "similar")
-    edges = near.select("u", "v").join(good.select(F.col("node").alias("u")), "u", "left_semi").join(good.select(F.col("node").alias("v")), "v", "left_semi").select("u", "v")
-    rooted = copies.join(components(edges), F.col("first") == F.col("node"), "left").select(F.coalesce("root", "first").alias("root"), "best")
+    copies = stash(found.groupBy("digest").agg(F.min("row").alias("node"), F.min(best).alias("best"), *(F.first(w).alias(w) for w in words)).drop("digest"), "copies")
+    signed = copies.select("node", *words).mapInArrow(trimmed(partial(wide_signatures, how=how)), "sig long, node long, fp long")
+    met = stash(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(trimmed(meetings), "sig long, u long, v long, fp long"), "met")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs within the bits that may differ in all."""
+        ends = [copies.select(F.col("node").alias(side), *(F.col(w).alias(f"{side}_{w}") for w in words)) for side in "uv"]
+        apart = sum(F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words)
+        return stash(pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").where(apart <= how.differ).select("u", "v"), "near")
+
+    near = close(met.where(F.col("v").isNotNull()).select("u", "v").distinct())
+    links = stash(linked(near, rows), "similar")
+    members = met.where(F.col("v").isNull()).select("sig", F.col("u").alias("node"), "fp").distinct()
+    if not members.isEmpty():
+        apart = crossing_pairs(stash(members, "members"), components(links)).join(near.hint("merge"), ["u", "v"], "left_anti")
+        more = stash(linked(close(apart), rows), "similar")
+        links = stash(links.unionByName(more), "similar")
+    rooted = copies.join(components(links).withColumnRenamed("node", "first"), F.col("node") == F.col("first"), "left").select(F.coalesce("root", "node").alias("root"), "best")
     chosen = stash(rooted.groupBy("root").agg(F.min("best")["row"].alias(name)).select(name), "chosen")
-    unstash(copies, classes, near, nearest, good)
+    unstash(copies, met, near, links)
     return numbered.join(chosen.hint("merge"), name, "left_semi").select(*own(docs))
+
+
+def linked(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (u, v) of near whose texts in rows (row, text) are similar by their sets.
+
+    The text of a row that is in many pairs goes to SALTS tasks, so that no task has all of them.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, None
+        for b in batches:
+            good = []
+            for k, (u, x, y) in enumerate(zip(b.column("u").to_pylist(), b.column("a"), b.column("b"), strict=True)):
+                if u != last:
+                    last, known = u, shingle_set((x.as_py() or "").encode())
+                if similar(known, shingle_set((y.as_py() or "").encode())):
+                    good.append(k)
+            kept = b.take(pa.array(good, pa.int64()))
+            yield kept.select(["u", "v"])
+
+    ends = near.select(F.explode(F.array("u", "v")).alias("row")).distinct()
+    texts = stash(rows.select("row", "text").join(ends.hint("merge"), "row"), "texts")
+    salt = F.pmod(F.hash("v"), F.lit(SALTS)).alias("salt")
+    first = near.select("u", salt).distinct().join(texts.select(F.col("row").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
+    second = near.select("u", "v", salt).join(texts.select(F.col("row").alias("v"), F.col("text").alias("b")).hint("merge"), "v")
+    return second.join(first.hint("merge"), ["u", "salt"]).select("u", "v", "a", "b").mapInArrow(trimmed(compare), "u long, v long")
+
+
+def crossing_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs of members (sig, node, fp) that meet under a signature and are not connected yet.
+
+    A run all of whose members are connected has none. Of any other the members outside its largest component are held
+    against all, in blocks of RUN rows by RUN rows.
+    """
+    placed = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("sig", "root").agg(F.count("*").alias("n"))
+    open_runs = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    live = placed.join(open_runs.hint("merge"), "sig").withColumns({"rows": F.ceil(F.col("n") / RUN).cast("int"), "columns": F.ceil((F.col("n") - F.col("largest")) / RUN).cast("int")})
+    deal = lambda over: F.pmod(F.hash("node"), F.col(over))
+    every = lambda over: F.explode(F.sequence(F.lit(0), F.col(over) - 1))
+    rest = ["sig", "i", "j", "left", "node", "fp", "root"]
+    left = live.where("root <> main").withColumns({"i": deal("columns"), "left": F.lit(True)}).withColumn("j", every("rows")).select(*rest)
+    right = live.withColumns({"j": deal("rows"), "left": F.lit(False)}).withColumn("i", every("columns")).select(*rest)
+    dealt = left.unionByName(right).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    return dealt.mapInArrow(trimmed(crossings), "sig long, u long, v long, fp long").select("u", "v").distinct()

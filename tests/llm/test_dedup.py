@@ -1,7 +1,9 @@
 """SimHash components and suffix-array dedup against brute force."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,15 +112,122 @@ def test_near_copies_of_five_words(spark, make_docs, words):
 def test_wide_signatures():
     import pyarrow as pa
 
+    how = simhash.plan(1000)
     r = np.random.default_rng(1)
-    a = r.integers(-(1 << 63), 1 << 63, simhash.WORDS)
+    a = r.integers(-(1 << 63), 1 << 63, how.words)
     b = a.copy()
-    b[1] ^= 1 << 30  # the second segment of the second word
-    batch = pa.RecordBatch.from_pydict({f"w{k}": np.array([a[k], b[k]]) for k in range(simhash.WORDS)})
-    out = next(simhash.wide_signatures([batch]))
+    b[1] ^= 1 << 20  # the second segment
+    batch = pa.RecordBatch.from_pydict({"node": [1, 2]} | {f"w{k}": np.array([a[k], b[k]]) for k in range(how.words)})
+    out = next(simhash.wide_signatures([batch], how))
     sig = out.column("sig").to_numpy().reshape(-1, 2)
-    assert len(sig) == simhash.WORDS * (64 // simhash.SEGMENT) * simhash.SEGMENT and len(np.unique(sig[:, 0])) == len(sig)
-    assert (sig[:, 0] != sig[:, 1]).sum() == simhash.SEGMENT - 1
+    assert len(sig) == how.segments * how.bits and len(np.unique(sig[:, 0])) == len(sig)
+    assert (sig[:, 0] != sig[:, 1]).sum() == how.bits - 1
+
+
+def test_plan_grows_with_the_texts():
+    plans = [simhash.plan(n) for n in (0, 1, 1 << 22, 1 << 23, 1 << 30)]
+    assert plans[0] == plans[1] == plans[2] and [p.bits for p in plans[2:]] == [16, 17, 24]
+    assert all(64 // p.bits * (p.words - 1) >= p.segments for p in plans)
+
+
+def altered(r, words, w, n):
+    """w with n single words changed, far from each other: each takes five shingles away and brings five."""
+    out = list(w)
+    for k in r.sample(range(len(w) // 12), n):
+        out[12 * k + 6] = "".join(r.choice("xyz") for _ in range(9))
+    return out
+
+
+def test_similar_texts_meet(spark, make_docs, words):
+    """Nine of ten pairs of a similarity of 0.80 to 0.85 are found, and pairs below are left alone."""
+    r = random.Random(8)
+    texts = []
+    for k in range(300):
+        w = [r.choice(words) for _ in range(r.randint(300, 500))]
+        n = int((len(w) - 4) * r.uniform(0.163, 0.199) / 1.83 / 5) if k % 3 else int((len(w) - 4) * 0.29 / 1.7 / 5)
+        texts += [" ".join(w), " ".join(altered(r, words, w, n))]
+    groups = plain_groups(texts)
+    near = [k for k in range(1, len(texts), 2) if groups[k] == k - 1]
+    kept = {x["doc_id"] for x in simhash.keep_one(make_docs(texts)).select("doc_id").collect()}
+    assert len(near) >= 150 and len([k for k in near if k not in kept]) >= 0.9 * len(near)
+    assert kept >= set(range(len(texts))) - set(near)
+
+
+def test_recall_on_whole_documents(spark):
+    """Nine of ten texts with another one of a similarity of 0.8 go, held against all pairs; no group goes whole."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    ids = {}
+    for x in docs.orderBy("doc_id").collect():
+        ids.setdefault(simhash.shingle_set((x["text"] or "").encode()).tobytes(), []).append(x["doc_id"])
+    sets = [np.frombuffer(k, np.uint64) for k in ids]
+    often = Counter(h for s in sets for h in s.tolist())
+    seen, root = {}, list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k in sorted(range(len(sets)), key=lambda k: len(sets[k])):
+        rare = sorted(sets[k].tolist(), key=lambda h: (often[h], h))[: len(sets[k]) - math.ceil(0.8 * len(sets[k])) + 1]
+        for c in {c for h in rare for c in seen.get(h, ())}:
+            if simhash.similar(sets[c], sets[k]):
+                root[find(c)] = find(k)
+        for h in rare:
+            seen.setdefault(h, []).append(k)
+    groups = {}
+    for k, own in enumerate(ids.values()):
+        groups.setdefault(find(k), []).extend(own)
+    kept = {x["doc_id"] for x in simhash.keep_one(docs).select("doc_id").collect()}
+    surplus = len(sets) - len(groups)
+    assert surplus >= 30 and len(sets) - len(kept) >= 0.9 * surplus
+    assert all(kept & set(g) for g in groups.values())
+
+
+def test_pairs_of_pairs_stay_apart(spark, make_docs, words):
+    """Two pairs of near copies that resemble each other at less than the least similarity are two groups."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(40):
+        w = [r.choice(words) for _ in range(600)]
+        other = altered(r, words, w, 15)
+        texts += [" ".join(w), " ".join([*w, "end"]), " ".join(other), " ".join([*other, "end"])]
+    groups = plain_groups(texts)
+    assert len(set(groups)) == 80
+    kept = simhash.keep_one(make_docs(texts)).select("doc_id").collect()
+    assert sorted(x["doc_id"] for x in kept) == sorted(set(groups))
+
+
+def test_a_chance_neighbour_hides_no_link():
+    import pyarrow as pa
+
+    fps = np.array([0, (1 << 16) - 1, (1 << 16) - 2], np.int64)  # the first is within NEAR bits of both
+    batch = pa.RecordBatch.from_pydict({"sig": np.zeros(3, np.int64), "node": np.arange(3), "fp": fps})
+    (out,) = simhash.meetings([batch])
+    assert list(zip(out.column("u").to_pylist(), out.column("v").to_pylist())) == [(0, 1), (0, 2), (1, 2)]
+
+
+@pytest.mark.parametrize(("run", "block", "pairs"), [(8, 4, 0), (40, 1024, 0), (8192, 1024, 16)])
+def test_runs_with_many_pairs(spark, make_docs, words, monkeypatch, run, block, pairs):
+    """Families of near copies, some just above and some just below the least similarity to a leader, in runs of any length."""
+    for name, value in (("RUN", run), ("BLOCK", block), ("PAIRS", pairs)):
+        monkeypatch.setattr(simhash, name, value)
+    cloudpickle.register_pickle_by_value(simhash)
+    try:
+        r = random.Random(6)
+        texts = []
+        for _ in range(3):
+            w = [r.choice(words) for _ in range(400)]
+            family = [w]
+            for _ in range(30):
+                family.append(altered(r, words, r.choice(family), r.randint(1, 6)))
+            texts += [" ".join(f) for f in family]
+        texts += [" ".join(r.choice(words) for _ in range(30)) for _ in range(20)]
+        kept = {x["doc_id"] for x in simhash.keep_one(make_docs(texts)).select("doc_id").collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(simhash)
+    wanted = set(plain_groups(texts))
+    assert kept >= wanted and len(kept - wanted) <= 2
 
 
 def test_runs_beyond_the_bound_are_cut_again(spark, monkeypatch):
