@@ -1,11 +1,12 @@
 """Cross-tokenizer alignment: where the tokens of two vocabularies end at the same byte of a text.
 
-Both tokenizers run over a blank and the text (the second adds that blank itself) and give ids and the bytes at which the
-tokens end; all else is done by Spark's array functions. Ends that both have (``array_intersect``) cut the text into groups;
-how many tokens end before a cut is its place in the sorted union of cuts and ends less the cuts before it, so that no step
-searches an array for each token. The two tokens that end at a cut are linked. Links are counted by pair over all texts;
-a text's links look their counts up again: pairs that hold more than a 2^17th of all links (so at most 2^17 of them) by
-broadcast, all others by a merge join, before sums of each text leave the task.
+Both tokenizers run over a blank and the text (the second adds that blank itself) and give the bytes at which the tokens
+end, and each end once more with its token's id in the lower bits; all else is done by Spark's array functions. Ends that
+both have (``array_intersect``) cut the text: marks at the cuts are sorted in among the tokens of a side, and the tokens
+between two marks are a group, so that no step searches an array for each token. The two tokens that end at a cut are
+linked. Links are counted by pair over all texts; a text's links look their counts up again: pairs that hold more than a
+2^17th of all links (so at most 2^17 of them) by broadcast, all others by a merge join, before sums of each text leave
+the task.
 
 Defined results: a text that is null or empty, or that the tokens of one side don't give back byte for byte (such as one
 that holds the mark which stands for a blank), has no tokens: zeros and an empty string. Rows are told apart by a number
@@ -30,7 +31,11 @@ TEXT_BYTES = 1 << 20
 #: One pair may hold this share of all links before it is looked up by broadcast, so that there are at most as many of those.
 HOT_PAIRS = 1 << 17
 
-TOKENS = "doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+#: Bits below an end that hold a token's id; all of them set is the mark of a cut.
+ID_BITS = 20
+MARK = (1 << ID_BITS) - 1
+
+TOKENS = "doc_id long, a_ends array<int>, a array<long>, b_ends array<int>, b array<long>"
 
 
 class Lexicon:
@@ -76,7 +81,7 @@ def aligned_ids(texts: list[str], path_a: str, path_b: str) -> tuple[list[tuple[
 
 
 def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Ids of both sides and the bytes (of a blank and the text) behind which they end: the one step in Python."""
+    """The bytes (of a blank and the text) at which the tokens of both sides end, alone and above the ids: the one step in Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,8 +91,8 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 lists = []
                 for ids, ends, counts in found:
                     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-                    lists += [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32), pa.int32())) for x in (ids, ends)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *lists], names=["doc_id", "a", "a_ends", "b", "b_ends"])
+                    lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ends.astype(np.int32), ends << ID_BITS | ids)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *lists], names=["doc_id", "a_ends", "a", "b_ends", "b"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), TOKENS)
 
@@ -98,32 +103,30 @@ def held(df: DataFrame, **columns: F.Column) -> DataFrame:
     return df.select(*df.columns, one).select(*df.columns, "held.*")
 
 
-def ranks(ends: str) -> F.Column:
-    """How many of the ascending ends lie before each cut."""
-    union = F.sort_array(F.concat(F.transform("cuts", lambda c: c.cast("long") * 2), F.transform(ends, lambda e: e.cast("long") * 2 + 1)))
-    places = F.filter(F.transform(union, lambda v, k: F.when(v % 2 == 0, k)), lambda k: k.isNotNull())
-    return F.transform(places, lambda p, k: p - k)
+def groups(side: str) -> F.Column:
+    """The ids of a side's tokens between each two cuts, as text with commas."""
+    marks = F.transform("cuts", lambda c: F.shiftleft(c.cast("long"), ID_BITS) + MARK)
+    union = F.sort_array(F.concat(side, marks))
+    low = lambda v: v.bitwiseAND(F.lit(MARK).cast("long"))
+    text = F.array_join(F.transform(union, lambda v: F.when(low(v) == MARK, ";").otherwise(low(v).cast("string"))), ",")
+    return F.slice(F.split(F.replace(text, F.lit(",;"), F.lit(";")), ";,?"), F.lit(1), F.size("cuts"))
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """tokens with ``cuts`` (bytes at which both sides end a token), ``a_last`` and ``b_last`` (the token of either side that ends there)."""
+    """tokens with ``cuts`` (bytes at which both sides end a token) and ``a_groups`` and ``b_groups`` (the ids of either side up to there)."""
     cut = held(tokens, cuts=F.array_intersect("a_ends", "b_ends"))
-    return held(cut, a_last=ranks("a_ends"), b_last=ranks("b_ends"))
+    return held(cut, a_groups=groups("a"), b_groups=groups("b"))
 
 
 def group_text() -> F.Column:
-    """The groups of ``align`` as text, a1,a2|b1;a3|b2,b3, from ids as strings in ``a_text`` and ``b_text``."""
-
-    def part(side: str, k: F.Column) -> F.Column:
-        before = F.when(k == 0, -1).otherwise(F.get(f"{side}_last", k - 1))
-        return F.array_join(F.slice(f"{side}_text", before + 2, F.get(f"{side}_last", k) - before), ",")
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size("cuts") - 1), lambda k: F.concat(part("a", k), F.lit("|"), part("b", k))), ";")
+    """The groups of ``align`` as text: a1,a2|b1;a3|b2,b3."""
+    return F.array_join(F.zip_with("a_groups", "b_groups", lambda a, b: F.concat(a, F.lit("|"), b)), ";")
 
 
 def links() -> F.Column:
     """The linked pairs of ``align``, an id of either side in one number."""
-    return F.zip_with(F.transform("a_last", lambda k: F.get("a", k).cast("long")), F.transform("b_last", lambda k: F.get("b", k).cast("long")), lambda a, b: F.shiftleft(a, 32) + b)
+    last = lambda group: F.substring_index(group, ",", -1).cast("long")
+    return F.zip_with("a_groups", "b_groups", lambda a, b: F.shiftleft(last(a), 32) + last(b))
 
 
 def pair_counts(linked: DataFrame) -> DataFrame:
@@ -136,10 +139,9 @@ def pair_counts(linked: DataFrame) -> DataFrame:
 def digests(aligned: DataFrame) -> DataFrame:
     """A row for each text: counts of tokens, groups, links; links whose pair is its b's most frequent; counts summed; the groups' SHA-256."""
     some = F.size("cuts") > 0
-    text = held(aligned, a_text=F.transform("a", lambda t: t.cast("string")), b_text=F.transform("b", lambda t: t.cast("string")))
     size = lambda c: F.size(c).cast("long")
     rows = stash(
-        text.select(F.monotonically_increasing_id().alias("row"), "doc_id", size("a").alias("n_a"), size("b").alias("n_b"), size("cuts").alias("n_groups"), F.when(some, F.sha2(group_text(), 256)).otherwise("").alias("groups_sha256"), links().alias("links")),
+        aligned.select(F.monotonically_increasing_id().alias("row"), "doc_id", size("a_ends").alias("n_a"), size("b_ends").alias("n_b"), size("cuts").alias("n_groups"), F.when(some, F.sha2(group_text(), 256)).otherwise("").alias("groups_sha256"), links().alias("links")),
         "aligned",
     )
     pairs = stash(pair_counts(rows), "pairs")
