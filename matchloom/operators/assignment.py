@@ -1,7 +1,6 @@
-"""The linear sum assignment problem.
+"""The linear sum assignment problem: a certificate on grouped maxima, and shortest augmenting paths over all pairs or over few.
 
-A certificate on windows, a shortest-augmenting-path solver in numpy for batches that one task can hold, and for larger
-ones the same paths over few pairs with a check of the prices against all pairs.
+Batches that no task can hold are in ``large``.
 """
 
 from __future__ import annotations
@@ -13,12 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.store import stash, unstash
-
-#: Pairs of each row of a large batch that the solver starts from, and that each check may add.
-STARTING, ADDED = 16, 8
-#: How far a pair may lie above its prices: what rounding leaves.
-SLACK = 1e-9
+from ..sources.store import stash
 
 
 def shapes(scores: DataFrame) -> DataFrame:
@@ -147,51 +141,3 @@ def sparse_assignment(n: int, m: int, edges: list[list[tuple[int, float]]], with
             if i == start:
                 break
     return col_of.tolist(), u, v[:m]
-
-
-def _solve_sparse(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs (batch_id, r, c, score, _r, _c: rows and columns of the batch) to prices and columns: (batch_id, kind, idx, c, score, price)."""
-    n, m = int(frame["_r"].iloc[0]), int(frame["_c"].iloc[0])
-    edges: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-    known: dict[tuple[int, int], float] = {}
-    for r, c, s in zip(frame["r"].tolist(), frame["c"].tolist(), frame["score"].tolist(), strict=True):
-        value = s if np.isfinite(s) else 0.0
-        edges[r].append((c, -value))
-        known[r, c] = s
-    bound = max((abs(c) for e in edges for _, c in e), default=0.0) + 1.0
-    col, u, v = sparse_assignment(n, m, edges, 2.0 * (n + 1) * bound)
-    rows = [(0, r, c if c < m else None, known.get((r, c)), u[r]) for r, c in enumerate(col)]
-    rows += [(1, int(c), None, None, v[c]) for c in np.flatnonzero(v)]
-    kind, idx, c, score, price = zip(*rows, strict=True)
-    return pd.DataFrame({"batch_id": frame["batch_id"].iloc[0], "kind": kind, "idx": idx, "c": pd.array(c, "Int64"), "score": pd.array(score, "Float64"), "price": price})
-
-
-def assign_large(scores: DataFrame, sizes: DataFrame, starting: int = STARTING) -> DataFrame:
-    """The best assignment of batches whose matrix no task can hold; ``sizes``: batch_id, _n, _m.
-
-    A task only holds some pairs of each row. What it finds comes with prices, which prove it best if no pair at all lies
-    above those of its row and column; pairs that do are added, and it is solved again.
-    """
-    shape = stash(sizes.select("batch_id", (F.col("_n") > F.col("_m")).alias("_flip"), F.least("_n", "_m").alias("_r"), F.greatest("_n", "_m").alias("_c")), "shape")
-    turned = lambda a, b: F.when(F.col("_flip"), F.col(a)).otherwise(F.col(b))
-    pairs = stash(scores.join(shape, "batch_id").select("batch_id", turned("ledger_idx", "invoice_idx").alias("r"), turned("invoice_idx", "ledger_idx").alias("c"), "score", F.when(F.isnan("score"), 0.0).otherwise(F.col("score")).alias("value")), "pairs")
-
-    def first(df: DataFrame, by: str, k: int) -> DataFrame:
-        return df.withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY batch_id, r ORDER BY {by} DESC, c)")).where(F.col("_k") <= k).select("batch_id", "r", "c", "score")
-
-    edges = stash(first(pairs, "value", starting), "edges")
-    while True:
-        fields = "batch_id long, kind int, idx long, c long, score double, price double"
-        solved = stash(edges.join(shape.select("batch_id", "_r", "_c"), "batch_id").groupBy("batch_id").applyInPandas(_solve_sparse, fields), "solved")
-        rows = solved.where("kind = 0").select("batch_id", F.col("idx").alias("r"), F.col("price").alias("u"))
-        columns = solved.where("kind = 1").select("batch_id", F.col("idx").alias("c"), F.col("price").alias("v"))
-        over = pairs.join(rows, ["batch_id", "r"]).join(columns, ["batch_id", "c"], "left").withColumn("_over", F.col("value") + F.col("u") + F.coalesce("v", F.lit(0.0))).where(F.col("_over") > SLACK)
-        more = stash(first(over.join(edges.select("batch_id", "r", "c"), ["batch_id", "r", "c"], "left_anti"), "_over", ADDED), "edges")
-        if more.isEmpty():
-            break
-        grown = stash(edges.unionByName(more), "edges")
-        unstash(edges, more, solved)
-        edges = grown
-    unstash(edges, more, pairs)
-    found = solved.where("kind = 0 AND c IS NOT NULL").join(shape, "batch_id")
-    return found.select("batch_id", turned("c", "idx").alias("invoice_idx"), turned("idx", "c").alias("ledger_idx"), "score")

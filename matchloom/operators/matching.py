@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import parsing, similarity, text
 from ..plans.config import DEFAULT, STATUSES, MatchConfig
 from ..plans.schema import ASSIGNED
-from .assignment import assign_large, shapes, solve
+from .assignment import shapes, solve
+from .large import PairIndex, PairTable, assign_large
 
 
 def normalize_invoices(raw: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
@@ -135,7 +136,25 @@ def assign(scores: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame |
             yield solve(pd.concat(held))
 
     out = dense.repartition("batch_id").sortWithinPartitions("batch_id", "invoice_idx", "ledger_idx").mapInPandas(run, ASSIGNED)
-    return out.unionByName(assign_large(scores.join(large.select("batch_id"), "batch_id", "left_semi"), large)) if has_large else out
+    return out.unionByName(assign_large(PairTable(scores.join(large.select("batch_id"), "batch_id", "left_semi"), large))) if has_large else out
+
+
+def assign_rows(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame | None = None) -> DataFrame:
+    """``assign`` from the rows themselves: only the pairs of batches within ``dense_pairs`` are all scored."""
+    sizes = batch_sizes(invoices, ledger) if sizes is None else sizes
+    large = sizes.where(F.col("_pairs") > config.dense_pairs)
+    if large.isEmpty():
+        return assign(score_pairs(invoices, ledger, config, sizes=sizes), config, sizes)
+    kept = sizes.where(F.col("_pairs") <= config.dense_pairs)
+    i, e = (df.join(kept.select("batch_id"), "batch_id", "left_semi") for df in (invoices, ledger))
+    return assign(score_pairs(i, e, config, sizes=kept), config, kept).unionByName(assign_large(index_of(invoices, ledger, large, config)))
+
+
+def index_of(invoices: DataFrame, ledger: DataFrame, sizes: DataFrame, config: MatchConfig = DEFAULT) -> PairIndex:
+    """The pairs of the batches of ``sizes``, to be found by days and amounts."""
+    fields = lambda df, own, idx: df if config.extra_metrics else df.select("batch_id", idx, *own)
+    rows = (fields(invoices, INVOICE_FIELDS, "invoice_idx"), fields(ledger, LEDGER_FIELDS, "ledger_idx"))
+    return PairIndex(*(df.join(sizes.select("batch_id"), "batch_id", "left_semi") for df in rows), sizes, config)
 
 
 def match_details(assigned: DataFrame, invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:

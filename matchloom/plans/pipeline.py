@@ -26,7 +26,7 @@ def match(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT)
     """Results of every batch of raw invoices and ledger rows (batch_id, ordinal and the raw fields)."""
     i, e = prepare(invoices, ledger, config)
     sizes = stash(matching.batch_sizes(i, e), "sizes")
-    assigned = matching.assign(matching.score_pairs(i, e, config, sizes=sizes), config, sizes)
+    assigned = matching.assign_rows(i, e, config, sizes)
     return matching.match_details(assigned, i, e, config)
 
 

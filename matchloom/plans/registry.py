@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing, similarity, text
-from ..operators import assignment, extraction, matching
+from ..operators import assignment, extraction, large, matching
 from ..sources import connectors, store
 from . import oracles as q
 from . import pipeline, synthetic
@@ -165,9 +165,17 @@ def assign_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(_TOTALS)
 def assign_totals_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every batch solved as those are that no task can hold, from two pairs of each row on."""
+    """Every batch solved as those are that no task can hold, out of a table of all pairs."""
     i, e = _prepared(spark, sf_dir)
-    assigned = assignment.assign_large(matching.score_pairs(i, e), matching.batch_sizes(i, e), 2)
+    assigned = large.assign_large(large.PairTable(matching.score_pairs(i, e), matching.batch_sizes(i, e)))
+    return assigned.groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
+
+
+@registered(_TOTALS)
+def assign_totals_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without that table: pairs are found where they can beat their prices."""
+    i, e = _prepared(spark, sf_dir)
+    assigned = large.assign_large(matching.index_of(i, e, matching.batch_sizes(i, e)))
     return assigned.groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
 
 

@@ -114,20 +114,6 @@ def test_few_pairs_are_solved_as_all(monkeypatch):
     assert sorted(c < 2 for c in col) == [False, True] and col[0] == 0
 
 
-def test_batches_beyond_the_bound(spark):
-    r = np.random.default_rng(7)
-    # a conflict, a wide, a tall, one with ties, and one whose rows all want the same columns
-    shapes = [np.array([[1, 0.9], [0.9, 0]]), r.random((9, 14)), r.random((14, 9)), r.integers(0, 3, (8, 8)) / 2.0, np.tile(r.random(10), (10, 1)) + r.random((10, 10)) / 100]
-    rows = [x for k, s in enumerate(shapes) for x in frame_of(s, k)]
-    scores = spark.createDataFrame(rows, matching.ASSIGNED)
-    wanted = assignment.solve(pd.DataFrame(rows, columns=["batch_id", "invoice_idx", "ledger_idx", "score"])).groupby("batch_id")["score"].sum()
-    for got in (matching.assign(scores, MatchConfig(dense_pairs=3)), matching.assign(scores, MatchConfig(dense_pairs=100)), assignment.assign_large(scores, assignment.shapes(scores), 1)):
-        found = got.toPandas()
-        assert not found.duplicated(["batch_id", "invoice_idx"]).any() and not found.duplicated(["batch_id", "ledger_idx"]).any()
-        assert len(found) == sum(min(s.shape) for s in shapes)
-        assert found.groupby("batch_id")["score"].sum().to_dict() == pytest.approx(wanted.to_dict())
-
-
 def test_large_batches_are_dealt(spark):
     i, e = pipeline.prepare(connectors.mock_invoices(spark), connectors.mock_ledger(spark))
     whole = {tuple(r) for r in matching.score_pairs(i, e).collect()}
