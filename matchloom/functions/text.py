@@ -18,7 +18,7 @@ def stripped(c: Column) -> Column:
 def normalize_string(c: Column) -> Column:
     """Lower case, letters a-z, digits and single blanks; null becomes empty."""
     kept = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^a-z0-9\s]", "")
-    return stripped(F.regexp_replace(kept, BLANKS, " "))
+    return F.trim(F.regexp_replace(kept, BLANKS, " "))
 
 
 def normalize_reference(c: Column) -> Column:

@@ -90,14 +90,14 @@ def solve(frame: pd.DataFrame) -> pd.DataFrame:
         flip = n > m
         t = s.T if flip else s
         col = t.argmax(axis=1)
-        if len(np.unique(col)) < len(col):
+        if len(set(col.tolist())) < len(col):
             finite = np.where(np.isfinite(t), t, 0.0)  # a score that is not a number can't be preferred
             col = assignment(1.0 - finite)[0]
         rows = np.arange(len(col))
         i, j = (col, rows) if flip else (rows, col)
         order = np.argsort(i)
-        out.append(pd.DataFrame({"batch_id": batch[a], "invoice_idx": i[order], "ledger_idx": j[order], "score": s[i[order], j[order]]}))
-    return pd.concat(out).astype({"batch_id": "int64", "invoice_idx": "int64", "ledger_idx": "int64"})
+        out.append((np.full(len(i), batch[a]), i[order], j[order], s[i[order], j[order]]))
+    return pd.DataFrame(dict(zip(("batch_id", "invoice_idx", "ledger_idx", "score"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))).astype({"batch_id": "int64", "invoice_idx": "int64", "ledger_idx": "int64"})
 
 
 def sparse_assignment(n: int, m: int, edges: list[list[tuple[int, float]]], without: float) -> tuple[list[int], np.ndarray, np.ndarray]:

@@ -45,32 +45,36 @@ def normalize_ledger(raw: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame
 def filter_candidates(invoices: DataFrame, ledger: DataFrame, max_days: int = DEFAULT.max_days) -> DataFrame:
     """Ledger rows with a date within max_days of any invoice of their batch, or without a date, or where no invoice has one.
 
-    The range condition becomes an equality: days are dealt into bins one day wider than max_days. Rows of one bin are
-    always near enough, and of the bins beside it only the earliest or latest day matters, so that the side that is
-    searched has three rows a bin however many invoices it holds.
+    Days are dealt into bins one day wider than max_days: what is near enough to some day of a bin lies between its first
+    and its last day, widened. So a batch's invoices shrink to one span for each bin that holds any, and the ledger is
+    read once.
     """
-    wide = max_days + 1
     day = F.datediff(F.col("parsed_date"), F.lit("1970-01-01").cast("date"))
-    spans = (
-        invoices.where(F.col("parsed_date").isNotNull())
-        .groupBy("batch_id", F.floor(day / wide).alias("bin"))
-        .agg(F.min(day).alias("first"), F.max(day).alias("last"))
-        .select("batch_id", F.explode(F.expr("array(named_struct('bin', bin - 1, 'a', first), named_struct('bin', bin, 'a', first), named_struct('bin', bin + 1, 'a', first))")).alias("s"), "first", "last")
-        .select(F.col("batch_id").alias("_batch"), F.col("s.bin").alias("_bin"), (F.col("first") - max_days).alias("_from"), (F.col("last") + max_days).alias("_to"))
-    )
-    dated = invoices.where(F.col("parsed_date").isNotNull()).select(F.col("batch_id").alias("_batch")).distinct()
-    rows = ledger.withColumn("_day", day)
-    near = rows.where(F.col("_day").isNotNull()).join(
-        spans, (F.col("batch_id") == F.col("_batch")) & (F.floor(F.col("_day") / wide) == F.col("_bin")) & F.col("_day").between(F.col("_from"), F.col("_to")), "left_semi"
-    )
-    undated = rows.where(F.col("_day").isNull())
-    free = rows.where(F.col("_day").isNotNull()).join(dated, F.col("batch_id") == F.col("_batch"), "left_anti")
-    return near.unionByName(undated).unionByName(free).drop("_day")
+    bins = invoices.where(F.col("parsed_date").isNotNull()).groupBy("batch_id", F.floor(day / (max_days + 1)).alias("bin")).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    spans = bins.groupBy("batch_id").agg(F.collect_list(F.struct((F.col("first") - max_days).alias("a"), (F.col("last") + max_days).alias("b"))).alias("_spans"))
+    rows = ledger.join(spans, "batch_id", "left")
+    near = F.exists("_spans", lambda s: (s["a"] <= day) & (day <= s["b"]))
+    return rows.where(day.isNull() | F.col("_spans").isNull() | near).select(*ledger.columns)
+
+
+#: Ordinals of a batch that are numbered by one task, as a power of two.
+NUMBERED = 20
 
 
 def number_rows(rows: DataFrame, name: str) -> DataFrame:
-    """Dense positions in each batch, by ordinal."""
-    return rows.withColumn(name, (F.row_number().over(Window.partitionBy("batch_id").orderBy("ordinal")) - 1).cast("long"))
+    """Dense positions in each batch, by ordinal.
+
+    A batch is cut by its ordinals, so that one of any size is numbered by many tasks: rows in a cut are numbered from
+    zero, and begin where the counts of the cuts before it end.
+    """
+    (cut, at, before) = ("_cut", "_at", "_before")
+    rows = rows.withColumn(cut, F.shiftright("ordinal", NUMBERED))
+    sizes = rows.groupBy("batch_id", cut).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy("batch_id").orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn(before, F.sum("_n").over(ahead)).where(F.col(before).isNotNull()).select("batch_id", cut, before)
+    placed = rows.withColumn(at, F.row_number().over(Window.partitionBy("batch_id", cut).orderBy("ordinal")) - 1)
+    out = placed.join(offsets, ["batch_id", cut], "left").withColumn(name, (F.col(at) + F.coalesce(before, F.lit(0))).cast("long"))
+    return out.select(*(c for c in out.columns if c not in (cut, at, before)))
 
 
 #: Columns that a pair's score reads.
@@ -111,14 +115,19 @@ def batch_sizes(invoices: DataFrame, ledger: DataFrame) -> DataFrame:
 def assign(scores: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame | None = None) -> DataFrame:
     """The one-to-one assignment of greatest total score in each batch.
 
-    Batches stream through one pass, sorted, and are solved one at a time; a batch is dense in memory only up to
-    ``dense_pairs``. A larger one never reaches a task whole (``assign_large``). ``sizes`` (of ``batch_sizes``) spares
-    counting the pairs.
+    A batch is dense in memory only up to ``dense_pairs``; a larger one never reaches a task whole (``large``). ``sizes``
+    (of ``batch_sizes``) spares counting the pairs.
     """
     sized = shapes(scores).withColumn("_pairs", F.col("_n") * F.col("_m")) if sizes is None else sizes
     large = sized.where(F.col("_pairs") > config.dense_pairs)
-    has_large = not large.isEmpty()
-    dense = scores.join(large.select("batch_id"), "batch_id", "left_anti") if has_large else scores
+    if large.isEmpty():
+        return assign_dense(scores)
+    rest = scores.join(large.select("batch_id"), "batch_id", "left_anti")
+    return assign_dense(rest).unionByName(assign_large(PairTable(scores.join(large.select("batch_id"), "batch_id", "left_semi"), large)))
+
+
+def assign_dense(scores: DataFrame) -> DataFrame:
+    """``assign`` for batches that a task can hold: they stream through sorted partitions and are solved one at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -135,19 +144,18 @@ def assign(scores: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame |
         if held:
             yield solve(pd.concat(held))
 
-    out = dense.repartition("batch_id").sortWithinPartitions("batch_id", "invoice_idx", "ledger_idx").mapInPandas(run, ASSIGNED)
-    return out.unionByName(assign_large(PairTable(scores.join(large.select("batch_id"), "batch_id", "left_semi"), large))) if has_large else out
+    return scores.repartition("batch_id").sortWithinPartitions("batch_id", "invoice_idx", "ledger_idx").mapInPandas(run, ASSIGNED)
 
 
-def assign_rows(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, sizes: DataFrame | None = None) -> DataFrame:
+def assign_rows(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
     """``assign`` from the rows themselves: only the pairs of batches within ``dense_pairs`` are all scored."""
-    sizes = batch_sizes(invoices, ledger) if sizes is None else sizes
-    large = sizes.where(F.col("_pairs") > config.dense_pairs)
-    if large.isEmpty():
-        return assign(score_pairs(invoices, ledger, config, sizes=sizes), config, sizes)
-    kept = sizes.where(F.col("_pairs") <= config.dense_pairs)
+    sizes = batch_sizes(invoices, ledger)
+    most = sizes.agg(F.max("_pairs")).first()[0] or 0
+    if most <= config.dense_pairs:
+        return assign_dense(score_pairs(invoices, ledger, config, sizes=sizes if most > config.task_pairs else None))
+    large, kept = sizes.where(F.col("_pairs") > config.dense_pairs), sizes.where(F.col("_pairs") <= config.dense_pairs)
     i, e = (df.join(kept.select("batch_id"), "batch_id", "left_semi") for df in (invoices, ledger))
-    return assign(score_pairs(i, e, config, sizes=kept), config, kept).unionByName(assign_large(index_of(invoices, ledger, large, config)))
+    return assign_dense(score_pairs(i, e, config, sizes=kept)).unionByName(assign_large(index_of(invoices, ledger, large, config)))
 
 
 def index_of(invoices: DataFrame, ledger: DataFrame, sizes: DataFrame, config: MatchConfig = DEFAULT) -> PairIndex:

@@ -9,24 +9,25 @@ from pyspark.sql import functions as F
 
 from ..operators import extraction, matching
 from ..sources import connectors
-from ..sources.store import stash, unstash
+from ..sources.store import stash
 from .config import DEFAULT, MatchConfig
 
 
+def candidates(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
+    """Normalized ledger rows that the date filter of normalized invoices keeps, with their positions among those."""
+    return matching.number_rows(matching.filter_candidates(invoices, matching.normalize_ledger(ledger, config), config.max_days), "ledger_idx")
+
+
 def prepare(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Normalized rows with their positions, written once; the ledger's count only what the date filter kept."""
+    """Normalized invoices and candidates with their positions, written once, since scores and details both read them."""
     i = stash(matching.number_rows(matching.normalize_invoices(invoices, config), "invoice_idx"), "invoices")
-    rows = stash(matching.normalize_ledger(ledger, config), "ledger")
-    e = stash(matching.number_rows(matching.filter_candidates(i, rows, config.max_days), "ledger_idx"), "candidates")
-    unstash(rows)
-    return i, e
+    return i, stash(candidates(i, ledger, config), "candidates")
 
 
 def match(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
     """Results of every batch of raw invoices and ledger rows (batch_id, ordinal and the raw fields)."""
     i, e = prepare(invoices, ledger, config)
-    sizes = stash(matching.batch_sizes(i, e), "sizes")
-    assigned = matching.assign_rows(i, e, config, sizes)
+    assigned = matching.assign_rows(i, e, config)
     return matching.match_details(assigned, i, e, config)
 
 
@@ -41,8 +42,8 @@ def invoices_of_blocks(blocks: DataFrame, config: MatchConfig = DEFAULT, batch_i
     found = extraction.extract_invoices(extraction.reading_order(blocks, config), config)
     bad = found.where(F.col("_error").isNotNull()).select("doc_id", "_error")
     good = found.where(F.col("_error").isNull())
-    # documents are numbered by name, which no engine has to collect
-    numbered = good.withColumn("batch_id", F.lit(batch_id).cast("long")).withColumn("ordinal", F.expr("row_number() OVER (PARTITION BY batch_id ORDER BY doc_id) - 1").cast("long"))
+    # documents are ordered by name over all tasks; an ordinal has to grow, but may leave gaps
+    numbered = good.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumns({"batch_id": F.lit(batch_id).cast("long"), "ordinal": F.monotonically_increasing_id()})
     return numbered.withColumnRenamed("doc_id", "_source_image").drop("_error"), bad if failed is None else failed.unionByName(bad)
 
 

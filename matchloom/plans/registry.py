@@ -126,13 +126,15 @@ def sim_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(f"WITH {q.NORMALIZED} SELECT batch_id, ordinal, ledger_idx, CAST(d AS STRING) AS parsed_date FROM led")
 def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _prepared(spark, sf_dir)[1].select("batch_id", "ordinal", "ledger_idx", F.col("parsed_date").cast("string").alias("parsed_date"))
+    i, e = _raw(spark, sf_dir)
+    return pipeline.candidates(matching.normalize_invoices(i), e).select("batch_id", "ordinal", "ledger_idx", F.col("parsed_date").cast("string").alias("parsed_date"))
 
 
 @registered(f"WITH {q.NORMALIZED} SELECT (SELECT count(*) FROM led_all) AS n_in, (SELECT count(*) FROM led) AS n_kept, (SELECT count(*) FROM led_all) - (SELECT count(*) FROM led) AS n_removed")
 def removed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _prepared(spark, sf_dir)[1].agg(F.count("*").alias("n_kept"))
-    whole = _raw(spark, sf_dir)[1].agg(F.count("*").alias("n_in"))
+    i, e = _raw(spark, sf_dir)
+    kept = matching.filter_candidates(matching.normalize_invoices(i), matching.normalize_ledger(e)).agg(F.count("*").alias("n_kept"))
+    whole = e.agg(F.count("*").alias("n_in"))
     one = whole.withColumn("k", F.lit(0)).join(kept.withColumn("k", F.lit(0)), "k")
     return one.select("n_in", "n_kept", (F.col("n_in") - F.col("n_kept")).alias("n_removed"))
 
@@ -159,7 +161,7 @@ _TOTALS = f"WITH RECURSIVE {q.ASSIGNED} SELECT batch_id, count(*) AS n_pairs, ro
 @registered(_TOTALS)
 def assign_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, e = _prepared(spark, sf_dir)
-    assigned = matching.assign(matching.score_pairs(i, e), sizes=matching.batch_sizes(i, e))
+    assigned = matching.assign_rows(i, e)
     return assigned.groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
 
 
