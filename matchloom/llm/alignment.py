@@ -1,9 +1,9 @@
 """Cross-tokenizer alignment: where the tokens of two vocabularies end at the same byte of a text.
 
 Both tokenizers run over a blank and the text (the second adds that blank itself) and give the bytes at which the tokens
-end, and each end once more with its token's id in the lower bits; all else is done by Spark's array functions. Ends that
-both have (``array_intersect``) cut the text: marks at the cuts are sorted in among the tokens of a side, and the tokens
-between two marks are a group, so that no step searches an array for each token. The two tokens that end at a cut are
+end, above a mark in the lower bits, and again above the token's id; all else is done by Spark's array functions. Ends that
+both have (``array_intersect``) cut the text: their marks are sorted in among the tokens of a side, and the tokens between
+two marks are a group, so that no step searches an array for each token. The two tokens that end at a cut are
 linked. Links are counted by pair over all texts; a text's links look their counts up again: pairs that hold more than a
 2^17th of all links (so at most 2^17 of them) by broadcast, all others by a merge join, before sums of each text leave
 the task.
@@ -35,7 +35,7 @@ HOT_PAIRS = 1 << 17
 ID_BITS = 20
 MARK = (1 << ID_BITS) - 1
 
-TOKENS = "doc_id long, a_ends array<int>, a array<long>, b_ends array<int>, b array<long>"
+TOKENS = "doc_id long, a_ends array<long>, a array<long>, b_ends array<long>, b array<long>"
 
 
 class Lexicon:
@@ -81,7 +81,7 @@ def aligned_ids(texts: list[str], path_a: str, path_b: str) -> tuple[list[tuple[
 
 
 def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """The bytes (of a blank and the text) at which the tokens of both sides end, alone and above the ids: the one step in Python."""
+    """The bytes (of a blank and the text) at which the tokens of both sides end, above marks and above ids: the one step in Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,7 @@ def tokenized(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 lists = []
                 for ids, ends, counts in found:
                     offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-                    lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ends.astype(np.int32), ends << ID_BITS | ids)]
+                    lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ends << ID_BITS | MARK, ends << ID_BITS | ids)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *lists], names=["doc_id", "a_ends", "a", "b_ends", "b"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), TOKENS)
@@ -105,15 +105,13 @@ def held(df: DataFrame, **columns: F.Column) -> DataFrame:
 
 def groups(side: str) -> F.Column:
     """The ids of a side's tokens between each two cuts, as text with commas."""
-    marks = F.transform("cuts", lambda c: F.shiftleft(c.cast("long"), ID_BITS) + MARK)
-    union = F.sort_array(F.concat(side, marks))
-    low = lambda v: v.bitwiseAND(F.lit(MARK).cast("long"))
-    text = F.array_join(F.transform(union, lambda v: F.when(low(v) == MARK, ";").otherwise(low(v).cast("string"))), ",")
-    return F.slice(F.split(F.replace(text, F.lit(",;"), F.lit(";")), ";,?"), F.lit(1), F.size("cuts"))
+    ids = F.transform(F.sort_array(F.concat(side, "cuts")), lambda v: v.bitwiseAND(F.lit(MARK).cast("long")).cast("string"))
+    text = F.replace(F.array_join(ids, ","), F.lit(f",{MARK}"), F.lit(";"))
+    return F.slice(F.split(F.replace(text, F.lit(";,"), F.lit(";")), ";"), F.lit(1), F.size("cuts"))
 
 
 def align(tokens: DataFrame) -> DataFrame:
-    """tokens with ``cuts`` (bytes at which both sides end a token) and ``a_groups`` and ``b_groups`` (the ids of either side up to there)."""
+    """tokens with ``cuts`` (marks of the bytes at which both sides end a token) and ``a_groups`` and ``b_groups`` (the ids of either side up to there)."""
     cut = held(tokens, cuts=F.array_intersect("a_ends", "b_ends"))
     return held(cut, a_groups=groups("a"), b_groups=groups("b"))
 
