@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from .plans import pipeline
 from .sources import connectors
+from .sources.datasources import indented
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -31,10 +32,13 @@ def show(results, output: str | None = None) -> None:
     for line in connectors.console_table(results):
         print(line)
     print("\nDetailed JSON output:")
-    for r in connectors.summary_json(results.orderBy("batch_id", "invoice_idx")).toLocalIterator():
-        print(r["value"])
+    k = 0
+    for k, r in enumerate(connectors.summary_json(results.orderBy("batch_id", "invoice_idx")).toLocalIterator(), 1):
+        print(("[" if k == 1 else ",") + f"\n  {indented(r['value'])}", end="")
+    print("\n]" if k else "[]")
     if output:
         connectors.write_results(results.orderBy("batch_id", "invoice_idx"), output)
+        connectors.log.info("full results written to %s", output)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -62,10 +66,13 @@ def main(argv: list[str] | None = None) -> int:
         results, failed = pipeline.match_images(spark, there, connectors.read_ledger(spark, args.ledger), getattr(importlib.import_module(module), name))
         for r in failed.toLocalIterator():
             log.error("%s: %s", r["doc_id"], r["_error"])
+        results = pipeline.finished(results)
         if results.isEmpty():
             log.error("no invoice could be extracted")
             return 1
-    show(results, args.output)
+        show(results, args.output)
+        return 0
+    show(pipeline.finished(results), args.output)
     return 0
 
 

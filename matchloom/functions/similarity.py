@@ -64,7 +64,10 @@ def jaro_values(a: pd.Series, b: pd.Series) -> np.ndarray:
 
 @F.pandas_udf(DoubleType())
 def _jaro(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series(jaro_values(a, b))
+    """Each distinct pair of a batch once: vendors are few, and of a batch's pairs most come again."""
+    (x, left), (y, right) = (pd.factorize(s) for s in (a, b))
+    pairs, which = np.unique(x * len(right) + y, return_inverse=True)
+    return pd.Series(jaro_values(pd.Series(left[pairs // len(right)]), pd.Series(right[pairs % len(right)]))[which]) if len(a) else pd.Series(dtype="float64")
 
 
 def jaro_similarity(a: Column, b: Column) -> Column:

@@ -189,7 +189,12 @@ def match_details(assigned: DataFrame, invoices: DataFrame, ledger: DataFrame, c
     )
 
 
+def by_status() -> list[F.Column]:
+    """How many rows have each status."""
+    return [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+
+
 def status_summary(results: DataFrame) -> DataFrame:
     """Rows of each status, those without any included."""
-    counts = results.agg(*(F.count_if(F.col("status") == s).alias(s) for s in STATUSES))
+    counts = results.agg(*by_status())
     return counts.select(F.explode(F.array(*(F.struct(F.lit(s).alias("status"), F.col(s).alias("n")) for s in STATUSES))).alias("x")).select("x.status", "x.n")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction, matching
 from ..sources import connectors
 from ..sources.store import stash
-from .config import DEFAULT, MatchConfig
+from .config import DEFAULT, STATUSES, MatchConfig
+
+log = logging.getLogger("matchloom")
 
 
 def candidates(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:
@@ -18,10 +22,35 @@ def candidates(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEF
     return matching.number_rows(matching.filter_candidates(invoices, matching.normalize_ledger(ledger, config), config.max_days), "ledger_idx")
 
 
+def counted(seen: Observation, name: str) -> int:
+    """What a write has counted. A plan that the optimizer knows to be empty has no such count."""
+    try:
+        return seen.get.get(name, 0)
+    except Py4JError:
+        return 0
+
+
 def prepare(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """Normalized invoices and candidates with their positions, written once, since scores and details both read them."""
-    i = stash(matching.number_rows(matching.normalize_invoices(invoices, config), "invoice_idx"), "invoices")
-    return i, stash(candidates(i, ledger, config), "candidates")
+    """Normalized invoices and candidates with their positions, written once, since scores and details both read them.
+
+    The writes count their rows as they go.
+    """
+    n, m, kept = (Observation() for _ in range(3))
+    count = F.count("*").alias("n")
+    i = stash(matching.number_rows(matching.normalize_invoices(invoices, config), "invoice_idx").observe(n, count), "invoices")
+    log.info("preprocessed %d invoices", counted(n, "n"))
+    near = matching.filter_candidates(i, matching.normalize_ledger(ledger, config).observe(m, count), config.max_days)
+    e = stash(matching.number_rows(near, "ledger_idx").observe(kept, count), "candidates")
+    log.info("preprocessed %d ledger rows; the date window of %d days removed %d", counted(m, "n"), config.max_days, counted(m, "n") - counted(kept, "n"))
+    return i, e
+
+
+def finished(results: DataFrame) -> DataFrame:
+    """Results, written once; their statuses are counted on the way and logged."""
+    seen = Observation()
+    out = stash(results.observe(seen, *matching.by_status()), "results")
+    log.info("classification: %s", ", ".join(f"{s}={counted(seen, s)}" for s in STATUSES))
+    return out
 
 
 def match(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import parsing, similarity, text
+from ..functions import parsing, similarity, sql, text
 from ..operators import assignment, extraction, large, matching
 from ..sources import connectors, store
 from . import oracles as q
@@ -181,6 +181,17 @@ def assign_totals_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
 
 
+@registered(_TOTALS)
+def assign_totals_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL text, by the assignment as a table function."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT batch_id, count(*) AS n_pairs, round(sum(score), 6) AS total
+        FROM assign_batch(TABLE(SELECT batch_id, invoice_idx, ledger_idx, score FROM {scores}) PARTITION BY batch_id ORDER BY (invoice_idx, ledger_idx)) GROUP BY batch_id""",
+        scores=_scores(spark, sf_dir),
+    )
+
+
 def _flat(matched: DataFrame) -> DataFrame:
     return matched.select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status", "detail.*")
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import json
 import logging
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import BLOCKS, INVOICE, LEDGER
+from .datasources import register
 
 log = logging.getLogger("matchloom")
 
@@ -78,6 +77,19 @@ def read_images(spark: SparkSession, paths: list[str], make_ocr: Callable[[], Oc
     return blocks_of_images(spark.read.format("binaryFile").load(paths).select("path", "content").repartition(max(1, len(paths))), make_ocr)
 
 
+def blocks_of(path: str, content: Callable[[], bytes], ocr: Ocr) -> list[tuple]:
+    """Rows of one image's blocks, or the one that tells why there are none."""
+    try:
+        out = []
+        for pos, item in enumerate(unnested(ocr(content()))):
+            if item is not None:
+                box, (text, confidence) = item
+                out.append((path, pos, text, [[float(v) for v in corner] for corner in box], float(confidence), None))
+        return out
+    except Exception as e:  # one bad image must not end the run
+        return [(path, -1, None, None, None, f"{type(e).__name__}: {e}")]
+
+
 def blocks_of_images(files: DataFrame, make_ocr: Callable[[], Ocr]) -> DataFrame:
     """Blocks of images (path, content); one that can't be read gives a row with _error instead, and the others go on.
 
@@ -87,15 +99,7 @@ def blocks_of_images(files: DataFrame, make_ocr: Callable[[], Ocr]) -> DataFrame
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ocr = make_ocr()
         for frame in frames:
-            out = []
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                try:
-                    for pos, item in enumerate(unnested(ocr(bytes(content)))):
-                        if item is not None:
-                            box, (text, confidence) = item
-                            out.append((path, pos, text, [[float(v) for v in corner] for corner in box], float(confidence), None))
-                except Exception as e:  # one bad image must not end the run
-                    out.append((path, -1, None, None, None, f"{type(e).__name__}: {e}"))
+            out = [row for path, content in zip(frame["path"], frame["content"], strict=True) for row in blocks_of(path, lambda content=content: bytes(content), ocr)]
             yield pd.DataFrame(out, columns=["doc_id", "pos", "text", "bbox", "confidence", "_error"])
 
     return files.mapInPandas(run, f"{BLOCKS}, _error string")
@@ -112,13 +116,10 @@ def write_result_lines(results: DataFrame, path: str) -> None:
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """All fields of all results as one JSON array; rows stream through, sorted."""
-    rows = results.drop("batch_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")) if "batch_id" in results.columns else results
-    with Path(path).open("w") as out:
-        out.write("[")
-        for k, r in enumerate(rows.toLocalIterator()):
-            out.write(("," if k else "") + "\n  " + json.dumps(json.loads(r["value"]), indent=2).replace("\n", "\n  "))
-        out.write("\n]")
+    """All fields of all results, in their order, as one JSON array that tasks write."""
+    rows = results.drop("batch_id").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    register(results.sparkSession)
+    rows.write.format("json_array").mode("overwrite").save(path)
 
 
 def four_places(c: Column) -> Column:
