@@ -6,8 +6,8 @@ by doubling. Ranks in the Burrows-Wheeler transform come from a wavelet matrix.
 backward at once; occurrences are located by walking to sampled suffix positions; their word spans are merged for each
 document.
 
-The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text, one pass for each block, so that what is sent is
-bounded however large it grows.
+The benchmark is broadcast in blocks of at most ``BLOCK_BYTES`` of text (an item is never split), fetched and searched one
+after another, so that neither the driver nor a task holds more than one, however large it grows.
 
 Defined results: null or wordless texts have no words and no hits; an item of fewer than ten words is one window; items
 without words have none; a null item_id is named by the empty string, and rows that share an item_id are one item;
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import fresh, lower_table, map_rows, own, slices, utf8
+from .common import fresh, lower_table, map_rows, own, slices, stash, trimmed, utf8
 
 WINDOW = 10
 SHARD_BYTES = 2 << 20
@@ -215,14 +215,13 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def blocks_of(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of bounded text."""
+def blocks_of(benchmark: DataFrame) -> tuple[int, Iterator[list[tuple[object, str | None]]]]:
+    """How many blocks of bounded text the items make, and the blocks, each fetched when its turn comes."""
     rows = benchmark.select("item_id", "text")
     total = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     n = int(total // BLOCK_BYTES) + 1
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+    parts = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n))
+    return n, ([tuple(r) for r in part.collect()] for part in parts)
 
 
 ADDED = ("n_words", "spans", "items")
@@ -236,32 +235,75 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, added: tuple[str, ...]
     """
     base = docs.select(*own(docs, *added))
     with_added = StructType([*base.schema.fields, *(StructField(n, t) for n, t in zip(added, KINDS, strict=True))])
-    out, parts = base, list(blocks_of(benchmark))
-    for k, block in enumerate(parts):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_BYTES at most, and one item at least
-        end = finish if k == len(parts) - 1 else None
+    n, blocks = blocks_of(benchmark)
+    if n > 1:
+        return in_blocks(base, blocks, added, finish, with_added)
+    shared = docs.sparkSession.sparkContext.broadcast(next(blocks))  # BLOCK_BYTES at most, and one item at least
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, more=k > 0, end=end) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = Windows(shared.value)
+        for batch in batches:
+            found = search_batch(batch, w)
+            columns, labels = list(batch.columns), list(batch.schema.names)
+            if finish is not None:
+                yield pa.RecordBatch.from_arrays(finish(columns, labels, [x[1] for x in found]), names=labels)
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, *as_columns(found)], names=[*labels, *added])
+
+    return map_rows(base, run, base.schema if finish is not None else with_added)
+
+
+def search_batch(batch: pa.RecordBatch, w: Windows) -> list[tuple[int, list, list]]:
+    """(words, merged spans, items) of each text of a batch, a shard at a time."""
+    data, offsets = utf8(batch.column("text"))
+    return [x for i, j in slices(offsets, SHARD_BYTES) for x in search_shard([data[offsets[d] : offsets[d + 1]].tobytes() for d in range(i, j)], w)]
+
+
+def as_columns(found: list[tuple[int, list, list]]) -> list[pa.Array]:
+    return [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.list_(pa.int32()))), pa.array([x[2] for x in found], pa.list_(pa.string()))]
+
+
+def in_blocks(base: DataFrame, blocks: Iterator[list], added: tuple[str, ...], finish: Callable | None, with_added: StructType) -> DataFrame:
+    """``decontaminate`` where the items make several blocks: one job for each, that writes what it finds under the row's number.
+
+    So the driver and a task hold one block at a time, and the texts are only copied once, to number them.
+    """
+    (row,) = fresh([*base.columns, *added], "row")
+    numbered = stash(base.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits: list[DataFrame] = []
+    for k, block in enumerate(blocks):
+        shared = base.sparkSession.sparkContext.broadcast(block)
+        del block
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, all_rows=k == 0) -> Iterator[pa.RecordBatch]:
             w = Windows(shared.value)
             for batch in batches:
-                data, offsets = utf8(batch.column("text"))
-                found = []
-                for i, j in slices(offsets, SHARD_BYTES):
-                    found += search_shard([data[offsets[d] : offsets[d + 1]].tobytes() for d in range(i, j)], w)
-                spans, items = [x[1] for x in found], [x[2] for x in found]
-                columns, labels = list(batch.columns), list(batch.schema.names)
-                if more:  # what earlier blocks found
-                    spans = [merge(a + [tuple(x) for x in b]) for a, b in zip(spans, columns[-2].to_pylist(), strict=True)]
-                    items = [sorted({*a, *b}) for a, b in zip(items, columns[-1].to_pylist(), strict=True)]
-                    columns, labels = columns[:-3], labels[:-3]
-                if end is not None:
-                    yield pa.RecordBatch.from_arrays(end(columns, labels, spans), names=labels)
-                    continue
-                columns += [pa.array([x[0] for x in found], pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*labels, *added])
-
-        out = map_rows(out, run, base.schema if end is not None else with_added)
-    return out
+                found = search_batch(batch, w)
+                out = pa.RecordBatch.from_arrays([batch.column("row"), *as_columns(found)], names=["row", *ADDED])
+                yield out if all_rows else out.filter(pa.array([bool(x[1]) for x in found], pa.bool_()))
+
+        hits.append(stash(numbered.select(F.col(row).alias("row"), "text").mapInArrow(trimmed(run), "row long, n_words long, spans array<array<int>>, items array<string>"), "hits"))
+        shared.unpersist()
+    whole = hits[0]
+    for more in hits[1:]:
+        whole = whole.unionByName(more)
+    # of a row there is one entry for each block at most
+    merged = whole.groupBy(F.col("row").alias(row)).agg(
+        F.max("n_words").alias(added[0]), F.flatten(F.collect_list("spans")).alias(added[1]), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias(added[2])
+    )
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, n, spans, items = batch.columns
+            labels = batch.schema.names[:-3]
+            joined = [merge([tuple(x) for x in s]) for s in spans.to_pylist()]
+            if finish is not None:
+                yield pa.RecordBatch.from_arrays(finish(columns, labels, joined), names=labels)
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, n, pa.array(joined, pa.list_(pa.list_(pa.int32()))), items], names=[*labels, *added])
+
+    met = numbered.join(merged.hint("merge"), row).select(*own(base), *added)
+    return map_rows(met, join, base.schema if finish is not None else with_added)
 
 
 def digests(found: DataFrame) -> DataFrame:
