@@ -164,3 +164,8 @@ kinds AS (SELECT *, CASE WHEN {_DATED} THEN 'date' WHEN {_MONEY} THEN 'money' WH
 placed AS (SELECT *, min(place) FILTER (WHERE kind = 'reference') OVER (PARTITION BY doc_id, row_idx) AS first_ref, min(place) FILTER (WHERE kind = 'money') OVER (PARTITION BY doc_id, row_idx) AS first_money FROM kinds)"""
 BY_POSITION = """SELECT doc_id, CAST(row_idx AS INT) AS row_idx, arg_max(t, place) FILTER (WHERE kind = 'reference') AS reference, arg_max(t, place) FILTER (WHERE kind = 'name' AND (first_ref IS NULL OR place < first_ref)) AS vendor,
  arg_max(t, place) FILTER (WHERE kind = 'date') AS date, arg_max(t, place) FILTER (WHERE kind = 'money' AND place = first_money) AS debit, arg_max(t, place) FILTER (WHERE kind = 'money' AND place > first_money) AS credit FROM placed GROUP BY 1, 2"""
+
+_ASKED = f"SELECT CAST(floor(CAST(substr(doc_id, 4) AS BIGINT) / 6) AS BIGINT) AS batch_id, CAST(substr(doc_id, 4) AS BIGINT) AS ordinal, {found('invoice_number')} AS invoice_number, {VENDOR} AS vendor_name, {found('date')} AS date, coalesce({found('amount')}, {found_either('currency_amount')}) AS amount"
+_BLOCKS_I = INVOICE_TEXTS.replace("raw_b", "raw_bi").replace("FROM b GROUP", "FROM bi GROUP").replace(", b AS", ", bi AS")
+#: A run from blocks to matches: invoices and ledger rows as they are read off the blocks.
+OF_IMAGES = f"{_BLOCKS_I}, {POSITIONAL}, names AS ({NAMED.split('names AS (', 1)[1][:-1]}), asked AS ({_ASKED} FROM docs), entries AS (SELECT CAST(substr(doc_id, 4) AS BIGINT) AS batch_id, CAST(row_idx AS BIGINT) AS ordinal, reference, vendor, date, debit, credit FROM (({BY_HEADER}) UNION ALL ({BY_POSITION})) WHERE coalesce(reference, vendor, date, debit, credit) IS NOT NULL), {matched('SELECT * FROM asked', 'SELECT * FROM entries')}"

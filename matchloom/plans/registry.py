@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing, similarity, sql, text
 from ..operators import assignment, extraction, large, matching
-from ..sources import connectors, store
+from ..sources import connectors, datasources, store
 from . import oracles as q
 from . import pipeline, synthetic
+from .schema import LEDGER
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "match_results"
@@ -216,6 +217,18 @@ def json_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.read_ledger(spark, path, lines=True).drop("batch_id", "ordinal")
 
 
+@registered(f"WITH {q.RAW} SELECT ordinal, reference, vendor, date, debit, credit FROM raw_l")
+def json_ledger_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger written by tasks as one JSON array and read back in its order."""
+    path = f"{store.new_path(spark, 'array')}.json"
+    store.make_parent(spark, path)
+    fields = ("reference", "vendor", "date", "debit", "credit")
+    rows = _raw(spark, sf_dir)[1].orderBy("ordinal")
+    datasources.register(spark)
+    rows.select(F.to_json(F.struct("ordinal", *fields), {"ignoreNullFields": "false"}).alias("value")).write.format("json_array").mode("overwrite").save(path)
+    return spark.read.schema("ordinal long, " + LEDGER).option("multiLine", True).json(path)
+
+
 @registered(f"WITH RECURSIVE {q.MATCHED} SELECT * EXCLUDE (batch_id) FROM matched")
 def json_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as JSON, without the internal batch_id, and read back."""
@@ -303,12 +316,21 @@ def match_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(pipeline.match_mock(spark))
 
 
-@registered(None)
-def images_to_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks to invoices and ledger rows to matches, each document's table being the ledger of its six orders."""
+def _of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extraction.extract_invoices(extraction.reading_order(synthetic.blocks(spark, sf_dir, synthetic.INVOICE_BLOCKS)))
     key = F.substring("doc_id", 4, 20).cast("long")
     invoices = found.select(F.floor(key / 6).alias("batch_id"), key.alias("ordinal"), "invoice_number", "vendor_name", "date", "amount")
     ledger = extraction.extract_ledger(_tables(spark, sf_dir)).select(key.alias("batch_id"), F.col("row_idx").cast("long").alias("ordinal"), "reference", "vendor", "date", "debit", "credit")
-    out = pipeline.match(invoices, ledger)
-    return out.select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status")
+    return pipeline.match(invoices, ledger)
+
+
+@registered(None)
+def images_to_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks to invoices and ledger rows to matches, each document's table being the ledger of its six orders."""
+    return _of_images(spark, sf_dir).select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status")
+
+
+@registered(f"WITH RECURSIVE {q.OF_IMAGES} SELECT batch_id, count(*) AS n_pairs, round(sum(score), 4) AS total FROM matched GROUP BY 1")
+def images_to_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by batch: of several best assignments either may come out, with the same total."""
+    return _of_images(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("n_pairs"), F.round(F.sum("score"), 4).alias("total"))

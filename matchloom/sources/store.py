@@ -31,6 +31,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/matchloom/{tag}-{uuid.uuid4().hex}"
 
 
+def make_parent(spark: SparkSession, path: str) -> None:
+    """The folder that path lies in, for writers that don't make it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at.getParent())
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder as Parquet and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
