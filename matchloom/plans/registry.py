@@ -316,21 +316,22 @@ def match_mock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(pipeline.match_mock(spark))
 
 
-def _of_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _of_images(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Raw invoices and ledger rows as they are read off blocks, each document's table being the ledger of its six orders."""
     found = extraction.extract_invoices(extraction.reading_order(synthetic.blocks(spark, sf_dir, synthetic.INVOICE_BLOCKS)))
     key = F.substring("doc_id", 4, 20).cast("long")
     invoices = found.select(F.floor(key / 6).alias("batch_id"), key.alias("ordinal"), "invoice_number", "vendor_name", "date", "amount")
-    ledger = extraction.extract_ledger(_tables(spark, sf_dir)).select(key.alias("batch_id"), F.col("row_idx").cast("long").alias("ordinal"), "reference", "vendor", "date", "debit", "credit")
-    return pipeline.match(invoices, ledger)
+    return invoices, extraction.extract_ledger(_tables(spark, sf_dir)).select(key.alias("batch_id"), F.col("row_idx").cast("long").alias("ordinal"), "reference", "vendor", "date", "debit", "credit")
 
 
 @registered(None)
 def images_to_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks to invoices and ledger rows to matches, each document's table being the ledger of its six orders."""
-    return _of_images(spark, sf_dir).select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status")
+    """Blocks to invoices and ledger rows to matches."""
+    return pipeline.match(*_of_images(spark, sf_dir)).select("batch_id", "invoice_idx", "ledger_idx", "invoice_id", "ledger_ref", "score", "status")
 
 
-@registered(f"WITH RECURSIVE {q.OF_IMAGES} SELECT batch_id, count(*) AS n_pairs, round(sum(score), 4) AS total FROM matched GROUP BY 1")
+@registered(f"WITH RECURSIVE {q.OF_IMAGES} SELECT batch_id, count(*) AS n_pairs, round(sum(score), 6) AS total FROM assigned GROUP BY 1")
 def images_to_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by batch: of several best assignments either may come out, with the same total."""
-    return _of_images(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("n_pairs"), F.round(F.sum("score"), 4).alias("total"))
+    """The totals of that run: of several best assignments either may come out, with the same total."""
+    assigned = matching.assign_rows(*pipeline.prepare(*_of_images(spark, sf_dir)))
+    return assigned.groupBy("batch_id").agg(F.count("*").alias("n_pairs"), _rounded("total", F.sum("score")))
