@@ -358,10 +358,11 @@ class Leaders:
 
     def __init__(self, sig: int):
         self.sig, self.node, self.fp = sig, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.last: int | None = None  # the leader that had rows last
 
     def take(self, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs with leaders, and the rows (sig, u, fp; v null) that have some."""
-        u, v, f = [], [], []
+        """Pairs with leaders, and the rows (sig, u, v, fp) that have some: v is a row's leader, a leader's v the one before it."""
+        u, v, f, rows = [], [], [], []
 
         def claim(lead: int, at: int, node: np.ndarray, fp: np.ndarray) -> np.ndarray:
             near = differing(fp, at) <= NEAR
@@ -369,17 +370,16 @@ class Leaders:
                 u.append(np.full(int(near.sum()), lead))
                 v.append(node[near])
                 f.append(fp[near])
-                u.append(np.array([lead]))
-                v.append(np.array([lead]))
-                f.append(np.array([at]))
+                rows.append((lead, lead if self.last is None else self.last, at))
+                self.last = lead
             return ~near
 
-        for lead, at in zip(self.node, self.fp, strict=True):
+        for lead, at in zip(self.node.tolist(), self.fp, strict=True):
             rest = claim(lead, at, node, fp)
             node, fp = node[rest], fp[rest]
         leaders = []
         while len(node):
-            lead, at, node, fp = node[0], fp[0], node[1:], fp[1:]
+            lead, at, node, fp = int(node[0]), fp[0], node[1:], fp[1:]
             leaders.append((lead, at))
             rest = claim(lead, at, node, fp)
             node, fp = node[rest], fp[rest]
@@ -387,15 +387,16 @@ class Leaders:
             more = np.array(leaders, np.int64)
             self.node, self.fp = np.concatenate((self.node, more[:, 0])), np.concatenate((self.fp, more[:, 1]))
         if u:
-            a, b, f = np.concatenate(u), np.concatenate(v), np.concatenate(f)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), self.sig)), pa.array(b), pa.nulls(len(b), pa.int64()), pa.array(f)], schema=MET)
-            yield from met_pairs([a[a != b]], [b[a != b]])
+            own = np.array(rows, np.int64)
+            columns = [np.concatenate((*x, own[:, k])) for k, x in enumerate((v, u, f))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), self.sig)), *map(pa.array, columns)], schema=MET)
+            yield from met_pairs(u, v)
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (sig, node, fp) to the pairs (u, v) within NEAR bits that a signature brings together.
 
-    Of a run that is long, or has many such pairs, only those with leaders come out, and its members as (sig, u, fp).
+    Of a run that is long, or has many such pairs, only those with leaders come out, and its members as ``Leaders`` has them.
     """
 
     def closed(sig: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -522,11 +523,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
         apart = sum(F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words)
         return stash(pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").where(apart <= how.differ).select("u", "v"), "near")
 
-    near = close(met.where(F.col("v").isNotNull()).select("u", "v").distinct())
+    near = close(met.where(F.col("sig").isNull()).select("u", "v").distinct())
     links = stash(linked(near, rows), "similar")
-    members = met.where(F.col("v").isNull()).select("sig", F.col("u").alias("node"), "fp").distinct()
+    members = met.where(F.col("sig").isNotNull())
     if not members.isEmpty():
-        apart = crossing_pairs(stash(members, "members"), components(links)).join(near.hint("merge"), ["u", "v"], "left_anti")
+        apart = crossing_pairs(members, components(links)).join(near.hint("merge"), ["u", "v"], "left_anti")
         more = stash(linked(close(apart), rows), "similar")
         links = stash(links.unionByName(more), "similar")
     rooted = copies.join(components(links).withColumnRenamed("node", "first"), F.col("node") == F.col("first"), "left").select(F.coalesce("root", "node").alias("root"), "best")
@@ -562,12 +563,18 @@ def linked(near: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def crossing_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of members (sig, node, fp) that meet under a signature and are not connected yet.
+    """The pairs of members (sig, u, v, fp) that meet under a signature and are not connected yet; u is the row, v its leader.
 
-    A run all of whose members are connected has none. Of any other the members outside its largest component are held
-    against all, in blocks of RUN rows by RUN rows.
+    A run all of whose members are connected to their leaders, and those to each other, has none; of a group of copies
+    these are most, and they go before a member is looked at. Of any other run the members outside its largest component
+    are held against all, in blocks of RUN rows by RUN rows.
     """
-    placed = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = members.where("u <> v").select("u", "v").distinct()
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")).hint("merge")
+    loose = ends.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    runs = stash(members.join(loose.hint("merge"), ["u", "v"], "left_semi").select("sig").distinct(), "runs")
+    rest = members.join(runs.hint("merge"), "sig", "left_semi").select("sig", F.col("u").alias("node"), "fp").distinct()
+    placed = rest.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     parts = placed.groupBy("sig", "root").agg(F.count("*").alias("n"))
     open_runs = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
     live = placed.join(open_runs.hint("merge"), "sig").withColumns({"rows": F.ceil(F.col("n") / RUN).cast("int"), "columns": F.ceil((F.col("n") - F.col("largest")) / RUN).cast("int")})
