@@ -6,8 +6,9 @@ k-th best score is out of reach of its weakest terms together, those are non-ess
 traversed for all vectors, and the other terms are probed, strongest first, only for vectors that can still compete. The
 shards' best are merged by one window.
 
-Vectors are packed in blocks, and so are the queries; every block of queries meets every shard by an equi-join on both
-numbers, so that each such meeting is dealt for itself. Nothing is broadcast.
+Vectors are packed in blocks, dealt over the tasks once and written; so are the queries. Queries go to all tasks in rounds
+of at most ``QUERY_BYTES`` (a block at least), by broadcast. A task keeps the best of each query over its shards, and the
+k-th best so far is the bar that the next shard starts from.
 
 Defined results: a vector that is null or holds null or non-finite components takes no part; shorter vectors are read as
 if zeros followed; an empty vector scores 0; a row of the query's own vec_id is never its candidate; repeated rows are
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, trimmed
+from .common import shuffle_partitions, stash, trimmed
 
 SHARD_ROWS, QUERY_ROWS, K, EVERY, SCALE = 16_384, 512, 5, 50, 256
+#: Bytes of queries that are sent at once.
+QUERY_BYTES = 8 << 20
 FIRST, STEP = 256, 8
 
 
@@ -51,7 +54,7 @@ def stack(vectors: list[np.ndarray]) -> np.ndarray:
 
 
 def packed_blocks(rows: DataFrame, size: int, tag: str) -> DataFrame:
-    """Stashed blocks of at most ``size`` usable vectors: block (0, 1, ..), n, wide, ids, data (integers of ``bytes`` bytes)."""
+    """Stashed blocks of at most ``size`` usable vectors: at (a number of their own), n, wide, ids, data (integers of ``bytes`` bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -77,9 +80,8 @@ def packed_blocks(rows: DataFrame, size: int, tag: str) -> DataFrame:
         if ids:
             yield flush()
 
-    made = stash(rows.mapInArrow(trimmed(run), "at long, n long, wide long, bytes long, ids binary, data binary"), tag)
-    numbers = made.select("at").select("at", (F.expr("row_number() OVER (ORDER BY at)") - 1).alias("block"))
-    return made.join(numbers, "at").drop("at")
+    made = rows.mapInArrow(trimmed(run), "at long, n long, wide long, bytes long, ids binary, data binary")
+    return stash(made.repartition(shuffle_partitions(rows.sparkSession), "at"), tag)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -101,8 +103,8 @@ class Shard:
         self.largest = float(np.abs(vectors).max()) if vectors.size else 0.0
         self.real = self.terms.astype(np.float64)
 
-    def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best other rows: (ids, scores)."""
+    def search(self, query_id: int, q: np.ndarray, k: int, least: float = float("-inf")) -> tuple[np.ndarray, np.ndarray]:
+        """The k best other rows: (ids, scores); such as score less than ``least`` may be left out."""
         wide = len(self.terms)
         q = np.concatenate((q, np.zeros(max(0, wide - len(q)), np.int64)))[:wide]
         exact = float(np.abs(q).max() if len(q) else 0) * self.largest * max(wide, 1) < 2**52
@@ -114,7 +116,7 @@ class Shard:
             return self.ids[rows[top]], s[top]
         # the bar that the first rows set
         s = weights @ terms[:, rows[:FIRST]]
-        bar = np.partition(s, FIRST - k)[FIRST - k]
+        bar = max(np.partition(s, FIRST - k)[FIRST - k], least)
         ends = np.stack((weights * self.low, weights * self.high))
         floor, gain = ends.min(axis=0), ends.max(axis=0) - ends.min(axis=0)
         order = np.argsort(gain, kind="stable")
@@ -142,28 +144,51 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     rows = rows.where(F.col("vec_id").isNotNull() & usable("embedding"))
     shards = packed_blocks(rows, SHARD_ROWS, "shards")
     asked = packed_blocks(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), QUERY_ROWS, "queries")
-
-    def times(df: DataFrame, n: int, name: str) -> DataFrame:
-        return df.withColumn(name, F.explode(F.expr(f"sequence(0L, {n - 1}L)") if n else F.array().cast("array<long>")))
-
-    queries = asked.select(F.col("block").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("n", "wide", "bytes", "ids", "data")))
-    fields = "query_id long, vec_id long, score long"
-
-    def matrix(r: dict, of: str) -> np.ndarray:
-        return np.frombuffer(r[f"{of}data"], f"<i{r[f'{of}bytes']}").reshape(r[f"{of}n"], r[f"{of}wide"]).astype(np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(len(batch)):
-                r = batch.slice(k, 1).to_pylist()[0]
-                shard = Shard(np.frombuffer(r["ids"], np.int64), matrix(r, ""))
-                found = [(int(i), *shard.search(int(i), v, k_best)) for i, v in zip(np.frombuffer(r["q_ids"], np.int64), matrix(r, "q_"), strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])}
-                )
-
-    k_best = k
-    met = times(queries, shards.count(), "block").join(times(shards, asked.count(), "q"), ["block", "q"])
-    found = met.mapInArrow(trimmed(run), fields)
+    fields = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def matrix(r: dict) -> np.ndarray:
+        return np.frombuffer(r["data"], f"<i{r['bytes']}").reshape(r["n"], r["wide"]).astype(np.int64)
+
+    def searched(blocks: list[dict]) -> DataFrame:
+        """The best of each task for the queries of some blocks."""
+        shared = vectors.sparkSession.sparkContext.broadcast(blocks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            queries = [(int(i), v) for b in shared.value for i, v in zip(np.frombuffer(b["ids"], np.int64), matrix(b), strict=True)]
+            none = np.zeros(0, np.int64)
+            top = [(none, none)] * len(queries)
+            for batch in batches:
+                for at in range(len(batch)):
+                    r = batch.slice(at, 1).to_pylist()[0]
+                    shard = Shard(np.frombuffer(r["ids"], np.int64), matrix(r))
+                    for n, (i, v) in enumerate(queries):
+                        ids, scores = top[n]
+                        more = shard.search(i, v, k, int(scores[-1]) if len(scores) == k else float("-inf"))
+                        ids, scores = np.concatenate((ids, more[0])), np.concatenate((scores, more[1]))
+                        first = best(ids, scores, k)
+                        top[n] = ids[first], scores[first]
+            for n in range(0, len(queries), QUERY_ROWS):
+                part = [(queries[m][0], *top[m]) for m in range(n, min(n + QUERY_ROWS, len(queries)))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in part], [len(x[1]) for x in part]).astype(np.int64)), pa.array(np.concatenate([x[1] for x in part])), pa.array(np.concatenate([x[2] for x in part]))], schema=fields)
+
+        return shards.select("n", "wide", "bytes", "ids", "data").mapInArrow(trimmed(run), "query_id long, vec_id long, score long")
+
+    sizes = asked.select("at", (F.octet_length("ids") + F.octet_length("data")).alias("size")).orderBy("at").collect()  # a row for each block
+    rounds: list[list[int]] = []
+    room = 0
+    for at, size in sizes:
+        if size > room:
+            rounds.append([])
+            room = QUERY_BYTES
+        rounds[-1].append(at)
+        room -= size
+    found = None
+    for ats in rounds:
+        blocks = [r.asDict() for r in asked.where(F.col("at").between(ats[0], ats[-1])).select("n", "wide", "bytes", "ids", "data").collect()]
+        part = searched(blocks)
+        part = part if len(rounds) == 1 else stash(part, "best")  # so that one round's queries are held at a time
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = rows.limit(0).select(F.col("vec_id").alias("query_id"), "vec_id", F.col("vec_id").alias("score"))
     place = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)")
     return found.withColumn("rank", place.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
