@@ -101,6 +101,10 @@ class Encoder:
     A text that holds the string of an added token (such as the end of a text) goes to the library as it is.
     """
 
+    #: The bytes of each id, where a caller wants to know whether pieces give theirs back, and if one of them did not.
+    entries: list[bytes] | None = None
+    lossy = False
+
     def __init__(self, path: str, cache_size: int = 300_000):
         from tokenizers import Tokenizer
 
@@ -150,6 +154,8 @@ class Encoder:
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
         ids = self.merged(pieces)
+        if self.entries is not None and not self.lossy:
+            self.lossy = any(b"".join([self.entries[i] for i in x]) != p.encode() for x, p in zip(ids, pieces, strict=True))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         at = np.searchsorted(self.keys, keys)
@@ -208,6 +214,7 @@ class Encoder:
         same &= np.logical_and.reduceat(self.points[there] == points, starts)
         flat = self.flat
         if not same.all():
+            self.lossy = True  # those pieces are not looked at
             other = np.flatnonzero(~same)
             ids = self.merged([whole[a:b] for a, b in zip(bounds[other].tolist(), bounds[other + 1].tolist(), strict=True)])
             n[other] = [len(x) for x in ids]
