@@ -347,3 +347,36 @@ def test_packing(spark, make_docs, corpus):
             at += x["length"]
         assert at == (64 if s < total // 64 else total % 64)
     assert packing.pack_sequences(packing.tokenized(docs.limit(0), default_vocabulary(), 0)).collect() == []
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, make_docs, words, monkeypatch):
+    """Over many parts, a rare word of one part is learned; every part is, and thresholds count every row kept out."""
+    monkeypatch.setattr(toxcnn, "PART_ROWS", 150)
+    r = random.Random(4)
+    bad = ["loweic", "grumpf"]
+    texts, labels = [], []
+    for k in range(1200):
+        t = [r.choice(words) for _ in range(r.randint(5, 40))]
+        if k % 3 == 0:
+            t[r.randrange(len(t))] = bad[k % 2]
+        texts.append(" ".join(t))
+        labels.append((k, int(k % 3 == 0)))
+    docs, table = make_docs(texts), spark.createDataFrame(labels, "doc_id long, toxic int")
+    learned, counted = [], []
+    deal, count = toxcnn.dealt, toxcnn.thresholds
+    monkeypatch.setattr(toxcnn, "dealt", lambda rows, parts: learned.append((rows.count(), parts)) or deal(rows, parts))
+    monkeypatch.setattr(toxcnn, "thresholds", lambda rows: counted.append(rows.count()) or count(rows))
+    rows = toxcnn.labelled_sample(docs, table)
+    assert rows.count() == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(1200))
+    got = {x["doc_id"]: x["score"] for x in toxcnn.score(docs, toxcnn.train(rows)).collect()}
+    assert learned[0][0] + counted[0] == rows.count() and learned[0][1] > 4
+    held = [k for k in range(1200) if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert sum((got[k] >= 0.3) == bool(labels[k][1]) for k in held) / len(held) > 0.9
+
+
+def test_thresholds_by_counts(spark):
+    r = np.random.default_rng(2)
+    scores, labels = r.random(300).round(2), (r.random(300) < 0.4).astype(int)
+    rows = spark.createDataFrame([("a" if k % 2 else None, float(x), int(y)) for k, (x, y) in enumerate(zip(scores, labels))], "lang string, score double, toxic int")
+    got = toxcnn.thresholds(rows)
+    assert got == {lang: pytest.approx(toxcnn.best_threshold(scores[k::2], labels[k::2])) for k, lang in ((1, "a"), (0, None))}
