@@ -226,7 +226,7 @@ def json_ledger_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _raw(spark, sf_dir)[1].orderBy("ordinal")
     datasources.register(spark)
     rows.select(F.to_json(F.struct("ordinal", *fields), {"ignoreNullFields": "false"}).alias("value")).write.format("json_array").mode("overwrite").save(path)
-    return spark.read.schema("ordinal long, " + LEDGER).option("multiLine", True).json(path)
+    return connectors.read_array(spark, path, "ordinal long, " + LEDGER)
 
 
 @registered(f"WITH RECURSIVE {q.MATCHED} SELECT * EXCLUDE (batch_id) FROM matched")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.schema import BLOCKS, INVOICE, LEDGER
-from .datasources import register
+from .datasources import ITEM_END, register
 
 log = logging.getLogger("matchloom")
 
@@ -52,6 +52,15 @@ def read_ledger(spark: SparkSession, path: str, batch_id: int = 0, lines: bool =
     return rows.select(F.lit(batch_id).cast("long").alias("batch_id"), F.monotonically_increasing_id().alias("ordinal"), "*")
 
 
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Items of an array that ``json_array`` wrote, read by many tasks: each item ends in a brace behind two blanks, and no
+    JSON text holds a bare line break, so that the file can be cut there. An item that can't be parsed is an error."""
+    pieces = spark.read.option("lineSep", ITEM_END).text(path)
+    body = F.regexp_replace("value", r"^[\[,]\n", "")  # in front of the first item a bracket, of others a comma
+    items = pieces.select(body.alias("body")).where(~F.trim(F.regexp_replace("body", r"\n", "")).isin("", "]", "[]"))
+    return items.select(F.from_json(F.concat("body", F.lit(ITEM_END)), schema, {"mode": "FAILFAST"}).alias("item")).select("item.*")
+
+
 def is_item(x: object) -> bool:
     """Corners and (text, confidence)."""
     return isinstance(x, (list, tuple)) and len(x) == 2 and isinstance(x[1], (list, tuple)) and len(x[1]) == 2 and isinstance(x[1][0], str)

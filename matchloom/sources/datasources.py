@@ -81,6 +81,10 @@ class Part(WriterCommitMessage):
     rows: int
 
 
+#: What an item of a written array ends with, and nothing else in it.
+ITEM_END = "\n  }"
+
+
 def indented(text: str) -> str:
     """An item of an array: a JSON text, two blanks to a level."""
     return json.dumps(json.loads(text), indent=2).replace("\n", "\n  ")

@@ -46,3 +46,22 @@ def test_counts_are_logged(spark, caplog):
     said = [r.getMessage() for r in caplog.records]
     assert "preprocessed 4 invoices" in said and "preprocessed 4 ledger rows; the date window of 60 days removed 1" in said
     assert said[-1] == "classification: auto_match=3, review=0, unmatched=0" and out.count() == 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 300])
+def test_a_written_array_is_read_by_many_tasks(spark, tmp_path, n):
+    items = [{"k": k, "text": 'é "\n  }\n,[' * (k % 3), "none": None, "deep": {"a": [1, {"b": k}], "c": []}} for k in range(n)]
+    datasources.register(spark)
+    rows = spark.createDataFrame([(k, json.dumps(x)) for k, x in enumerate(items)], "k int, value string").repartition(3).orderBy("k").select("value")
+    rows.write.format("json_array").mode("overwrite").save(str(tmp_path / "out.json"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "777")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        found = connectors.read_array(spark, str(tmp_path / "out.json"), "k long, text string, none string, deep struct<a:array<string>,c:array<string>>")
+        assert found.rdd.getNumPartitions() > (10 if n == 300 else 0)
+        got = sorted((x["k"], x["text"], x["none"], x["deep"]["a"]) for x in found.collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == [(x["k"], x["text"], None, ["1", json.dumps({"b": x["k"]}, separators=(",", ":"))]) for x in items]
