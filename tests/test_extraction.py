@@ -171,3 +171,19 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(120)
     assert len(got) == 3
     assert "parsed_date" in streams.normalize_stream(stream).columns
+
+
+def test_rows_are_walked_some_documents_at_a_time(spark, monkeypatch):
+    """A batch of any number of documents becomes objects of Python by pieces, whatever their blocks; results are in order."""
+    import pyarrow as pa
+
+    ask = extraction._grouped.func
+    sizes, walked = [], extraction._walked
+    monkeypatch.setattr(extraction, "WALKED", 3)
+    monkeypatch.setattr(extraction, "_walked", lambda *c: sizes.append(len(c[0])) or walked(*c))
+    docs = [[(10.0, 5.0, "b"), (12.0, 1.0, "a"), (40.0, None, "d"), (41.0, 0.0, f"c{k}")][: k % 5] for k in range(10)]
+    y, x, text = (pa.array([[b[p] for b in d] for d in docs], pa.list_(t)) for p, t in enumerate((pa.float64(), pa.float64(), pa.string())))
+    got = ask(y, x, text, pa.array([15.0] * 10)).to_pylist()
+    assert max(sizes) == 3 and sum(sizes) == 10
+    wanted = [[], [["b"]], [["a", "b"]], [["a", "b"], ["d"]]]
+    assert got == [wanted[k % 5] if k % 5 < 4 else [["a", "b"], ["d", f"c{k}"]] for k in range(10)]
