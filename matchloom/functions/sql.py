@@ -9,13 +9,15 @@ Scalar functions are SQL functions whose bodies Catalyst puts in place of the ca
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Row, SparkSession
 from pyspark.sql.functions import udtf
 
-from ..operators.assignment import solve
+from ..operators.assignment import solve_one
 from ..plans.config import DEFAULT, MatchConfig
 from ..plans.schema import ASSIGNED
 from .similarity import jaro_values
@@ -49,15 +51,21 @@ class AssignBatch:
     """The assignment of one batch (batch_id, invoice_idx, ledger_idx, score of all its pairs, in order), which has to fit into a task."""
 
     def __init__(self) -> None:
-        self.rows: list[tuple] = []
+        self.batch: int | None = None
+        self.rows: tuple[array, array, array] = (array("q"), array("q"), array("d"))
+        self.at: list[int] | None = None
 
     def eval(self, row: Row) -> None:
-        self.rows.append((row["batch_id"], row["invoice_idx"], row["ledger_idx"], row["score"]))
+        if self.at is None:
+            self.batch, self.at = row["batch_id"], [row.__fields__.index(c) for c in ("invoice_idx", "ledger_idx", "score")]
+        values = tuple(row)
+        for held, k in zip(self.rows, self.at, strict=True):
+            held.append(float("nan") if values[k] is None else values[k])
 
     def terminate(self) -> Iterator[tuple]:
-        if self.rows:
-            found = solve(pd.DataFrame(self.rows, columns=["batch_id", "invoice_idx", "ledger_idx", "score"]))
-            yield from zip(*(found[c].tolist() for c in found.columns), strict=True)
+        if self.at is not None:
+            found = solve_one(*(np.array(x) for x in self.rows))
+            yield from ((self.batch, *x) for x in zip(*(x.tolist() for x in found), strict=True))
 
 
 def register(spark: SparkSession, config: MatchConfig = DEFAULT) -> None:

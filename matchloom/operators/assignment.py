@@ -78,6 +78,22 @@ def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return col_of, u, v
 
 
+def solve_one(inv: np.ndarray, led: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The assignment of one whole batch: invoices, ledger rows and scores; rows sorted by invoice, ledger."""
+    n, m = int(inv[-1]) + 1, int(led.max()) + 1
+    s = score.reshape(n, m)
+    flip = n > m
+    t = s.T if flip else s
+    col = t.argmax(axis=1)
+    if len(set(col.tolist())) < len(col):
+        finite = np.where(np.isfinite(t), t, 0.0)  # a score that is not a number can't be preferred
+        col = assignment(1.0 - finite)[0]
+    rows = np.arange(len(col))
+    i, j = (col, rows) if flip else (rows, col)
+    order = np.argsort(i)
+    return i[order], j[order], s[i[order], j[order]]
+
+
 def solve(frame: pd.DataFrame) -> pd.DataFrame:
     """Assignments of whole batches; rows sorted by batch, invoice, ledger."""
     batch = frame["batch_id"].to_numpy()
@@ -85,18 +101,8 @@ def solve(frame: pd.DataFrame) -> pd.DataFrame:
     cut = np.flatnonzero(np.concatenate(([True], batch[1:] != batch[:-1], [True])))
     out = []
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        n, m = int(inv[b - 1]) + 1, int(led[a:b].max()) + 1
-        s = score[a:b].reshape(n, m)
-        flip = n > m
-        t = s.T if flip else s
-        col = t.argmax(axis=1)
-        if len(set(col.tolist())) < len(col):
-            finite = np.where(np.isfinite(t), t, 0.0)  # a score that is not a number can't be preferred
-            col = assignment(1.0 - finite)[0]
-        rows = np.arange(len(col))
-        i, j = (col, rows) if flip else (rows, col)
-        order = np.argsort(i)
-        out.append((np.full(len(i), batch[a]), i[order], j[order], s[i[order], j[order]]))
+        found = solve_one(inv[a:b], led[a:b], score[a:b])
+        out.append((np.full(len(found[0]), batch[a]), *found))
     return pd.DataFrame(dict(zip(("batch_id", "invoice_idx", "ledger_idx", "score"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True))).astype({"batch_id": "int64", "invoice_idx": "int64", "ledger_idx": "int64"})
 
 

@@ -104,3 +104,18 @@ def test_dates_and_amounts(spark):
 def test_classify(spark):
     rows = spark.createDataFrame([(0.9,), (0.8999999,), (0.7,), (0.6999,)], "s double")
     assert [r[0] for r in rows.select(similarity.classify(F.col("s"))).collect()] == ["auto_match", "review", "review", "unmatched"]
+
+
+def test_a_batch_of_the_table_function_makes_no_frame(monkeypatch):
+    """One partition is one small batch: what a data frame costs would be most of its time."""
+    import pandas
+    from pyspark.sql import Row
+
+    from matchloom.functions import sql
+
+    rows = [Row(score=s, batch_id=7, ledger_idx=j, invoice_idx=i) for i, r in enumerate([[0.9, 0.8], [0.85, 0.1], [0.2, 0.3]]) for j, s in enumerate(r)]
+    one, none = sql.AssignBatch.func(), sql.AssignBatch.func()
+    monkeypatch.setattr(pandas, "DataFrame", None)
+    for row in rows:
+        one.eval(row)
+    assert list(one.terminate()) == [(7, 0, 1, 0.8), (7, 1, 0, 0.85)] and list(none.terminate()) == []
