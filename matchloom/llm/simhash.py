@@ -48,7 +48,9 @@ SEGMENT, SEGMENT_TEXTS = 16, 22
 #: Bits that may differ in the first fingerprint (at a similarity of 0.8, 9.7 do on average, with a deviation of 2.9).
 NEAR = 17
 #: Members of a run that are compared at once, and pairs for each of them beyond which leaders go first.
-BLOCK, PAIRS = 1024, 16
+BLOCK, PAIRS = 1024, 4
+#: Ranges of the hashes whose least one marks a set: sets of high similarity share most of their marks.
+BANDS = 8
 SALTS = 16
 LOWER = lower_table()
 
@@ -322,35 +324,41 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, SIMILAR_SHINGLE), np.uint64))
 
 
+def bands(h: np.ndarray) -> list[int | None]:
+    """Marks of a sorted set of hashes: the least of each of BANDS ranges, none where a range is empty."""
+    at = np.searchsorted(h, np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 64) // BANDS))
+    return [int(h[k].view(np.int64)) if k < end else None for k, end in zip(at.tolist(), [*at[1:].tolist(), len(h)], strict=True)]
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both >= JACCARD * (len(x) + len(y) - both) - 1e-9
 
 
 def wide_signatures(batches: Iterator[pa.RecordBatch], how: Plan) -> Iterator[pa.RecordBatch]:
-    """(node, w0, w1, ..) to (sig, node, fp: w0): each segment of w1, .. with each of its bits as a wildcard."""
+    """(node, w0, w1, ..) to (sig, node, fp: w0): each segment of w1, .. with each of its bits as a wildcard; root goes along."""
     per = 64 // how.bits
     for b in batches:
         words = [b.column(f"w{k}").to_numpy().view(np.uint64) for k in range(how.words)]
         node = b.column("node").to_numpy()
+        roots = [b.column("root").to_numpy()] if "root" in b.schema.names else []
         for i in range(0, len(b), 1000):
             sig = []
             for k in range(how.segments):
                 part = words[1 + k // per][i : i + 1000] >> np.uint64(k % per * how.bits) & np.uint64((1 << how.bits) - 1)
                 sig += [part & ~np.uint64(1 << bit) | np.uint64((k * how.bits + bit) << how.bits) for bit in range(how.bits)]
             fp = words[0][i : i + 1000].view(np.int64)
-            yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sig).astype(np.int64), "node": np.tile(node[i : i + 1000], len(sig)), "fp": np.tile(fp, len(sig))})
+            yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sig).astype(np.int64), "node": np.tile(node[i : i + 1000], len(sig)), "fp": np.tile(fp, len(sig))} | {"root": np.tile(x[i : i + 1000], len(sig)) for x in roots})
 
 
-MET = pa.schema([("sig", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("fp", pa.int64())])
+MET = pa.schema([("sig", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
 
 def met_pairs(u: list[np.ndarray], v: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     a, b = np.concatenate([*u, np.zeros(0, np.int64)]), np.concatenate([*v, np.zeros(0, np.int64)])
     if len(a):
         pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
-        none = pa.nulls(len(pairs), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none], schema=MET)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=MET)
 
 
 class Leaders:
@@ -359,19 +367,26 @@ class Leaders:
     def __init__(self, sig: int):
         self.sig, self.node, self.fp = sig, np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.last: int | None = None  # the leader that had rows last
+        self.alone: set[int] = set()  # leaders near to no row yet
 
     def take(self, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs with leaders, and the rows (sig, u, v, fp) that have some: v is a row's leader, a leader's v the one before it."""
-        u, v, f, rows = [], [], [], []
+        """The rows (sig, u, v) that have leaders: v is a row's leader, a leader's v the one before it, or a row of another
+        leader where it is near to no others."""
+        u, v, rows, whole = [], [], [], (node, fp)
 
         def claim(lead: int, at: int, node: np.ndarray, fp: np.ndarray) -> np.ndarray:
             near = differing(fp, at) <= NEAR
             if near.any():
                 u.append(np.full(int(near.sum()), lead))
                 v.append(node[near])
-                f.append(fp[near])
-                rows.append((lead, lead if self.last is None else self.last, at))
+                rows.append((lead, lead if self.last is None else self.last))
                 self.last = lead
+                self.alone.discard(lead)
+            elif lead in self.alone:
+                other = whole[0][(differing(whole[1], at) <= NEAR) & (whole[0] != lead)]
+                if len(other):
+                    rows.append((lead, int(other[0])))
+                    self.alone.discard(lead)
             return ~near
 
         for lead, at in zip(self.node.tolist(), self.fp, strict=True):
@@ -381,25 +396,26 @@ class Leaders:
         while len(node):
             lead, at, node, fp = int(node[0]), fp[0], node[1:], fp[1:]
             leaders.append((lead, at))
+            self.alone.add(lead)
             rest = claim(lead, at, node, fp)
             node, fp = node[rest], fp[rest]
         if leaders:
             more = np.array(leaders, np.int64)
             self.node, self.fp = np.concatenate((self.node, more[:, 0])), np.concatenate((self.fp, more[:, 1]))
-        if u:
+        if rows:
             own = np.array(rows, np.int64)
-            columns = [np.concatenate((*x, own[:, k])) for k, x in enumerate((v, u, f))]
+            columns = [np.concatenate((*x, own[:, k])) for k, x in enumerate((v, u))]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), self.sig)), *map(pa.array, columns)], schema=MET)
-            yield from met_pairs(u, v)
 
 
 def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (sig, node, fp) to the pairs (u, v) within NEAR bits that a signature brings together.
+    """Sorted rows (sig, node, fp, root) to the pairs (u, v) within NEAR bits, of different roots, that a signature brings
+    together; without root each row is its own.
 
-    Of a run that is long, or has many such pairs, only those with leaders come out, and its members as ``Leaders`` has them.
+    Of a run that is long, or has many such pairs, no pair comes out, but its members as ``Leaders`` has them.
     """
 
-    def closed(sig: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def closed(sig: np.ndarray, node: np.ndarray, fp: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole runs."""
         cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
         size = np.diff(cut)
@@ -410,14 +426,16 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(n):
                     for j in range(i + 1, n):
                         a, b = begins + i, begins + j
-                        near = differing(fp[a], fp[b]) <= NEAR
+                        near = (root[a] != root[b]) & (differing(fp[a], fp[b]) <= NEAR)
                         u.append(node[a[near]])
                         v.append(node[b[near]])
                 continue
             for begin in begins.tolist():
-                own, f = node[begin : begin + n], fp[begin : begin + n]
+                own, f, of = (x[begin : begin + n] for x in (node, fp, root))
+                if (of == of[0]).all():
+                    continue  # all of them are connected
                 if n <= BLOCK:
-                    a, b = np.nonzero(np.triu(differing(f[:, None], f[None, :]) <= NEAR, 1))
+                    a, b = np.nonzero(np.triu((of[:, None] != of[None, :]) & (differing(f[:, None], f[None, :]) <= NEAR), 1))
                     if len(a) <= PAIRS * n:
                         u.append(own[a])
                         v.append(own[b])
@@ -428,11 +446,11 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, ...]] = []
     n, leaders = 0, None
     for batch in batches:
-        rows = tuple(batch.column(c).to_numpy() for c in ("sig", "node", "fp"))
+        rows = tuple(batch.column(c).to_numpy() for c in ("sig", "node", "fp", "root" if "root" in batch.schema.names else "node"))
         if leaders is not None:  # the run that was too long goes on
             same = rows[0] == leaders.sig
             for i in range(0, int(same.sum()), BLOCK):
-                yield from leaders.take(*(x[same][i : i + BLOCK] for x in rows[1:]))
+                yield from leaders.take(*(x[same][i : i + BLOCK] for x in rows[1:3]))
             rows = tuple(x[~same] for x in rows)
             if not len(rows[0]):
                 continue
@@ -441,11 +459,11 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n += len(rows[0])
         if n < 4 * RUN:
             continue
-        sig, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        sig, node, fp, root = (np.concatenate(x) for x in zip(*held, strict=True))
         last = int(np.searchsorted(sig, sig[-1]))  # rows are sorted by sig
         if last:
-            yield from closed(sig[:last], node[:last], fp[:last])
-        held, n = [(sig[last:], node[last:], fp[last:])], len(sig) - last
+            yield from closed(sig[:last], node[:last], fp[:last], root[:last])
+        held, n = [(sig[last:], node[last:], fp[last:], root[last:])], len(sig) - last
         if n > RUN:
             leaders = Leaders(int(sig[-1]))
             for i in range(last, len(sig), BLOCK):
@@ -455,22 +473,41 @@ def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (sig, i, j, left, node, fp, root) of blocks to the pairs within NEAR bits of other roots, one of them on the left."""
+def crossings(batches: Iterator[pa.RecordBatch], how: Plan) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (family, i, j, left, node, root, text, w0, ..) of blocks to links (u, v) of different roots, u on the left.
+
+    Texts near enough by their bits are compared by their sets, but for those that links of the block connect already.
+    """
+
+    def block(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        left, node, root = (table.column(c).to_numpy() for c in ("left", "node", "root"))
+        bits = np.stack([table.column(f"w{k}").to_numpy() for k in range(how.words)], axis=1)
+        text, sets = table.column("text"), {}
+        group = np.unique(root, return_inverse=True)[1]  # what is connected, numbered
+        right = np.flatnonzero(~left)
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set((text[k].as_py() or "").encode())
+            return sets[k]
 
-    def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        left, node, fp, root = (np.concatenate(x) for x in zip(*rows, strict=True))
         u, v = [], []
-        for x, f, r in zip(node[left], fp[left], root[left], strict=True):
-            near = ~left & (root != r) & (differing(fp, f) <= NEAR)
-            u.append(np.full(int(near.sum()), x))
-            v.append(node[near])
-        yield from met_pairs(u, v)
+        for x in np.flatnonzero(left).tolist():
+            other = right[group[right] != group[x]]
+            apart = differing(bits[other], bits[x])
+            for y in other[(apart[:, 0] <= NEAR) & (apart.sum(axis=1, dtype=np.int64) <= how.differ)].tolist():
+                if group[x] != group[y] and similar(of(x), of(y)):
+                    group[group == group[y]] = group[x]
+                    u.append(node[x])
+                    v.append(node[y])
+            sets.pop(x, None)
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     key, held = None, []
     for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("sig", "i", "j")], axis=1)
-        rows = (batch.column("left").to_numpy(zero_copy_only=False), *(batch.column(c).to_numpy() for c in ("node", "fp", "root")))
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("family", "i", "j")], axis=1)
         cut = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
         for a, b in zip(cut, cut[1:], strict=False):
             if a == b:
@@ -479,7 +516,7 @@ def crossings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from block(held)
                 held = []
             key = tuple(keys[a])
-            held.append(tuple(x[a:b] for x in rows))
+            held.append(batch.slice(a, b - a))
     if held:
         yield from block(held)
 
@@ -489,33 +526,34 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Near copies have a Jaccard similarity of JACCARD at least over their sets of SIMILAR_SHINGLE words. Texts that agree in
     a segment but for one bit at most (``plan``), and differ in few enough bits of the first fingerprint (NEAR) and of all,
-    are compared by the sets themselves; only a pair that passes is a link. Rows are told apart by their own number, so
+    are compared by the sets themselves; only a pair that passes is a link. What shares a mark of least hashes (``bands``) is
+    compared with one text of that mark before, and what that connects is not brought together again: each text of a
+    large group is then compared a few times, and not once for every signature under which it meets another leader. Rows are told apart by their own number, so
     missing and repeated doc_ids lose nothing; texts without words are copies of each other.
     """
     (name,) = fresh(docs.columns, "row")
     numbered = stash(docs.select("*", F.monotonically_increasing_id().alias(name)), "rows")
     rows = numbered.select(F.col(name).alias("row"), "doc_id", "text")
     how = plan(rows.count())
-    words = [f"w{k}" for k in range(how.words)]
+    words, marks = [f"w{k}" for k in range(how.words)], [f"m{k}" for k in range(BANDS)]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column("text"))
             for i in range(0, len(b), 256):
-                digests, found = [], []
+                digests, found, least = [], [], []
                 for x, y in zip(offsets[i : i + 256].tolist(), offsets[i + 1 : i + 257].tolist(), strict=False):
                     h = shingle_set(data[x:y].tobytes())
                     digests.append(blake2b(h.tobytes(), digest_size=16).digest())
                     found.append(wide_fingerprint(h, how.words))
+                    least.append(bands(h))
                 part, w = b.slice(i, 256), np.array(found, np.int64).reshape(-1, how.words)
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array(w[:, k]) for k in range(how.words))], names=["row", "doc_id", "digest", *words])
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("doc_id"), pa.array(digests, pa.binary()), *(pa.array(w[:, k]) for k in range(how.words)), *(pa.array(x, pa.int64()) for x in zip(*least, strict=True))], names=["row", "doc_id", "digest", *words, *marks])
 
-    fields = StructType([StructField("row", LongType()), docs.schema["doc_id"], StructField("digest", BinaryType()), *(StructField(w, LongType()) for w in words)])
+    fields = StructType([StructField("row", LongType()), docs.schema["doc_id"], StructField("digest", BinaryType()), *(StructField(w, LongType()) for w in (*words, *marks))])
     found = rows.mapInArrow(trimmed(sketch), fields)
     best = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")
-    copies = stash(found.groupBy("digest").agg(F.min("row").alias("node"), F.min(best).alias("best"), *(F.first(w).alias(w) for w in words)).drop("digest"), "copies")
-    signed = copies.select("node", *words).mapInArrow(trimmed(partial(wide_signatures, how=how)), "sig long, node long, fp long")
-    met = stash(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(trimmed(meetings), "sig long, u long, v long, fp long"), "met")
+    copies = stash(found.groupBy("digest").agg(F.min("row").alias("node"), F.min(best).alias("best"), *(F.first(w).alias(w) for w in (*words, *marks))).drop("digest"), "copies")
 
     def close(pairs: DataFrame) -> DataFrame:
         """The pairs within the bits that may differ in all."""
@@ -523,16 +561,25 @@ def keep_one(docs: DataFrame) -> DataFrame:
         apart = sum(F.bit_count(F.col(f"u_{w}").bitwiseXOR(F.col(f"v_{w}"))) for w in words)
         return stash(pairs.join(ends[0].hint("merge"), "u").join(ends[1].hint("merge"), "v").where(apart <= how.differ).select("u", "v"), "near")
 
+    marked = copies.select("node", *words, F.posexplode(F.array(*marks)).alias("band", "mark")).where(F.col("mark").isNotNull())
+    first = stash(marked.groupBy("band", "mark").agg(F.min_by(F.struct("node", *words), F.xxhash64("node", "band")).alias("lead"), F.count("*").alias("n")).where("n > 1"), "marks")
+    apart = sum(F.bit_count(F.col(w).bitwiseXOR(F.col(f"lead.{w}"))) for w in words)
+    met = join_hot(marked, first, ["band", "mark"], len(marks) * copies.count()).where((F.col("node") != F.col("lead.node")) & (apart <= how.differ))
+    shared = stash(met.select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct(), "near")
+    early = stash(linked(shared, rows), "similar")
+    tied = stash(components(early), "tied")
+    placed = copies.select("node", *words).join(tied.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    signed = placed.mapInArrow(trimmed(partial(wide_signatures, how=how)), "sig long, node long, fp long, root long")
+    met = stash(signed.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(trimmed(meetings), "sig long, u long, v long"), "met")
     near = close(met.where(F.col("sig").isNull()).select("u", "v").distinct())
-    links = stash(linked(near, rows), "similar")
+    links = stash(early.unionByName(linked(near, rows)), "similar")
     members = met.where(F.col("sig").isNotNull())
     if not members.isEmpty():
-        apart = crossing_pairs(members, components(links)).join(near.hint("merge"), ["u", "v"], "left_anti")
-        more = stash(linked(close(apart), rows), "similar")
-        links = stash(links.unionByName(more), "similar")
+        texts = copies.select("node", *words).join(rows.select(F.col("row").alias("node"), "text").hint("merge"), "node")
+        links = stash(links.unionByName(crossing_links(members, components(links), texts, how)), "similar")
     rooted = copies.join(components(links).withColumnRenamed("node", "first"), F.col("node") == F.col("first"), "left").select(F.coalesce("root", "node").alias("root"), "best")
     chosen = stash(rooted.groupBy("root").agg(F.min("best")["row"].alias(name)).select(name), "chosen")
-    unstash(copies, met, near, links)
+    unstash(copies, first, shared, early, tied, met, near, links)
     return numbered.join(chosen.hint("merge"), name, "left_semi").select(*own(docs))
 
 
@@ -562,26 +609,26 @@ def linked(near: DataFrame, rows: DataFrame) -> DataFrame:
     return second.join(first.hint("merge"), ["u", "salt"]).select("u", "v", "a", "b").mapInArrow(trimmed(compare), "u long, v long")
 
 
-def crossing_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs of members (sig, u, v, fp) that meet under a signature and are not connected yet; u is the row, v its leader.
+def crossing_links(members: DataFrame, roots: DataFrame, texts: DataFrame, how: Plan) -> DataFrame:
+    """The links that connect the members (sig, u, v) of long runs further than roots (node, root) does; texts has row, node,
+    text and w0, ..
 
-    A run all of whose members are connected to their leaders, and those to each other, has none; of a group of copies
-    these are most, and they go before a member is looked at. Of any other run the members outside its largest component
-    are held against all, in blocks of RUN rows by RUN rows.
+    Members are a family where leaders connect them, so each is there once, in however many runs it is. A family of one
+    root has no further link. Of any other those outside its largest component are held against all, in blocks of BLOCK
+    rows by BLOCK rows that take the texts along: pairs are looked at where they meet and never become rows.
     """
     ends = members.where("u <> v").select("u", "v").distinct()
-    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")).hint("merge")
-    loose = ends.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
-    runs = stash(members.join(loose.hint("merge"), ["u", "v"], "left_semi").select("sig").distinct(), "runs")
-    rest = members.join(runs.hint("merge"), "sig", "left_semi").select("sig", F.col("u").alias("node"), "fp").distinct()
-    placed = rest.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = placed.groupBy("sig", "root").agg(F.count("*").alias("n"))
-    open_runs = parts.groupBy("sig").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    live = placed.join(open_runs.hint("merge"), "sig").withColumns({"rows": F.ceil(F.col("n") / RUN).cast("int"), "columns": F.ceil((F.col("n") - F.col("largest")) / RUN).cast("int")})
+    kin = stash(components(ends).select("node", F.col("root").alias("family")), "kin")
+    kin = kin.unionByName(kin.select(F.col("family").alias("node"), "family").distinct())
+    placed = kin.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parts = placed.groupBy("family", "root").agg(F.count("*").alias("n"))
+    apart = parts.groupBy("family").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    live = placed.join(apart.hint("merge"), "family").join(texts.hint("merge"), "node")
+    live = live.withColumns({"rows": F.ceil(F.col("n") / BLOCK).cast("int"), "columns": F.ceil((F.col("n") - F.col("largest")) / BLOCK).cast("int")})
     deal = lambda over: F.pmod(F.hash("node"), F.col(over))
     every = lambda over: F.explode(F.sequence(F.lit(0), F.col(over) - 1))
-    rest = ["sig", "i", "j", "left", "node", "fp", "root"]
+    rest = ["family", "i", "j", "left", "node", "root", "text", *(f"w{k}" for k in range(how.words))]
     left = live.where("root <> main").withColumns({"i": deal("columns"), "left": F.lit(True)}).withColumn("j", every("rows")).select(*rest)
     right = live.withColumns({"j": deal("rows"), "left": F.lit(False)}).withColumn("i", every("columns")).select(*rest)
-    dealt = left.unionByName(right).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(trimmed(crossings), "sig long, u long, v long, fp long").select("u", "v").distinct()
+    dealt = left.unionByName(right).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.mapInArrow(trimmed(partial(crossings, how=how)), "u long, v long")

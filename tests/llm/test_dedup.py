@@ -230,6 +230,16 @@ def test_runs_with_many_pairs(spark, make_docs, words, monkeypatch, run, block,
     assert kept >= wanted and len(kept - wanted) <= 2
 
 
+def test_a_large_group_of_near_copies_is_compared_in_a_few_pairs_a_text(spark, make_docs, words, monkeypatch):
+    r = random.Random(9)
+    w = [r.choice(words) for _ in range(300)]
+    texts = [" ".join(w), *(" ".join(altered(r, words, w, r.randint(1, 3))) for _ in range(300))]
+    compared, linked = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda near, rows: compared.append(near.count()) or linked(near, rows))
+    kept = [x["doc_id"] for x in simhash.keep_one(make_docs(texts)).select("doc_id").collect()]
+    assert kept == [0] and sum(compared) <= 8 * len(texts)
+
+
 def test_runs_beyond_the_bound_are_cut_again(spark, monkeypatch):
     monkeypatch.setattr(simhash, "RUN", 3)
     cloudpickle.register_pickle_by_value(simhash)
