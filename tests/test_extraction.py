@@ -187,3 +187,11 @@ def test_rows_are_walked_some_documents_at_a_time(spark, monkeypatch):
     assert max(sizes) == 3 and sum(sizes) == 10
     wanted = [[], [["b"]], [["a", "b"]], [["a", "b"], ["d"]]]
     assert got == [wanted[k % 5] if k % 5 < 4 else [["a", "b"], ["d", f"c{k}"]] for k in range(10)]
+
+
+def test_texts_behind_a_hit_are_not_looked_at(spark):
+    """A text that fails where it is looked at stands behind the one that is found."""
+    texts = spark.createDataFrame([(["", "hit", "bad"],), (["", ""],), ([],)], "texts array<string>")
+    fails = lambda t: F.when(t == "bad", F.raise_error(F.lit("looked at"))).otherwise(t)
+    found = texts.select(extraction._first_hit(F.col("texts"), fails).alias("f"))
+    assert [x["f"] for x in found.collect()] == ["hit", None, None]
