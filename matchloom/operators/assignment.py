@@ -9,10 +9,12 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stash
+from .joins import merged
 
 
 def shapes(scores: DataFrame) -> DataFrame:
@@ -20,19 +22,45 @@ def shapes(scores: DataFrame) -> DataFrame:
     return scores.groupBy("batch_id").agg((F.max("invoice_idx") + 1).alias("_n"), (F.max("ledger_idx") + 1).alias("_m"))
 
 
-def best_columns(scores: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Each row's best column (of the shorter side), ties to the first: batch_id, invoice_idx, ledger_idx, score."""
-    rows = scores.join((shapes(scores) if sizes is None else sizes).select("batch_id", "_n", "_m"), "batch_id")
-    rows = rows.withColumn("_by", F.when(F.col("_n") <= F.col("_m"), F.struct(F.lit(0).alias("s"), F.col("invoice_idx").alias("i"))).otherwise(F.struct(F.lit(1).alias("s"), F.col("ledger_idx").alias("i"))))
-    top = rows.groupBy("batch_id", "_by").agg(F.max_by(F.struct("invoice_idx", "ledger_idx", "score"), F.struct("score", -F.col("invoice_idx"), -F.col("ledger_idx"))).alias("top"))
-    return top.select("batch_id", "top.*")
+#: A pair by its place on the batch's shorter side (by) and on the longer one (other); flip: ledger rows are the shorter side.
+BEST = "batch_id long, flip boolean, by long, other long, score double"
+
+
+def best_of_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The first of the best pairs of each row among those of an Arrow batch; a score that is not a number is the highest, null the lowest."""
+    batch_id, inv, led, n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("batch_id", "invoice_idx", "ledger_idx", "_n", "_m"))
+    score, flip = batch.column("score"), n > m
+    by, other = np.where(flip, led, inv), np.where(flip, inv, led)
+    value = score.to_numpy(zero_copy_only=False)
+    odd = np.isnan(value)
+    rank = np.where(odd, np.where(score.is_null().to_numpy(zero_copy_only=False), 2, 0), 1)
+    order = np.lexsort((other, np.where(odd, 0.0, -value), rank, by, batch_id))
+    first = np.ones(len(order), bool)
+    first[1:] = (np.diff(batch_id[order]) != 0) | (np.diff(by[order]) != 0)
+    kept = order[first]
+    return pa.RecordBatch.from_arrays([*(pa.array(x[kept]) for x in (batch_id, flip, by, other)), score.take(pa.array(kept))], names=["batch_id", "flip", "by", "other", "score"])
+
+
+def best_pairs(scores: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Each row's best column (of the shorter side), ties to the first, as ``BEST``.
+
+    ``scores`` may have the sizes of its batches as _n and _m. A task keeps the best of each row of an Arrow batch, so that
+    of all pairs only those are sorted and dealt.
+    """
+    if "_n" not in scores.columns:
+        scores = merged(scores, (shapes(scores) if sizes is None else sizes).select("batch_id", "_n", "_m"), "batch_id")
+    pairs = scores.select("batch_id", "invoice_idx", "ledger_idx", "score", "_n", "_m")
+    few = pairs.mapInArrow(lambda batches: (best_of_rows(b) for b in batches if b.num_rows), BEST)
+    top = few.groupBy("batch_id", "flip", "by").agg(F.max_by(F.struct("other", "score"), F.struct("score", -F.col("other"))).alias("top"))
+    return top.select("batch_id", "flip", "by", "top.*")
 
 
 def certificate(scores: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """The assignment of those batches in which every row's best column is its own, which proves it optimal."""
-    best = stash(best_columns(scores, sizes), "best")
-    proof = best.groupBy("batch_id").agg(((F.count_distinct("ledger_idx") == F.count("*")) & (F.count_distinct("invoice_idx") == F.count("*"))).alias("_ok"))
-    return best.join(proof.where("_ok"), "batch_id").select("batch_id", "invoice_idx", "ledger_idx", "score")
+    best = stash(best_pairs(scores, sizes), "best")
+    proof = best.groupBy("batch_id").agg((F.count_distinct("other") == F.count("*")).alias("_ok"))
+    places = (F.when(F.col("flip"), F.col(a)).otherwise(F.col(b)).alias(name) for name, a, b in (("invoice_idx", "other", "by"), ("ledger_idx", "by", "other")))
+    return merged(best, proof.where("_ok"), "batch_id", "left_semi").select("batch_id", *places, "score")
 
 
 def assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -83,14 +83,18 @@ INVOICE_FIELDS = ("normalized_invoice_number", "normalized_vendor", "parsed_date
 LEDGER_FIELDS = ("normalized_reference", "normalized_vendor", "parsed_date", "debit_amount", "credit_amount")
 
 
-def score_pairs(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, salts: int = 1, sizes: DataFrame | None = None) -> DataFrame:
+def score_pairs(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT, salts: int = 1, sizes: DataFrame | None = None, sized: bool = False) -> DataFrame:
     """Every pair of a batch with its score.
 
     A batch's invoices are dealt over ``salts`` tasks; with ``sizes`` (of ``batch_sizes``) over as many as its pairs need.
+    ``sized``: pairs also have the sizes of their batch (_n, _m), which come along with its invoices.
     """
-    more_i = [c for c in invoices.columns if c not in (*INVOICE_FIELDS, "batch_id", "invoice_idx")] if config.extra_metrics else []
+    along = ("_n", "_m") if sized else ()
+    if sized:
+        invoices = merged(invoices, sizes.select("batch_id", *along), "batch_id")
+    more_i = [c for c in invoices.columns if c not in (*INVOICE_FIELDS, "batch_id", "invoice_idx", *along)] if config.extra_metrics else []
     more_e = [c for c in ledger.columns if c not in (*LEDGER_FIELDS, "batch_id", "ledger_idx")] if config.extra_metrics else []
-    left = invoices.select("batch_id", "invoice_idx", *(F.col(c).alias(f"i_{c}") for c in (*INVOICE_FIELDS, *more_i)))
+    left = invoices.select("batch_id", "invoice_idx", *along, *(F.col(c).alias(f"i_{c}") for c in (*INVOICE_FIELDS, *more_i)))
     right = ledger.select("batch_id", "ledger_idx", *(F.col(c).alias(f"e_{c}") for c in (*LEDGER_FIELDS, *more_e)))
     keys, many = ["batch_id"], F.lit(salts)
     if sizes is not None:
@@ -104,7 +108,7 @@ def score_pairs(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DE
         keys = ["batch_id", "_salt"]
     invoice = {c: F.col(f"i_{c}") for c in (*INVOICE_FIELDS, *more_i)}
     entry = {c: F.col(f"e_{c}") for c in (*LEDGER_FIELDS, *more_e)}
-    return merged(left.drop("_salts"), right.drop("_salts"), keys).select("batch_id", "invoice_idx", "ledger_idx", similarity.compute_similarity(invoice, entry, config).alias("score"))
+    return merged(left.drop("_salts"), right.drop("_salts"), keys).select("batch_id", "invoice_idx", "ledger_idx", *along, similarity.compute_similarity(invoice, entry, config).alias("score"))
 
 
 def batch_sizes(invoices: DataFrame, ledger: DataFrame) -> DataFrame:

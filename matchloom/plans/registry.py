@@ -153,7 +153,8 @@ SELECT batch_id, invoice_idx, ledger_idx, round(score, 6) AS score FROM top JOIN
 )
 def assign_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, e = _prepared(spark, sf_dir)
-    return assignment.certificate(matching.score_pairs(i, e), matching.batch_sizes(i, e)).select("batch_id", "invoice_idx", "ledger_idx", _rounded("score", F.col("score")))
+    sizes = store.stash(matching.batch_sizes(i, e), "sizes")
+    return assignment.certificate(matching.score_pairs(i, e, sizes=sizes, sized=True)).select("batch_id", "invoice_idx", "ledger_idx", _rounded("score", F.col("score")))
 
 
 _TOTALS = f"WITH RECURSIVE {q.ASSIGNED} SELECT batch_id, count(*) AS n_pairs, round(sum(score), 6) AS total FROM assigned GROUP BY 1"

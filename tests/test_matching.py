@@ -102,6 +102,31 @@ def test_solve_shapes():
     assert [tuple(r) for r in got[["batch_id", "invoice_idx", "ledger_idx"]].to_numpy().tolist()] == [(0, 0, 1), (0, 1, 0), (1, 1, 0), (2, 0, 2), (3, 0, 1), (3, 1, 0)]
 
 
+def test_certificate(spark):
+    """Batches wide, tall, with ties, without a certificate and with scores that are no numbers, each over several Arrow batches."""
+    nan = float("nan")
+    matrices = [[[0.1, 0.9, 0.9], [0.8, 0.2, 0.1]], [[0.5, 0.1], [0.5, 0.7], [0.2, 0.7]], [[1, 0.5], [0.9, 0.5]], [[0.3, nan], [nan, nan]], [[None, 0.0], [0.4, None]], [[0.0]]]
+    rows = [(b, i, j, None if x is None else float(x)) for b, m in enumerate(matrices) for i, r in enumerate(m) for j, x in enumerate(r)]
+    scores = spark.createDataFrame(rows, "batch_id long, invoice_idx long, ledger_idx long, score double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = assignment.certificate(scores).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = {(0, 0, 1), (0, 1, 0), (1, 0, 0), (1, 1, 1), (3, 0, 1), (3, 1, 0), (4, 0, 1), (4, 1, 0), (5, 0, 0)}
+    assert {tuple(x)[:3] for x in found} == wanted and len(found) == len(wanted)
+
+
+def test_the_certificate_deals_few_pairs(spark):
+    """Of 40 x 50 pairs one a row is sorted and dealt, not all of them."""
+    side = lambda name, n: spark.range(n).select(F.lit(0).cast("long").alias("batch_id"), F.col("id").alias(name))
+    scores = side("invoice_idx", 40).join(side("ledger_idx", 50), "batch_id").withColumn("score", -F.abs(F.col("invoice_idx") - F.col("ledger_idx")).cast("double")).coalesce(1)
+    sized = scores.withColumns({"_n": F.lit(40).cast("long"), "_m": F.lit(50).cast("long")})
+    kept = [assignment.best_of_rows(b).num_rows for b in sized.toArrow().combine_chunks().to_batches()]
+    assert sum(kept) == 40
+    assert sorted(tuple(x)[1:3] for x in assignment.certificate(sized).collect()) == [(k, k) for k in range(40)]
+
+
 def test_few_pairs_are_solved_as_all(monkeypatch):
     r = np.random.default_rng(4)
     for _ in range(100):
