@@ -6,7 +6,7 @@ that gives the order of rows within it; positions in results are dense and count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import parsing, similarity, text
 from ..plans.config import DEFAULT, STATUSES, MatchConfig
 from ..plans.schema import ASSIGNED
+from ..sources.store import stash
 from .assignment import shapes, solve
 from .joins import merged
 from .large import PairIndex, PairTable, assign_large
@@ -43,9 +44,11 @@ def normalize_ledger(raw: DataFrame, config: MatchConfig = DEFAULT) -> DataFrame
     )
 
 
-def filter_candidates(invoices: DataFrame, ledger: DataFrame, max_days: int = DEFAULT.max_days) -> DataFrame:
+def filter_candidates(invoices: DataFrame, ledger: DataFrame, max_days: int = DEFAULT.max_days, normalize: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Ledger rows with a date within max_days of any invoice of their batch, or without a date, or where no invoice has one.
 
+    A raw ledger comes with ``normalize``, which parses its rows where they have met their batch, so that only raw fields are dealt.
+
     Days are dealt into bins one day wider than max_days: what is near enough to some day of a bin lies between its first
     and its last day, widened. So a batch's invoices shrink to one span for each bin that holds any, and the ledger is
     read once.
@@ -54,19 +57,24 @@ def filter_candidates(invoices: DataFrame, ledger: DataFrame, max_days: int = DE
     bins = invoices.where(F.col("parsed_date").isNotNull()).groupBy("batch_id", F.floor(day / (max_days + 1)).alias("bin")).agg(F.min(day).alias("first"), F.max(day).alias("last"))
     spans = bins.groupBy("batch_id").agg(F.collect_list(F.struct((F.col("first") - max_days).alias("a"), (F.col("last") + max_days).alias("b"))).alias("_spans"))
     rows = merged(ledger, spans, "batch_id", "left")
+    if normalize is not None:
+        rows = normalize(rows)
     near = F.exists("_spans", lambda s: (s["a"] <= day) & (day <= s["b"]))
-    return rows.where(day.isNull() | F.col("_spans").isNull() | near).select(*ledger.columns)
+    return rows.where(day.isNull() | F.col("_spans").isNull() | near).drop("_spans")
 
 
 #: Ordinals of a batch that are numbered by one task, as a power of two.
 NUMBERED = 20
+#: So many cuts at most meet their rows by broadcast.
+FEW_CUTS = 100_000
 
 
 def number_rows(rows: DataFrame, name: str) -> DataFrame:
     """Dense positions in each batch, by ordinal.
 
     A batch is cut by its ordinals, so that one of any size is numbered by many tasks: rows in a cut are numbered from
-    zero, and begin where the counts of the cuts before it end.
+    zero, and begin where the counts of the cuts before it end. Those are counted first: as long as few batches have more
+    than one cut, rows needn't be dealt once more to meet them.
     """
     (cut, at, before) = ("_cut", "_at", "_before")
     rows = rows.withColumn(cut, F.shiftright("ordinal", NUMBERED))
@@ -74,7 +82,9 @@ def number_rows(rows: DataFrame, name: str) -> DataFrame:
     ahead = Window.partitionBy("batch_id").orderBy(cut).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn(before, F.sum("_n").over(ahead)).where(F.col(before).isNotNull()).select("batch_id", cut, before)
     placed = rows.withColumn(at, F.row_number().over(Window.partitionBy("batch_id", cut).orderBy("ordinal")) - 1)
-    out = merged(placed, offsets, ["batch_id", cut], "left").withColumn(name, (F.col(at) + F.coalesce(before, F.lit(0))).cast("long"))
+    offsets = stash(offsets, "offsets")
+    met = placed.join(F.broadcast(offsets), ["batch_id", cut], "left") if offsets.count() <= FEW_CUTS else merged(placed, offsets, ["batch_id", cut], "left")
+    out = met.withColumn(name, (F.col(at) + F.coalesce(before, F.lit(0))).cast("long"))
     return out.select(*(c for c in out.columns if c not in (cut, at, before)))
 
 

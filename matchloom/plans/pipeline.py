@@ -33,13 +33,14 @@ def counted(seen: Observation, name: str) -> int:
 def prepare(invoices: DataFrame, ledger: DataFrame, config: MatchConfig = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Normalized invoices and candidates with their positions, written once, since scores and details both read them.
 
-    The writes count their rows as they go.
+    The writes count their rows as they go. Rows are dealt raw and parsed where they end up, since parsed fields would
+    double what is shuffled.
     """
     n, m, kept = (Observation() for _ in range(3))
     count = F.count("*").alias("n")
-    i = stash(matching.number_rows(matching.normalize_invoices(invoices, config), "invoice_idx").observe(n, count), "invoices")
+    i = stash(matching.normalize_invoices(matching.number_rows(invoices, "invoice_idx"), config).observe(n, count), "invoices")
     log.info("preprocessed %d invoices", counted(n, "n"))
-    near = matching.filter_candidates(i, matching.normalize_ledger(ledger, config).observe(m, count), config.max_days)
+    near = matching.filter_candidates(i, ledger.observe(m, count), config.max_days, lambda rows: matching.normalize_ledger(rows, config))
     e = stash(matching.number_rows(near, "ledger_idx").observe(kept, count), "candidates")
     log.info("preprocessed %d ledger rows; the date window of %d days removed %d", counted(m, "n"), config.max_days, counted(m, "n") - counted(kept, "n"))
     return i, e

@@ -120,8 +120,8 @@ def summary_json(results: DataFrame) -> DataFrame:
 
 
 def write_result_lines(results: DataFrame, path: str) -> None:
-    """All fields of all results as JSON lines, in as many files as tasks write them."""
-    results.drop("batch_id").write.option("ignoreNullFields", "false").json(path)
+    """All fields of all results as JSON lines, in as many compressed files as tasks write them."""
+    results.drop("batch_id").write.options(ignoreNullFields="false", compression="gzip").json(path)
 
 
 def write_results(results: DataFrame, path: str) -> None:

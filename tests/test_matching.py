@@ -67,6 +67,28 @@ def test_filter_candidates(spark):
         assert kept_days(spark, i, e) == [k for k, d in enumerate(e) if min(abs(d - x) for x in i) <= 60]
 
 
+def test_rows_are_numbered_over_cuts(spark, monkeypatch):
+    """Cuts met by broadcast and by a merge."""
+    rows = [(b, o) for b in range(3) for o in range(b, 40, b + 2)] + [(7, 1 << 40)]
+    table = spark.createDataFrame(rows[::-1], "batch_id long, ordinal long")
+    wanted = sorted((b, o, sum(x < o for c, x in rows if c == b)) for b, o in rows)
+    monkeypatch.setattr(matching, "NUMBERED", 2)
+    for few in (100, 0):
+        monkeypatch.setattr(matching, "FEW_CUTS", few)
+        assert sorted(tuple(r) for r in matching.number_rows(table, "at").select("batch_id", "ordinal", "at").collect()) == wanted
+
+
+def test_rows_are_dealt_raw(spark, tmp_path):
+    """Parsed fields are no part of any exchange, and results are written compressed."""
+    ledger = connectors.mock_ledger(spark)
+    near = matching.filter_candidates(matching.normalize_invoices(connectors.mock_invoices(spark)), ledger, 60, matching.normalize_ledger)
+    assert near.columns == matching.normalize_ledger(ledger).columns and near.count() == 3
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "normalized_reference" in plan.split("Join")[0] and "normalized_reference" not in plan.split("Join")[1]
+    connectors.write_result_lines(pipeline.match_mock(spark), str(tmp_path / "lines"))
+    assert all(f.name.endswith(".json.gz") for f in (tmp_path / "lines").glob("part-*"))
+
+
 def test_far_rows_change_nothing(spark):
     base = rows_of(pipeline.match_mock(spark))
     assert rows_of(pipeline.match_mock(spark, None, [*connectors.MOCK_LEDGER, ("INV-2024-004", "Everest Goods", "25/01/2030", "1", None)])) == base
