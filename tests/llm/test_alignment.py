@@ -4,12 +4,15 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from matchloom.llm import alignment
+from matchloom.llm.common import BATCH_BYTES, batches_of
 from matchloom.llm.queries import QUERIES
 from matchloom.llm.tokens import PieceEncoder, byte_alphabet, default_pieces, default_vocabulary
 
@@ -100,3 +103,30 @@ def test_query(spark, libraries):
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     wanted = dict(zip([x["doc_id"] for x in rows], plain([x["text"] for x in rows], libraries), strict=True))
     assert {x["doc_id"]: tuple(x)[1:] for x in QUERIES["op12_token_alignment"](spark, sf).collect()} == wanted
+
+
+def test_arrays_are_compiled(make_docs):
+    """No array that the alignment reads or gives may hold nulls, and none of its functions takes a lambda: Spark would interpret it."""
+    aligned = alignment.align(alignment.tokenized(make_docs(["one text", None]), default_vocabulary(), default_pieces()))
+    assert [f.dataType.containsNull for f in aligned.schema if f.dataType.typeName() == "array"] == [False, False]
+    assert "lambda" not in aligned._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spell():
+    """Texts with one group, none, and two groups of several tokens, ids of one digit and of six."""
+    mark = alignment.MARK
+    a = np.array([1 << 20 | 7, 1 << 20 | mark, 1 << 20 | 0, 2 << 20 | 123456, 2 << 20 | mark, 3 << 20 | 5, 3 << 20 | mark])
+    b = np.array([1 << 20 | 8, 1 << 20 | mark, 2 << 20 | 10, 2 << 20 | mark, 2 << 20 | 9, 3 << 20 | 0, 3 << 20 | mark])
+    text, stops, links = alignment.spell(a, b, np.array([1, 0, 2]))
+    assert [text[i:j] for i, j in zip([0, *stops.tolist()], stops.tolist(), strict=False)] == [b"7|8", b"", b"0,123456|10;5|9,0"]
+    assert links.tolist() == [7 << 32 | 8, 123456 << 32 | 10, 5 << 32 | 0]
+
+
+def test_small_batches(spark, make_docs):
+    """Marked tokens reach Python in small batches, and the session's own bound stands again behind that."""
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"bytes": [b.nbytes]}) for b in batches)
+    bound = spark.conf.get(BATCH_BYTES)
+    aligned = alignment.align(alignment.tokenized(make_docs(["some words of a text " * 20] * 40).coalesce(1), default_vocabulary(), default_pieces()))
+    with batches_of(spark, 20_000):
+        assert max(x["bytes"] for x in aligned.mapInArrow(sizes, "bytes long").collect()) < 30_000
+    assert spark.conf.get(BATCH_BYTES) == bound
