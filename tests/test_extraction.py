@@ -2,11 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from matchloom import __main__ as cli
 from matchloom.operators import extraction
-from matchloom.plans import pipeline
+from matchloom.plans import pipeline, registry, synthetic
 from matchloom.plans.config import MatchConfig
 from matchloom.plans.schema import BLOCKS
 from matchloom.sources import connectors
@@ -195,3 +196,20 @@ def test_texts_behind_a_hit_are_not_looked_at(spark):
     fails = lambda t: F.when(t == "bad", F.raise_error(F.lit("looked at"))).otherwise(t)
     found = texts.select(extraction._first_hit(F.col("texts"), fails).alias("f"))
     assert [x["f"] for x in found.collect()] == ["hit", None, None]
+
+
+@pytest.mark.parametrize("sql", [synthetic.INVOICE_BLOCKS, synthetic.LEDGER_BLOCKS])
+def test_blocks_are_joined_once(spark, sql):
+    """A row of the tables gives all its blocks, the same as the SQL beside it does part by part."""
+    sf_dir = "/root/testdata/sf0.001"
+    found = synthetic.blocks(spark, sf_dir, sql)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    flat = lambda df: sorted(map(tuple, df.collect()), key=str)
+    got = found.select("doc_id", "pos", "text", F.col("bbox")[0][0], F.col("bbox")[0][1], "confidence")
+    wanted = synthetic.load(spark, sf_dir, sql).selectExpr("doc_id", "CAST(pos AS INT)", "text", "x", "y", "CAST(confidence AS DOUBLE)")
+    assert flat(got) == flat(wanted)
+
+
+def test_blocks_are_read_off_once(spark):
+    """Numbering counts its rows before it reads them, so that rows off blocks have to be written first."""
+    assert all(getattr(df, "stash_path", None) for df in registry._of_images(spark, "/root/testdata/sf0.001"))
